@@ -1,0 +1 @@
+"""Deliberately empty: the supported feature set has no streaming operator."""
