@@ -315,14 +315,29 @@ def _inside(pattern: Pattern, outer: Column) -> Column:
     return F.array_distinct(F.flatten(inner))
 
 
-def within_matches(matches: DataFrame, pattern: Pattern | Pred) -> DataFrame:
-    """Matches of ``pattern`` inside the spans of ``matches`` (a sub-query).
+def subqueries(corpora: Corpora, pattern: Pattern | Pred, subs: Sequence[Pattern | Pred], keep: Sequence[str] = ()) -> DataFrame:
+    """Matches of ``pattern`` (``query_no`` 0) and of each sub-query inside these (1, 2, ...).
 
-    ``matches`` must keep the attributes that ``pattern`` tests.
+    One scan and no shuffle: everything a sentence yields is worked out in its row, where a
+    sub-query match lying in two overlapping spans is also counted once.
     """
-    found = spans(as_pattern(pattern), F.col("ms"), F.col("me") + 1)
-    others = [c for c in matches.columns if c not in SPAN]
-    return matches.select(*others, F.explode(found).alias("_m")).select(*others, "_m.*")
+    kept = [c for c in dict.fromkeys(keep) if c not in KEY]
+    subs = [as_pattern(p) for p in subs]
+    names = as_pattern(pattern).attributes().union(*(p.attributes() for p in subs))
+    carried = list(dict.fromkeys([*KEY, "n", *kept, *sorted(names)]))
+    rows = sentence_regions(corpora)
+    rows = rows.select(*carried, F.explode(F.array(spans(as_pattern(pattern), F.lit(0), F.col("n")))).alias("_found"))
+    rows = rows.filter(F.size("_found") > 0)
+    found = [F.col("_found"), *[_inside(p, F.col("_found")) for p in subs]]
+    every = F.concat(*[_numbered(f, i) for i, f in enumerate(found)])
+    return rows.select(*KEY, *kept, F.inline(every))
+
+
+def _numbered(found: Column, no: int) -> Column:
+    return F.transform(
+        found,
+        lambda x: F.struct(F.lit(no).alias("query_no"), x["ms"].alias("ms"), x["me"].alias("me"), x["target"].alias("target")),
+    )
 
 
 def linked(matches: DataFrame, partner: DataFrame, corpora: Corpora) -> DataFrame:

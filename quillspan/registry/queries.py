@@ -74,19 +74,28 @@ def attribute_scan(c: Corpora) -> DataFrame:
     return stats.count_all(c, ["pos", "lemma"], ["text_lang"])
 
 
+def _profile(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy("corpus", *keys).agg(F.count("*").alias("entries"), F.sum("freq").alias("freq"), F.max("freq").alias("highest"))
+
+
 @_raw
 def relation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.relation_table(relations.adjacency(prepare(spark, sf_dir, "text"))).select(*relations.TRIPLE, "freq")
+    triples = relations.relation_table(relations.adjacency(prepare(spark, sf_dir, "text")))
+    return _profile(triples, "rel", *relations.FLAGS)
 
 
 @_raw
 def relation_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_head, _ = tables.word_pictures(spark, sf_dir)
-    nothing = F.lit("")
-    rel = by_head.rel.select("corpus", F.lit("rel").alias("kind"), nothing.alias("form"), "rel", nothing.alias("word"), nothing.alias("pos"), F.col("rel_freq").alias("freq"))
-    head = by_head.head_rel.select("corpus", F.lit("head").alias("kind"), "form", "rel", F.col("head").alias("word"), F.col("headpos").alias("pos"), F.col("head_rel_freq").alias("freq"))
-    dep = by_head.dep_rel.select("corpus", F.lit("dep").alias("kind"), "form", "rel", F.col("dep").alias("word"), F.col("deppos").alias("pos"), F.col("dep_rel_freq").alias("freq"))
-    return rel.unionByName(head).unionByName(dep)
+    kinds = {
+        "rel": by_head.rel.select("corpus", F.lit("base").alias("form"), "rel", F.col("rel_freq").alias("freq")),
+        "head": by_head.head_rel.select("corpus", "form", "rel", F.col("head_rel_freq").alias("freq")),
+        "dep": by_head.dep_rel.select("corpus", "form", "rel", F.col("dep_rel_freq").alias("freq")),
+    }
+    first, *rest = [df.withColumn("kind", F.lit(k)) for k, df in kinds.items()]
+    for df in rest:
+        first = first.unionByName(df)
+    return _profile(first, "kind", "form", "rel")
 
 
 @_raw
@@ -528,12 +537,7 @@ def count_target(c: Corpora) -> DataFrame:
 
 def _subqueries(c: Corpora) -> DataFrame:
     """Query 0 is the main one; 1 and 2 look inside its matches."""
-    main = m.find(c, seq(THE, gap(0, 4), ING), keep=["word", "pos", "lemma", "text_lang"])
-    subs = [CAP, seq(LOW, ING)]
-    out = main.withColumn("query_no", F.lit(0))
-    for i, sub in enumerate(subs, 1):
-        out = out.unionByName(m.within_matches(main, sub).withColumn("query_no", F.lit(i)))
-    return out
+    return m.subqueries(c, seq(THE, gap(0, 4), ING), [CAP, seq(LOW, ING)], keep=["lemma", "text_lang"])
 
 
 @_text
@@ -708,9 +712,7 @@ def count_time_combined_sums(c: Corpora) -> DataFrame:
 
 @_order
 def count_time_subqueries(c: Corpora) -> DataFrame:
-    main = m.find(c, RING, keep=["datefrom", "dateto", "word", "pos"])
-    both = main.withColumn("query_no", F.lit(0))
-    both = both.unionByName(m.within_matches(main, tok("pos") == "R").withColumn("query_no", F.lit(1)))
+    both = m.subqueries(c, RING, [tok("pos") == "R"], keep=["datefrom", "dateto"])
     return _rounded(trend.count_time(both, c, "y", 2))
 
 
