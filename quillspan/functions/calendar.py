@@ -64,14 +64,17 @@ class Calendar:
 
 
 def truncate(ts: Column, unit: str) -> Column:
-    """Start of the unit, without any time zone."""
-    depth = GRANULARITIES.index(unit)
-    month = F.month(ts) if depth >= 1 else F.lit(1)
-    day = F.dayofmonth(ts) if depth >= 2 else F.lit(1)
-    hour = F.hour(ts) if depth >= 3 else F.lit(0)
-    minute = F.minute(ts) if depth >= 4 else F.lit(0)
-    second = F.second(ts) if depth >= 5 else F.lit(0)
-    return F.make_timestamp_ntz(F.year(ts), month, day, hour, minute, second)
+    """Start of the unit, whatever the session's time zone.
+
+    ``ts`` is named only once.  These expressions are nested and copied into filters, where one
+    that names it for every date field would grow with each level.
+    """
+    if unit in ("y", "m"):
+        return F.trunc(ts.cast("date"), {"y": "year", "m": "month"}[unit]).cast("timestamp_ntz")
+    if unit == "d":
+        return ts.cast("date").cast("timestamp_ntz")
+    width, rest = {"h": (13, ":00:00"), "n": (16, ":00"), "s": (19, "")}[unit]
+    return F.concat(F.left(ts.cast("string"), F.lit(width)), F.lit(rest)).cast("timestamp_ntz")
 
 
 def parse_time(text: str) -> str:

@@ -60,7 +60,8 @@ def count(
     hi = F.col("target") if use_target else F.col("me")
     rows = matches.select(*by, "corpus", *positional, *structural, lo.alias("_lo"), hi.alias("_hi"))
     for attr in positional:
-        rows = rows.withColumn(attr, _match_key(rows, attr, attr in ignore_case, attr in split, tops.get(attr), attr in strip))
+        key = _match_key(rows, attr, attr in split, tops.get(attr), attr in strip)
+        rows = _replace(rows, attr, key, attr in split)
     return _tally(rows, by, positional, structural, ignore_case, split, strip)
 
 
@@ -96,11 +97,21 @@ def count_all(
             value = set_text(value)
         elif attr in strip:
             value = strip_pointer(value)
-        rows = rows.withColumn(attr, value)
+        rows = _replace(rows, attr, value, attr in split)
     return _tally(rows, (), positional, structural, ignore_case, split, strip)
 
 
-def _match_key(rows: DataFrame, attr: str, lower: bool, split: bool, top: int | None, strip: bool) -> Column:
+def _replace(rows: DataFrame, attr: str, value: Column, each: bool) -> DataFrame:
+    """Put ``value`` in place of a column, one row per element if it is an array to be split.
+
+    The array is exploded where it is computed.  Exploding it as a column of its own would let
+    Spark test its size first, in the scan, for tokens that do not match at all.
+    """
+    others = [c for c in rows.columns if c != attr]
+    return rows.select(*others, (F.explode(value) if each else value).alias(attr))
+
+
+def _match_key(rows: DataFrame, attr: str, split: bool, top: int | None, strip: bool) -> Column:
     """One string per match, or for split attributes an array with every combination of values."""
     col, lo, hi = F.col(attr), F.col("_lo"), F.col("_hi")
     values = F.slice(col, lo + 1, hi - lo + 1)
@@ -117,12 +128,9 @@ def _match_key(rows: DataFrame, attr: str, lower: bool, split: bool, top: int |
 
 
 def _tally(rows, by, positional, structural, ignore_case, split, strip) -> DataFrame:
-    for attr in positional:
-        if attr in split:
-            rows = rows.withColumn(attr, F.explode(attr))
     for s in structural:
         if s in split:
-            rows = rows.withColumn(s, F.explode(set_values(F.col(s))))
+            rows = _replace(rows, s, set_values(F.col(s)), True)
         if s in strip:
             rows = rows.withColumn(s, strip_pointer(F.col(s)))
     for attr in (*positional, *structural):
