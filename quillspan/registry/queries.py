@@ -86,11 +86,11 @@ def relation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_raw
 def relation_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_head, _ = tables.word_pictures(spark, sf_dir)
+    pictures = tables.word_pictures(spark, sf_dir)
     kinds = {
-        "rel": by_head.rel.select("corpus", F.lit("base").alias("form"), "rel", F.col("rel_freq").alias("freq")),
-        "head": by_head.head_rel.select("corpus", "form", "rel", F.col("head_rel_freq").alias("freq")),
-        "dep": by_head.dep_rel.select("corpus", "form", "rel", F.col("dep_rel_freq").alias("freq")),
+        "rel": pictures.rel.select("corpus", F.lit("base").alias("form"), "rel", F.col("rel_freq").alias("freq")),
+        "head": pictures.head_rel.select("corpus", "form", "rel", F.col("head_rel_freq").alias("freq")),
+        "dep": pictures.dep_rel.select("corpus", "form", "rel", F.col("dep_rel_freq").alias("freq")),
     }
     first, *rest = [df.withColumn("kind", F.lit(k)) for k, df in kinds.items()]
     for df in rest:
@@ -752,7 +752,7 @@ def loglike_average(c: Corpora) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return relations.lookup(*tables.word_pictures(spark, sf_dir), "the", **options)
+    return relations.lookup(tables.word_pictures(spark, sf_dir), "the", **options)
 
 
 def _picture(rows: DataFrame) -> DataFrame:
@@ -797,8 +797,7 @@ def relations_top_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sentences(spark: SparkSession, sf_dir: str) -> tuple[Corpora, DataFrame]:
     text = prepare(spark, sf_dir, "text")
-    by_head, _ = tables.word_pictures(spark, sf_dir)
-    asked = by_head.table.filter((F.col("head") == "the") & (F.col("rel") == "R1") & F.col("dep").isin("of", "and") & F.col("bfhead") & F.col("bfdep"))
+    asked = tables.word_pictures(spark, sf_dir).by_head.filter((F.col("head") == "the") & (F.col("rel") == "R1") & F.col("dep").isin("of", "and") & F.col("bfhead") & F.col("bfdep"))
     return text, relations.relation_sentences(relations.adjacency(text), asked)
 
 

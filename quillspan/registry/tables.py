@@ -22,7 +22,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     return _BUILT[key]
 
 
-def word_pictures(spark: SparkSession, sf_dir: str) -> tuple[WordPictures, WordPictures]:
+def word_pictures(spark: SparkSession, sf_dir: str) -> WordPictures:
     text = prepare(spark, sf_dir, "text")
     path = _once(spark, sf_dir, "relations", lambda p: relations.write_tables(relations.adjacency(text), p))
     return relations.read_tables(spark, path)

@@ -128,27 +128,31 @@ def tokenise(texts: DataFrame) -> DataFrame:
 
 
 def annotate_words(sentences: DataFrame) -> DataFrame:
-    """Token attributes derived from the word: lemma, pos, sense, and the value set lex."""
-    w = F.col("word")
-
-    def pos(x: Column) -> Column:
-        return F.when(x.rlike(r"^\p{N}+$"), "NUM").when(x.rlike(r"^\p{Lu}"), "CAP").otherwise("LOW")
-
-    rows = sentences.withColumn("pos", F.transform(w, pos)).withColumn("lemma", F.transform(w, F.lower))
-    both = F.arrays_zip("lemma", "pos")
-    sense = F.transform(
-        both,
-        lambda t: F.when(t["pos"] == "NUM", F.lit(None).cast("string"))
-        .when(t["pos"] == "CAP", F.concat(t["lemma"], F.lit(":"), F.length(t["lemma"]).cast("string")))
-        .otherwise(t["lemma"]),
-    )
-    lex = F.transform(
-        both,
-        lambda t: F.when(t["pos"] == "NUM", F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.array(t["lemma"], F.substring(t["lemma"], 1, 3)))
-        ),
-    )
-    return rows.withColumn("sense", sense).withColumn("lex", lex)
+    """Token attributes derived from the word: lemma, pos, sense, and the value set lex.
+
+    One pass over the words yields all attributes of a token together, so that none is worked
+    out again for another one that depends on it.
+    """
+
+    def basic(w: Column) -> Column:
+        pos = F.when(w.rlike(r"^\p{Lu}"), "CAP").when(w.rlike(r"^\p{N}+$"), "NUM").otherwise("LOW")
+        return F.struct(F.lower(w).alias("lemma"), pos.alias("pos"))
+
+    def full(t: Column) -> Column:
+        lemma, pos = t["lemma"], t["pos"]
+        pointer = F.concat(lemma, F.lit(":"), F.length(lemma).cast("string"))
+        sense = F.when(pos == "CAP", pointer).when(pos == "LOW", lemma)
+        stem = F.substring(lemma, 1, 3)
+        lex = (
+            F.when(pos == "NUM", F.array().cast("array<string>"))
+            .when(stem == lemma, F.array(lemma))
+            .otherwise(F.array(lemma, stem))
+        )
+        return F.struct(lemma.alias("lemma"), pos.alias("pos"), sense.alias("sense"), lex.alias("lex"))
+
+    tokens = F.transform(F.transform("word", basic), full)
+    rows = sentences.select("*", F.explode(F.array(tokens)).alias("_t"))
+    return rows.withColumns({a: F.col("_t")[a] for a in ("lemma", "pos", "sense", "lex")}).drop("_t")
 
 
 def undefined_to_null(df: DataFrame, *columns: str) -> DataFrame:
