@@ -12,12 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.paging import NEAR, corpora_on_page, numbered, page
+from quillspan.operators.paging import MAX_ROWS, NEAR, check_page, corpora_on_page, numbered, page
 from quillspan.sources.corpora import EDGE_WORDS, Corpora
 
-# Default context in words, greatest number of rows per call.
+# Fixed value: default context in words.
 CONTEXT_WORDS = 10
-MAX_ROWS = 1000
 
 # Corpus positions are grouped in stretches of this many for looking up what lies around a hit.
 STRETCH = 1 << 20
@@ -58,8 +57,7 @@ def kwic_page(
     ``sort`` is ``left``, ``keyword``, ``right``, ``random`` or a positional attribute.  Adds
     ``row``, the place in the whole result, and ``position``, the corpus position.
     """
-    if end - start >= max_rows:
-        raise ValueError(f"at most {max_rows} rows per call")
+    check_page(start, end, max_rows)
     rows = matches.withColumn("_sort", F.lit(None).cast("string")) if sort is None else sorted_matches(matches, corpora, sort, seed, collation)
     order = _order()
     rows = numbered(page(rows, order, start, end), order).withColumn("row", F.col("row") + start).drop("_sort")
@@ -76,6 +74,7 @@ def page_by_hits(matches: DataFrame, corpora: Corpora, hits: DataFrame, start: i
     Only the corpora on the page are read (``corpus`` is the partition column), and only the
     first rows of each survive its partial ranking.
     """
+    check_page(start, end)
     wanted = corpora_on_page(hits, start, end)
     rank = F.row_number().over(Window.partitionBy("corpus").orderBy("text_id", place(), "me")) - 1
     near = matches.join(wanted.select("corpus"), "corpus", "left_semi").withColumn("_rank", rank)
@@ -96,6 +95,7 @@ def with_position(rows: DataFrame, corpora: Corpora) -> DataFrame:
 
 def sample(matches: DataFrame, corpora: Corpora, rows: int = 10, seed: str = "") -> DataFrame:
     """Rows in random order from the first corpus, in random order, that has a match at all."""
+    check_page(0, rows - 1)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("corpus")))
     mixed = sorted_matches(matches, corpora, "random", seed, None).withColumn("_first", key)
     order = [F.col("_first"), *_order()]

@@ -340,11 +340,12 @@ def _numbered(found: Column, no: int) -> Column:
     )
 
 
-def linked(matches: DataFrame, partner: DataFrame, corpora: Corpora) -> DataFrame:
-    """Matches whose text is linked to a text with a match in the partner corpus."""
-    links = corpora.texts.select("corpus", "text_id", "link_id")
-    other = partner.select("corpus", "text_id").distinct().join(links, ["corpus", "text_id"]).select("link_id").distinct()
-    return matches.join(links, ["corpus", "text_id"]).join(other, "link_id", "left_semi")
+def linked(matches: DataFrame, partner: DataFrame) -> DataFrame:
+    """Matches whose text is linked to a text with a match in the partner corpus.
+
+    Both sides must keep ``link_id``.
+    """
+    return matches.join(partner.select("link_id").distinct(), "link_id", "left_semi")
 
 
 def first_per_corpus(matches: DataFrame, n: int, texts_per_block: int = 4096) -> DataFrame:

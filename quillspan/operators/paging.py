@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 from quillspan.operators.running import running_by_file
 from quillspan.session import shared_folder
 
+# Fixed value: greatest number of rows per call, unless the caller sets another.
+MAX_ROWS = 1000
+
 # A page that ends within so many rows is found with per-task top-k lists.
 NEAR = 10_000
 
 _written = 0
 
 
+def check_page(start: int, end: int, max_rows: int = MAX_ROWS) -> None:
+    """ValueError unless the page has at most ``max_rows`` rows, and few enough to be broadcast."""
+    if max_rows > NEAR:
+        raise ValueError(f"a page may have at most {NEAR} rows")
+    if start < 0 or end < start:
+        raise ValueError(f"bad page {start}..{end}")
+    if end - start >= max_rows:
+        raise ValueError(f"at most {max_rows} rows per call")
+
+
 def page(df: DataFrame, order: Sequence[Column], start: int = 0, end: int = 9) -> DataFrame:
-    """Rows ``start..end`` of ``df`` in a total order; ``end = -1`` means all rows."""
+    """Rows ``start..end`` of ``df`` in a total order of named columns; ``end = -1`` means to the last."""
     if start < 0 or (end != -1 and end < start):
         raise ValueError(f"bad page {start}..{end}")
     if end == -1 and start == 0:

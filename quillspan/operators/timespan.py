@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.calendar import Calendar, parse_time
+from quillspan.functions.calendar import Calendar, parse_time, truncate
 from quillspan.operators.running import running_by_block
-from quillspan.sources.corpora import Corpora
+from quillspan.sources.corpora import Corpora, token_spans
 
 STRATEGIES = (1, 2, 3)
 
@@ -23,13 +23,16 @@ def timedata(corpora: Corpora, by_date: bool = False) -> DataFrame:
 
     ``by_date`` drops the time of day.
     """
-    calendar = Calendar("d" if by_date else "s")
-    return (
-        corpora.texts.filter(F.col("n_tokens") > 0)
-        .select("corpus", calendar.resolve(F.col("datefrom")).alias("datefrom"), calendar.resolve(F.col("dateto")).alias("dateto"), "n_tokens")
-        .groupBy("corpus", "datefrom", "dateto")
-        .agg(F.sum("n_tokens").alias("tokens"))
-    )
+    rows = spans(corpora, by_date)
+    return rows.groupBy("corpus", "datefrom", "dateto").agg(F.sum("tokens").alias("tokens")) if by_date else rows
+
+
+def spans(corpora: Corpora, by_date: bool) -> DataFrame:
+    """The same as rows to be summed up later: what follows aggregates by bucket anyway."""
+    rows = corpora.spans if corpora.spans is not None else token_spans(corpora.texts)
+    if not by_date:
+        return rows
+    return rows.select("corpus", *[truncate(F.col(c), "d").alias(c) for c in ("datefrom", "dateto")], "tokens")
 
 
 def in_range(rows: DataFrame, start: str | None, end: str | None, strategy: int) -> DataFrame:
@@ -83,11 +86,11 @@ def step_function(rows: DataFrame, value: str, granularity: str, groups: Sequenc
     running total over these changes is the step function.
     """
     cal = Calendar(granularity)
-    spans = bucket_spans(rows, granularity, strategy, edge_rule)
+    dated = bucket_spans(rows, granularity, strategy, edge_rule)
     amount = F.when(F.col("_f") <= F.col("_t"), F.col(value)).otherwise(F.lit(0)).cast("bigint")
     begin = F.struct(F.col("_f").alias("bucket"), amount.alias("_delta"))
     finish = F.struct(cal.next(F.col("_t")).alias("bucket"), (-amount).alias("_delta"))
-    changes = spans.select(*groups, F.inline(F.array(begin, finish))).groupBy(*groups, "bucket").agg(F.sum("_delta").alias("_delta"))
+    changes = dated.select(*groups, F.inline(F.array(begin, finish))).groupBy(*groups, "bucket").agg(F.sum("_delta").alias("_delta"))
     changes = changes.withColumn("_block", cal.coarser(F.col("bucket")))
     steps = running_by_block(changes, groups, "_block", [F.col("bucket")], "_delta", value, rows_out="_points")
     # Spans that moved inward until nothing was left give a single point, and then there is none.
@@ -126,12 +129,12 @@ def timespan(
 ) -> DataFrame:
     """Tokens per bucket: ``corpus, time, tokens``; ``corpus = ''`` for all corpora together."""
     cal = Calendar(granularity)
-    rows = in_range(timedata(corpora, cal.by_date), start, end, strategy)
+    rows = in_range(spans(corpora, cal.by_date), start, end, strategy)
     parts = [rows] if per_corpus else []
     if all_corpora:
         parts.append(combine(rows, "tokens").select(*rows.columns))
-    spans = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    steps = over_time(spans, "tokens", granularity, strategy, ("corpus",), edge_rule)
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    steps = over_time(both, "tokens", granularity, strategy, ("corpus",), edge_rule)
     return steps.select("corpus", time_key(cal, F.col("bucket")).alias("time"), "tokens")
 
 

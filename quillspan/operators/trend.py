@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.calendar import MAX_POINTS, Calendar, parse_time
 from quillspan.functions.keys import per_million
-from quillspan.operators.timespan import combine, in_range, over_time, time_key, timedata
+from quillspan.operators.timespan import combine, in_range, over_time, time_key
+from quillspan.operators.timespan import spans as text_spans
 from quillspan.sources.corpora import Corpora
 
 _UNIT = {"y": "YEAR", "m": "MONTH", "d": "DAY", "h": "HOUR", "n": "MINUTE", "s": "SECOND"}
@@ -23,14 +22,9 @@ def corpora_in_range(corpora: Corpora, start: str | None, end: str | None) -> Co
         raise ValueError("'from' and 'to' go together")
     lo, hi = (F.lit(parse_time(x)).cast("timestamp_ntz") for x in (start, end))
     meets = (F.col("first_date") <= hi) & (F.col("last_date") >= lo)
-    info = corpora.info.filter(F.coalesce(meets, F.lit(True)))
-    names = info.select("corpus")
-    return replace(
-        corpora,
-        info=info,
-        texts=corpora.texts.join(names, "corpus", "left_semi"),
-        sentences=corpora.sentences.join(names, "corpus", "left_semi"),
-    )
+    # One name per corpus: a list of the catalogue's size.
+    names = corpora.info.filter(F.coalesce(meets, F.lit(True))).select("corpus")
+    return corpora.mapped(lambda df: df.join(names, "corpus", "left_semi"))
 
 
 def check_points(corpora: Corpora, granularity: str, start: str | None = None, end: str | None = None) -> None:
@@ -87,7 +81,7 @@ def count_time(
 
 def _steps(matches, corpora, cal, strategy, start, end, all_corpora):
     spans = spans_of(matches, cal)
-    tokens = in_range(timedata(corpora, cal.by_date), start, end, strategy)
+    tokens = in_range(text_spans(corpora, cal.by_date), start, end, strategy)
     by = [c for c in spans.columns if c == "query_no"]
     if all_corpora:
         spans, tokens = combine(spans, "hits", by), combine(tokens, "tokens")
@@ -104,7 +98,7 @@ def has_text_marks(
     corpus, so the window over one corpus is small.
     """
     cal = Calendar(granularity)
-    rows = in_range(timedata(corpora, cal.by_date), start, end, strategy)
+    rows = in_range(text_spans(corpora, cal.by_date), start, end, strategy)
     if all_corpora:
         rows = combine(rows, "tokens")
     points = over_time(rows, "tokens", granularity, strategy)

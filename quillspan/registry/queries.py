@@ -286,9 +286,8 @@ def _conversations(spark: SparkSession, sf_dir: str) -> tuple[Corpora, Corpora]:
 @_raw
 def match_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, assistant = _conversations(spark, sf_dir)
-    asked, answered = m.find(user, THE), m.find(assistant, ING)
-    both = prepare(spark, sf_dir, "conversation")
-    return _places(m.linked(asked, answered, both))
+    asked, answered = m.find(user, THE, keep=["link_id"]), m.find(assistant, ING, keep=["link_id"])
+    return _places(m.linked(asked, answered))
 
 
 @_text

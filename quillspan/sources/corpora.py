@@ -15,6 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions.calendar import truncate
 from quillspan.operators.running import running_by_file
 from quillspan.session import shared_folder
 
@@ -39,17 +40,18 @@ class Corpora:
     info: DataFrame
     attrs: tuple[str, ...]
     structs: tuple[str, ...]
+    spans: DataFrame | None = None
+    """Tokens per dated span, where that table has been written."""
 
     def select(self, names: Iterable[str] | str) -> Corpora:
         """Keep the named corpora; names are upper-cased, unknown ones are skipped."""
-        names = parse_corpora(names)
-        keep = F.col("corpus").isin(names)
-        return replace(
-            self,
-            sentences=self.sentences.filter(keep),
-            texts=self.texts.filter(keep),
-            info=self.info.filter(keep),
-        )
+        keep = F.col("corpus").isin(parse_corpora(names))
+        return self.mapped(lambda df: df.filter(keep))
+
+    def mapped(self, change: Callable[[DataFrame], DataFrame]) -> Corpora:
+        """The same change made to every table."""
+        spans = None if self.spans is None else change(self.spans)
+        return replace(self, sentences=change(self.sentences), texts=change(self.texts), info=change(self.info), spans=spans)
 
     def where(self, condition: Column) -> Corpora:
         """Structural condition.  Sizes in ``info`` stay those of the whole corpora."""
@@ -324,14 +326,19 @@ def write(spark: SparkSession, sentences: DataFrame, texts: DataFrame, path: str
         F.count("*").alias("texts"),
         *([F.min("datefrom").alias("first_date"), F.max("dateto").alias("last_date")] if dates else []),
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
+    if dates:
+        token_spans(info).write.mode("overwrite").parquet(f"{path}/spans")
+
+
+def token_spans(texts: DataFrame) -> DataFrame:
+    """Tokens per span to the second: ``corpus, datefrom, dateto, tokens``; undated texts under null."""
+    ends = [truncate(F.col(c), "s").alias(c) for c in ("datefrom", "dateto")]
+    dated = texts.filter(F.col("n_tokens") > 0).select("corpus", *ends, "n_tokens")
+    return dated.groupBy("corpus", "datefrom", "dateto").agg(F.sum("n_tokens").alias("tokens"))
 
 
 def read(spark: SparkSession, path: str, attrs: tuple[str, ...], structs: tuple[str, ...]) -> Corpora:
     """Corpus tables from a folder that ``write`` filled."""
-    return Corpora(
-        spark.read.parquet(f"{path}/sentences"),
-        spark.read.parquet(f"{path}/texts"),
-        spark.read.parquet(f"{path}/info"),
-        attrs,
-        structs,
-    )
+    sentences, texts, info = (spark.read.parquet(f"{path}/{name}") for name in ("sentences", "texts", "info"))
+    spans = spark.read.parquet(f"{path}/spans") if "datefrom" in texts.columns else None
+    return Corpora(sentences, texts, info, attrs, structs, spans)
