@@ -29,6 +29,7 @@ class Calendar:
     granularity: str
 
     def __post_init__(self):
+        object.__setattr__(self, "granularity", self.granularity.lower())
         if self.granularity not in GRANULARITIES:
             raise ValueError(f"unknown granularity {self.granularity!r}")
 

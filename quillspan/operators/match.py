@@ -8,7 +8,7 @@ the way corpus positions do.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,15 +79,18 @@ def block_regions(
 def find(
     corpora: Corpora,
     pattern: Pattern | Pred,
-    within: str | None = "sentence",
+    within: str | None | Mapping[str, str | None] = "sentence",
     keep: Sequence[str] = (),
     block: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """All matches, one per start position, each with its shortest end.
 
-    ``within`` is ``"sentence"``, ``"text"`` or None (anywhere in the corpus).
+    ``within`` is ``"sentence"``, ``"text"`` or None (anywhere in the corpus), or says so for
+    each corpus: see ``parse_within``.
     """
     pattern = as_pattern(pattern)
+    if isinstance(within, Mapping):
+        return _find_by_corpus(corpora, pattern, within, keep, block)
     if within == "sentence":
         return in_regions(sentence_regions(corpora), pattern, keep)
     if within not in ("text", None):
@@ -101,6 +104,28 @@ def find(
     return in_regions(block_regions(corpora, names, pattern.longest - 1, within == "text", structs, block), pattern, keep)
 
 
+def parse_within(text: str, default: str | None = "sentence") -> dict[str, str | None]:
+    """``"CORPUS:region,CORPUS:region"`` as a mapping; the key ``""`` holds the default."""
+    out: dict[str, str | None] = {"": default}
+    for item in filter(None, text.split(",")):
+        corpus, colon, region = item.partition(":")
+        if not colon or not corpus or not region:
+            raise ValueError(f"malformed region {item!r}")
+        out[corpus.upper()] = region
+    return out
+
+
+def _find_by_corpus(corpora: Corpora, pattern: Pattern, within: Mapping[str, str | None], keep: Sequence[str], block: int) -> DataFrame:
+    """One search per kind of region; each reads only its own corpora."""
+    named = {c.upper(): region for c, region in within.items() if c}
+    rest = ~F.col("corpus").isin(sorted(named)) if named else F.lit(True)
+    found = find(corpora.mapped(lambda df: df.filter(rest)), pattern, within.get("", "sentence"), keep, block)
+    for region in dict.fromkeys(named.values()):
+        part = corpora.select([c for c, r in named.items() if r == region])
+        found = found.unionByName(find(part, pattern, region, keep, block))
+    return found
+
+
 def as_pattern(pattern: Pattern | Pred) -> Pattern:
     return pattern if isinstance(pattern, Pattern) else seq(pattern)
 
@@ -264,8 +289,7 @@ def free_order(corpora: Corpora, *preds: Pred, keep: Sequence[str] = ()) -> Data
 
     One row per sentence; ``hits`` lists the offsets.
     """
-    if len(preds) < 2:
-        raise ValueError("a free-order query needs at least two conditions")
+    _check_free_order(preds)
     regions = sentence_regions(corpora)
     places = F.sequence(F.lit(0), F.col("n") - 1)
 
@@ -278,6 +302,27 @@ def free_order(corpora: Corpora, *preds: Pred, keep: Sequence[str] = ()) -> Data
     return regions.select(*KEY, "n", *kept, F.filter(places, lambda i: _holds(union, i)).alias("hits"))
 
 
+def free_order_in_texts(corpora: Corpora, *preds: Pred, keep: Sequence[str] = ()) -> DataFrame:
+    """The same with texts as regions, as one row per hit: a text may hold any number of them."""
+    _check_free_order(preds)
+    union = preds[0]
+    for p in preds[1:]:
+        union = union | p
+    names = sorted(set().union(*(p.attributes() for p in preds)))
+    hits = find(corpora, union, keep=[*keep, *names])
+    tests = [F.max(p.at(lambda a: F.get(F.col(a), F.col("ms")))).alias(f"_{i}") for i, p in enumerate(preds)]
+    texts = hits.groupBy("corpus", "text_id").agg(*tests)
+    for i in range(len(preds)):
+        texts = texts.filter(F.col(f"_{i}"))
+    kept = [c for c in dict.fromkeys(keep) if c not in KEY]
+    return hits.select(*KEY, *kept, *SPAN).join(texts.select("corpus", "text_id"), ["corpus", "text_id"], "left_semi")
+
+
+def _check_free_order(preds: Sequence[Pred]) -> None:
+    if len(preds) < 2:
+        raise ValueError("a free-order query needs at least two conditions")
+
+
 def _holds(pred: Pred, i: Column) -> Column:
     return pred.at(lambda a: F.get(F.col(a), i))
 
@@ -295,8 +340,14 @@ def chain(corpora: Corpora, patterns: Sequence[Pattern | Pred], within: str | No
     patterns = [as_pattern(p) for p in patterns]
     if expand and not within:
         raise ValueError("a chain of patterns needs 'within' or expand=False")
-    if (within or "sentence") != "sentence":
-        raise ValueError("chains are searched within sentences")
+    if expand and within == "text":
+        found = find(corpora, patterns[-1], "text", keep)
+        for p in patterns[:-1]:
+            texts = find(corpora, p, "text").select("corpus", "text_id").distinct()
+            found = found.join(texts, ["corpus", "text_id"], "left_semi")
+        return found
+    if within not in ("sentence", None):
+        raise ValueError(f"unknown region {within!r}")
     regions = sentence_regions(corpora)
     if expand:
         for p in patterns[:-1]:

@@ -34,6 +34,19 @@ sizes AS (SELECT corpus, count(*) AS size FROM tok GROUP BY corpus),
 total AS (SELECT count(*) AS size FROM tok)
 """
 
+# Tokens of the conversations; a text per turn.
+CONV_TOKENS = r"""
+cpieces AS (
+  SELECT conv_id, turn, role, p.ord, regexp_extract_all(p.piece, '[\p{L}\p{N}]+') AS words
+  FROM conversations, unnest(regexp_extract_all(text, '[^.!?\n]+')) WITH ORDINALITY AS p(piece, ord)
+  WHERE role IN ('user', 'assistant')),
+ctok AS MATERIALIZED (
+  SELECT conv_id, turn, role, w.word, regexp_matches(w.word, '^\p{Lu}') AND NOT regexp_matches(w.word, '^\p{N}+$') AS cap,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord, w.i) - 1 AS off,
+         row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, ord, w.i) - 1 AS position
+  FROM cpieces, unnest(words) WITH ORDINALITY AS w(word, i))
+"""
+
 # A token with the three tokens that follow it in its sentence.
 AHEAD = r"""
 ahead AS MATERIALIZED (
@@ -228,6 +241,28 @@ _ahead(
     SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM tok a WHERE word = 'of' AND EXISTS (
       SELECT 1 FROM ahead b WHERE {SAME} AND b.word = 'the' AND b.w1 LIKE '%ing')""",
 )
+_text(
+    "match_within_by_corpus",
+    f"""
+    SELECT a.corpus, a.text_id, a.off AS "offset", min(b.off) - a.off + 1 AS "length"
+    FROM tok a JOIN tok b ON {SAME_TEXT} AND b.off BETWEEN a.off + 1 AND a.off + 6 AND (a.corpus = 'SRC3' OR a.sent_no = b.sent_no)
+    WHERE a.word = 'the' AND b.word LIKE '%ing' GROUP BY a.corpus, a.text_id, a.off""",
+)
+_text(
+    "match_free_order_text",
+    f"""
+    , slots AS (SELECT *, word = 'the' AS s1, regexp_full_match(word, 'i.*ing') AS s2, word = 'of' AS s3 FROM tok)
+    SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM slots WHERE s1 OR s2 OR s3
+    WINDOW t AS (PARTITION BY corpus, text_id) QUALIFY bool_or(s1) OVER t AND bool_or(s2) OVER t AND bool_or(s3) OVER t""",
+)
+_text(
+    "match_chain_expand_text",
+    f"""
+    , heads AS (
+      SELECT DISTINCT a.corpus, a.text_id FROM tok a JOIN tok b ON {SAME_TEXT} AND b.off = a.off + 1
+      WHERE a.word = 'the' AND regexp_full_match(b.word, 'i.*ing'))
+    SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM tok SEMI JOIN heads USING (corpus, text_id) WHERE pos = 'CAP' AND word LIKE '%ing'""",
+)
 _text(
     "match_chain_spans",
     f"""
@@ -249,21 +284,9 @@ _ahead(
       ON s.corpus = a.corpus AND a.pos = 'CAP' AND regexp_full_match(a.w1, 'th.*ing') GROUP BY s.corpus""",
 )
 
-# Conversations: a text per turn.
-CONV = r"""
-cpieces AS (
-  SELECT conv_id, turn, role, p.ord, regexp_extract_all(p.piece, '[\p{L}\p{N}]+') AS words
-  FROM conversations, unnest(regexp_extract_all(text, '[^.!?\n]+')) WITH ORDINALITY AS p(piece, ord)
-  WHERE role IN ('user', 'assistant')),
-ctok AS MATERIALIZED (
-  SELECT conv_id, turn, role, w.word, regexp_matches(w.word, '^\p{Lu}') AND NOT regexp_matches(w.word, '^\p{N}+$') AS cap,
-         row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord, w.i) - 1 AS off,
-         row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, ord, w.i) - 1 AS position
-  FROM cpieces, unnest(words) WITH ORDINALITY AS w(word, i))
-"""
 ORACLE["match_aligned"] = (
     "WITH "
-    + CONV
+    + CONV_TOKENS
     + """
     SELECT 'CONV-USER' AS corpus, conv_id * 2147483648 + turn AS text_id, off AS "offset", CAST(1 AS BIGINT) AS "length" FROM ctok a
     WHERE role = 'user' AND word = 'the' AND EXISTS (
@@ -352,7 +375,7 @@ _text(
 )
 ORACLE["kwic_aligned"] = (
     "WITH "
-    + CONV
+    + CONV_TOKENS
     + """
     , hits AS (SELECT *, row_number() OVER (ORDER BY position) - 1 AS "row" FROM ctok WHERE role = 'user' AND cap QUALIFY "row" < 100)
     SELECT h."row", h.position, string_agg(t.word, ' ' ORDER BY t.off) AS aligned
@@ -507,6 +530,17 @@ _ahead(
     _nearest(1, 5),
     _SUBQUERIES,
 )
+_text(
+    "count_union",
+    r"""
+    SELECT corpus, pos, text_lang, CAST(NULL AS VARCHAR) AS text_role, count(*) AS absolute FROM tok GROUP BY ALL
+    UNION ALL
+    SELECT 'CONV-' || upper(role), CASE WHEN regexp_matches(word, '^\p{N}+$') THEN 'NUM' WHEN cap THEN 'CAP' ELSE 'LOW' END, NULL, role, count(*)
+    FROM ctok GROUP BY ALL
+    UNION ALL
+    SELECT 'EVT', CASE WHEN value > 10 THEN 'POS' WHEN value < 10 THEN 'NEG' ELSE 'ZERO' END, NULL, NULL, count(*) FROM events GROUP BY ALL""",
+    CONV_TOKENS,
+)
 _text("count_all", " SELECT corpus, lemma AS word, count(*) AS absolute FROM tok GROUP BY ALL")
 _text("count_all_struct", " SELECT corpus, text_lang, text_toxic, count(*) AS absolute FROM tok GROUP BY ALL")
 

@@ -13,7 +13,7 @@ from quillspan.operators import match as m
 from quillspan.operators.lemgrams import lemgram_count
 from quillspan.plans.pattern import alt, any_token, gap, look, one, rep, seq, tok
 from quillspan.registry import tables
-from quillspan.sources.corpora import Corpora, prepare
+from quillspan.sources.corpora import Corpora, prepare, union
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -263,6 +263,22 @@ def match_chain_expand(c: Corpora) -> DataFrame:
     return _places(m.chain(c, [seq(THE, ING), tok("word") == "of"], within="sentence"))
 
 
+@_text
+def match_within_by_corpus(c: Corpora) -> DataFrame:
+    # Texts as regions for one corpus, sentences for the others.
+    return _places(m.find(c, seq(THE, gap(0, 5), ING), within=m.parse_within("SRC3:text", "sentence")))
+
+
+@_text
+def match_free_order_text(c: Corpora) -> DataFrame:
+    return _places(m.free_order_in_texts(c, THE, tok("word").matches("i.*ing"), tok("word") == "of"))
+
+
+@_text
+def match_chain_expand_text(c: Corpora) -> DataFrame:
+    return _places(m.chain(c, [seq(THE, tok("word").matches("i.*ing")), CAP & ING], within="text"))
+
+
 @_text
 def match_chain_spans(c: Corpora) -> DataFrame:
     return _places(m.chain(c, [seq(THE, gap(0, 6), ING), tok("word").matches("[a-m].*")], within="sentence", expand=False))
@@ -549,6 +565,13 @@ def count_subquery_sums(c: Corpora) -> DataFrame:
     return _rounded(stats.sums(stats.count(_subqueries(c), ["lemma"], by=["query_no"]), c, queries=3))
 
 
+@_raw
+def count_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Event corpora have no lemma and no language; their key is null.
+    parts = [prepare(spark, sf_dir, kind) for kind in ("text", "conversation", "event")]
+    return stats.count_all(union(*parts), ["pos"], ["text_lang", "text_role"])
+
+
 @_text
 def count_all(c: Corpora) -> DataFrame:
     return stats.count_all(c, ["word"], ignore_case=["word"])
