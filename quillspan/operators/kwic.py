@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.paging import MAX_ROWS, NEAR, check_page, corpora_on_page, numbered, page
+from quillspan.operators.paging import MAX_ROWS, NEAR, check_page, corpora_on_page, numbered, page, settled
 from quillspan.sources.corpora import EDGE_WORDS, Corpora
 
 # Fixed value: default context in words.
@@ -56,12 +56,14 @@ def kwic_page(
 
     ``sort`` is ``left``, ``keyword``, ``right``, ``random`` or a positional attribute.  Adds
     ``row``, the place in the whole result, and ``position``, the corpus position.
+
+    The search runs here; what is then looked up for the page does not repeat it.
     """
     check_page(start, end, max_rows)
     rows = matches.withColumn("_sort", F.lit(None).cast("string")) if sort is None else sorted_matches(matches, corpora, sort, seed, collation)
     order = _order()
     rows = numbered(page(rows, order, start, end), order).withColumn("row", F.col("row") + start).drop("_sort")
-    return with_position(rows, corpora)
+    return with_position(settled(rows), corpora)
 
 
 def _order() -> list[Column]:
@@ -75,7 +77,7 @@ def page_by_hits(matches: DataFrame, corpora: Corpora, hits: DataFrame, start: i
     first rows of each survive its partial ranking.
     """
     check_page(start, end)
-    wanted = corpora_on_page(hits, start, end)
+    wanted = settled(corpora_on_page(hits, start, end))
     rank = F.row_number().over(Window.partitionBy("corpus").orderBy("text_id", place(), "me")) - 1
     near = matches.join(wanted.select("corpus"), "corpus", "left_semi").withColumn("_rank", rank)
     if end < NEAR:
@@ -83,7 +85,7 @@ def page_by_hits(matches: DataFrame, corpora: Corpora, hits: DataFrame, start: i
     rows = near.join(wanted, "corpus").filter(F.col("_rank").between(F.col("first"), F.col("last")))
     order = [F.col("corpus"), F.col("_rank")]
     rows = numbered(rows, order).withColumn("row", F.col("row") + start)
-    return with_position(rows.drop("_rank", "first", "last"), corpora)
+    return with_position(settled(rows.drop("_rank", "first", "last")), corpora)
 
 
 def with_position(rows: DataFrame, corpora: Corpora) -> DataFrame:
@@ -102,7 +104,8 @@ def sample(matches: DataFrame, corpora: Corpora, rows: int = 10, seed: str = "")
     head = numbered(mixed.orderBy(*order).limit(rows), order)
     # The list starts with the chosen corpus; what follows it belongs to later corpora.
     chosen = F.min_by("corpus", "row").over(Window.partitionBy())
-    return with_position(head.withColumn("_c", chosen).filter(F.col("corpus") == F.col("_c")).drop("_c", "_first", "_sort"), corpora)
+    rows = head.withColumn("_c", chosen).filter(F.col("corpus") == F.col("_c")).drop("_c", "_first", "_sort")
+    return with_position(settled(rows), corpora)
 
 
 # --------------------------------------------------------------------------------------

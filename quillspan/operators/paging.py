@@ -38,17 +38,31 @@ def page(df: DataFrame, order: Sequence[Column], start: int = 0, end: int = 9) -
     if 0 <= end < NEAR:
         return df.orderBy(*order).offset(start).limit(end - start + 1)
     # Far down the order: sort into files, count per file, and rank only by file.
-    global _written
-    _written += 1
-    path = f"{shared_folder(df.sparkSession)}/pages/{_written}"
     rows = df.withColumns({"_all": F.lit(0), "_one": F.lit(1)})
-    ranked = running_by_file(rows, ["_all"], order, "_one", "_rank", path)
+    ranked = running_by_file(rows, ["_all"], order, "_one", "_rank", _new_path(df))
     wanted = F.col("_rank") >= start
     if end != -1:
         wanted = wanted & (F.col("_rank") <= end)
     return ranked.filter(wanted).drop("_all", "_one", "_rank")
 
 
+def settled(page_rows: DataFrame) -> DataFrame:
+    """The page written to the shared folder and read back.
+
+    Positions, texts around and context are looked up for the same page one after the other.
+    Without this, each look-up would search the whole corpus for the page again.
+    """
+    path = _new_path(page_rows)
+    page_rows.write.mode("overwrite").parquet(path)
+    return page_rows.sparkSession.read.schema(page_rows.schema).parquet(path)
+
+
+def _new_path(df: DataFrame) -> str:
+    global _written
+    _written += 1
+    return f"{shared_folder(df.sparkSession)}/pages/{_written}"
+
+
 def numbered(page_rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Number the rows of one page from 0 in column ``row``; the page itself is bounded."""
     return page_rows.withColumn("row", F.row_number().over(Window.orderBy(*order)) - 1)

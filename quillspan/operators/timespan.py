@@ -50,64 +50,61 @@ def in_range(rows: DataFrame, start: str | None, end: str | None, strategy: int)
     return rows.filter((df >= lo) & (dt <= hi))
 
 
-def bucket_spans(rows: DataFrame, granularity: str, strategy: int = 1, edge_rule: str = "calendar") -> DataFrame:
-    """First and last bucket of dated spans, as ``_f`` and ``_t``.
+def _changes(rows: DataFrame, value: str, cal: Calendar, groups: Sequence[str], strategy: int, edge_rule: str) -> DataFrame:
+    """What each span adds at its first bucket and takes back after its last one.
 
     1: a span end that is not on a bucket edge moves inward, unless the span stays in one bucket.
     2: every bucket touched.  3: only spans within one bucket.
     ``edge_rule="reference"`` takes only the 31st for the end of a month.
+
+    Undated rows give one change without a bucket; spans that do not count give none.  All cases
+    sit in one generator and not in filters, so the rows are read and truncated once.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    cal = Calendar(granularity)
-    rows = rows.filter(F.col("datefrom").isNotNull() & F.col("dateto").isNotNull())
-    df, dt = cal.resolve(F.col("datefrom")), cal.resolve(F.col("dateto"))
-    rows = rows.withColumns({"_df": df, "_dt": dt}).withColumns({"_f": cal.start(F.col("_df")), "_t": cal.start(F.col("_dt"))})
-    f, t = F.col("_f"), F.col("_t")
+    rows = rows.select(*groups, cal.resolve(F.col("datefrom")).alias("_df"), cal.resolve(F.col("dateto")).alias("_dt"), F.col(value).cast("bigint").alias("_n"))
+    df, dt = F.col("_df"), F.col("_dt")
+    rows = rows.withColumns({"_f": cal.start(df), "_t": cal.start(dt)})
+    f, t, counts = F.col("_f"), F.col("_t"), F.lit(True)
     if strategy == 3:
-        rows = rows.filter(f == t)
+        counts = f == t
     elif strategy == 1:
-        last_of_bucket = F.col("_dt") == cal.next(t) - cal.smallest
-        if edge_rule == "reference" and granularity == "m":
-            last_of_bucket = F.dayofmonth("_dt") == 31
-        rows = rows.filter((f == t) | (F.col("_df") < F.col("_dt"))).withColumns(
-            {
-                "_f": F.when((f == t) | (F.col("_df") == f), f).otherwise(cal.next(f)),
-                "_t": F.when((f == t) | last_of_bucket, t).otherwise(cal.previous(t)),
-            }
-        )
-    return rows.drop("_df", "_dt")
-
-
-def step_function(rows: DataFrame, value: str, granularity: str, groups: Sequence[str], strategy: int = 1, edge_rule: str = "calendar") -> DataFrame:
-    """``*groups, bucket, <value>``: the sum of ``value`` over the spans covering each bucket.
-
-    A span adds its value at its first bucket and takes it back after its last one, and the
-    running total over these changes is the step function.
-    """
-    cal = Calendar(granularity)
-    dated = bucket_spans(rows, granularity, strategy, edge_rule)
-    amount = F.when(F.col("_f") <= F.col("_t"), F.col(value)).otherwise(F.lit(0)).cast("bigint")
-    begin = F.struct(F.col("_f").alias("bucket"), amount.alias("_delta"))
-    finish = F.struct(cal.next(F.col("_t")).alias("bucket"), (-amount).alias("_delta"))
-    changes = dated.select(*groups, F.inline(F.array(begin, finish))).groupBy(*groups, "bucket").agg(F.sum("_delta").alias("_delta"))
-    changes = changes.withColumn("_block", cal.coarser(F.col("bucket")))
-    steps = running_by_block(changes, groups, "_block", [F.col("bucket")], "_delta", value, rows_out="_points")
-    # Spans that moved inward until nothing was left give a single point, and then there is none.
-    return steps.filter(F.col("_points") > 1).select(*groups, "bucket", value)
-
-
-def undated(rows: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    rows = rows.filter(F.col("datefrom").isNull() | F.col("dateto").isNull())
-    out = rows.groupBy(*groups).agg(F.sum(value).alias(value))
-    return out.select(*groups, F.lit(None).cast("timestamp_ntz").alias("bucket"), value)
+        last_of_bucket = dt == cal.next(t) - cal.smallest
+        if edge_rule == "reference" and cal.granularity == "m":
+            last_of_bucket = F.dayofmonth(dt) == 31
+        counts = (f == t) | (df < dt)
+        first = F.when((f == t) | (df == f), f).otherwise(cal.next(f))
+        last = F.when((f == t) | last_of_bucket, t).otherwise(cal.previous(t))
+        rows = rows.withColumns({"_f": first, "_t": last, "_counts": counts})
+        counts = F.col("_counts")
+    amount = F.when(f <= t, F.col("_n")).otherwise(F.lit(0).cast("bigint"))
+
+    def change(bucket: Column, delta: Column) -> Column:
+        return F.struct(bucket.alias("bucket"), delta.alias("_delta"))
+
+    no_bucket = F.lit(None).cast("timestamp_ntz")
+    undated = df.isNull() | dt.isNull()
+    both = F.array(change(f, amount), change(cal.next(t), -amount))
+    every = F.when(undated, F.array(change(no_bucket, F.col("_n")))).when(counts, both).otherwise(F.slice(both, 1, 0))
+    return rows.select(*groups, F.inline(every)).groupBy(*groups, "bucket").agg(F.sum("_delta").alias("_delta"))
 
 
 def over_time(
     rows: DataFrame, value: str, granularity: str = "y", strategy: int = 1, groups: Sequence[str] = ("corpus",), edge_rule: str = "calendar"
 ) -> DataFrame:
-    """Step function plus one point without a bucket for what is undated."""
-    return step_function(rows, value, granularity, groups, strategy, edge_rule).unionByName(undated(rows, value, groups))
+    """``*groups, bucket, <value>``: the sum of ``value`` over the spans covering each bucket.
+
+    The running total over the changes is the step function.  What is undated has its own point
+    without a bucket.
+    """
+    cal = Calendar(granularity)
+    never = F.lit("0001-01-01").cast("timestamp_ntz")
+    changes = _changes(rows, value, cal, groups, strategy, edge_rule).withColumns(
+        {"_dated": F.col("bucket").isNotNull(), "_block": F.coalesce(cal.coarser(F.col("bucket")), never)}
+    )
+    steps = running_by_block(changes, [*groups, "_dated"], "_block", [F.col("bucket")], "_delta", value, rows_out="_points")
+    # Spans that moved inward until nothing was left give a single point, and then there is none.
+    return steps.filter((F.col("_points") > 1) | ~F.col("_dated")).select(*groups, "bucket", value)
 
 
 def combine(rows: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -28,7 +28,10 @@ def corpora_in_range(corpora: Corpora, start: str | None, end: str | None) -> Co
 
 
 def check_points(corpora: Corpora, granularity: str, start: str | None = None, end: str | None = None) -> None:
-    """ValueError when the range has more buckets than a trend may have."""
+    """ValueError when the range has more buckets than a trend may have.
+
+    Reads at most the small ``info`` table, before anything else runs.
+    """
     unit = _UNIT[Calendar(granularity).granularity]
     if start and end:
         ends = corpora.info.sparkSession.range(1).select(
@@ -64,6 +67,7 @@ def count_time(
     their bucket's token count.  With ``all_corpora`` the corpora are taken together (``''``).
     """
     cal = Calendar(granularity)
+    check_points(corpora, granularity, start, end)
     hits, sizes = _steps(matches, corpora, cal, strategy, start, end, all_corpora)
     same = [hits["corpus"] == sizes["corpus"], hits["bucket"].eqNullSafe(sizes["bucket"])]
     by = [hits[c] for c in hits.columns if c == "query_no"]
@@ -94,10 +98,11 @@ def has_text_marks(
 ) -> DataFrame:
     """``corpus, time, mark`` where a corpus starts (0) or stops (null) to have text.
 
-    The undated point comes first in the order.  A trend has at most a few thousand points per
-    corpus, so the window over one corpus is small.
+    The undated point comes first in the order.  The number of points per corpus is limited, so
+    the window over one corpus is small.
     """
     cal = Calendar(granularity)
+    check_points(corpora, granularity, start, end)
     rows = in_range(text_spans(corpora, cal.by_date), start, end, strategy)
     if all_corpora:
         rows = combine(rows, "tokens")
