@@ -4,21 +4,49 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import near_dedup
+from quillspan.llm import near_dedup, packing, quality, token_counts, toxicity
 from quillspan.llm.tables import documents
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def importable(spark: SparkSession) -> None:
     """Python workers import this library from where the driver found it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), keep_ids=False).drop("ids")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line's end counts where most of its bytes are."""
+    importable(spark)
+    return token_counts.section_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op7_toxicity, op9_quality, op10_token_counts)}
 ORACLE: dict[str, str] = {}
