@@ -116,25 +116,43 @@ def near_links(docs: DataFrame, signed: DataFrame, reps: DataFrame, size: int, p
     gap = 100 * F.size("removed") + percent * F.size("added")
     compared = settle(compared.withColumn("gap", gap).withColumn("room", (100 - percent) * F.col("n")), "compared")
     direct = compared.filter("gap <= room").select(F.col("node").alias("src"), F.col("centre").alias("dst"))
-    return settle(direct.unionByName(_links_beside(compared, direct, percent)).distinct(), "near"), (pairs, sets, compared)
+    beside = _links_beside(compared, components(direct), percent)
+    return settle(direct.unionByName(beside).distinct(), "near"), (pairs, sets, compared)
 
 
-def _links_beside(compared: DataFrame, direct: DataFrame, percent: int) -> DataFrame:
-    """Links between two members of a centre of which at least one is not linked with the centre."""
+def _links_beside(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links between two members of a centre of which at least one is not linked with the centre.
+
+    ``parts(node, component)`` says what the links with centres connect already; only links between different
+    components are looked for.  Two joins on differences: of members that are linked with the centre and ones
+    that are not (which are then within twice the distance), and of two that are not, the nearer one first.
+    """
     total = 100 + percent
-    open_ = compared.groupBy("centre").agg(F.count("*").alias("members"), F.max(F.expr("gap > room")).alias("open")).filter("members > 1 and open")
-    members = compared.join(open_.select("centre"), "centre", "left_semi")
+    near = compared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    near = near.join(parts.select(F.col("node").alias("centre"), F.col("component").alias("of_centre")), "centre", "left")
+    near = near.withColumn("of_centre", F.coalesce("of_centre", "centre"))
+    open_ = near.groupBy("centre").agg(
+        F.count("*").alias("members"), F.max(F.expr("component <> of_centre")).alias("open"),
+        F.min("gap").alias("least_gap"), F.min(F.expr("if(gap > room, gap, null)")).alias("least_far"),
+    ).filter("members > 1 and open")
     # differences in one fixed order: added ones, which few members share, first
-    members = members.withColumn("items", F.concat(F.array_sort("added"), F.array_sort("removed")))
-    least_x = F.floor((F.col("gap") + total) / total).cast("int")
-    least_y = F.floor((F.col("gap") - F.col("room") + total - 1) / total).cast("int")
-    first_x = F.expr("slice(items, 1, greatest(size(items) - least + 1, 0))")
-    xs = members.withColumn("least", least_x).select("centre", F.col("node").alias("x"), F.explode(first_x).alias("item"))
-    ys = members.filter("gap > room").withColumn("least", least_y)
-    ys = ys.select("centre", F.col("node").alias("y"), F.explode(first_x).alias("item"))
-    found = xs.join(ys, ["centre", "item"]).filter("x <> y").select("centre", "x", "y").distinct()
-    side = lambda name: members.select("centre", *(F.col(c).alias(f"{name}{c}" if c != "node" else name) for c in ("node", "added", "removed", "gap")))
-    found = found.join(side("x"), ["centre", "x"]).join(side("y").join(members.select("centre", F.col("node").alias("y"), "room"), ["centre", "y"]), ["centre", "y"])
+    members = settle(near.join(open_.drop("members", "open"), "centre").withColumn("items", F.concat(F.array_sort("added"), F.array_sort("removed"))), "members")
+
+    def firsts(of: DataFrame, name: str, least: str) -> DataFrame:
+        """The first differences: of ``n`` of which ``least`` are shared, one of the first n - least + 1 is."""
+        of = of.withColumn("_first", F.expr(f"slice(items, 1, greatest(size(items) - cast(greatest(ceil(({least}) / {total}), 1) as int) + 1, 0))"))
+        return of.select("centre", F.col("node").alias(name), F.col("component").alias(f"{name}_part"), F.col("gap").alias(f"{name}_gap"), F.explode("_first").alias("item"))
+
+    far = members.filter("gap > room")
+    # linked x, far y: shared * total >= gap(x) + gap(y) - room; as shared <= size(x) <= gap(x) / percent, gap(y) is bounded
+    linked = firsts(members.filter("gap <= room"), "x", "gap + least_far - room")
+    beyond = firsts(far.filter(f"component <> of_centre and gap <= room * (1 + {total - percent} / {percent})"), "y", "gap + least_gap - room")
+    nearer, farther = firsts(far, "x", "2 * gap - room"), firsts(far, "y", "gap + least_far - room")
+    first = linked.join(beyond, ["centre", "item"]).filter("x_part <> y_part")
+    second = nearer.join(farther, ["centre", "item"]).filter("x_part <> y_part and (x_gap < y_gap or x_gap = y_gap and x < y)")
+    found = first.select("centre", "x", "y").unionByName(second.select("centre", "x", "y")).distinct()
+    side = lambda name: members.select("centre", "room", *(F.col(c).alias(f"{name}{c}" if c != "node" else name) for c in ("node", "added", "removed", "gap")))
+    found = found.join(side("x"), ["centre", "x"]).join(side("y").drop("room"), ["centre", "y"])
     shared = F.size(F.array_intersect("xadded", "yadded")) + F.size(F.array_intersect("xremoved", "yremoved"))
     return found.filter(total * shared >= F.col("xgap") + F.col("ygap") - F.col("room")).select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
