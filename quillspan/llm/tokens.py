@@ -14,15 +14,33 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_CUTS, CACHE_IDS, BATCH_CHARS = 600_000, 6_000_000, 4_000_000
-_BESIDE = re.compile(r"\s\s|^\s|\s$")
+CACHE_CUTS, CACHE_IDS, BATCH_CHARS, JOINED = 1_200_000, 12_000_000, 4_000_000, 400
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _single_breaks(text: str) -> bool:
+    """Only blanks and line breaks as white space, none beside another and none at an end."""
+    found = text.split()
+    breaks = text.count(" ") + text.count("\n")
+    return len(found) - 1 == breaks and sum(map(len, found)) == len(text) - breaks
+
+
 def cuts(text: str) -> list[str]:
     """The text in pieces that the tokenizer never joins; their concatenation is the text."""
-    parts = _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])] if text else []
+    parts = text.split(" ") if _single_breaks(text) else _CUT.split(text)
+    return [parts[0], *[" " + p for p in parts[1:]]] if text else []
+
+
+class Cuts(dict):
+    """Cut -> number, in order of first sight; ``fresh`` lists those without ids yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, cut: str) -> int:
+        number = self[cut] = len(self)
+        self.fresh.append(cut)
+        return number
 
 
 class Encoder:
@@ -37,33 +55,59 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Cuts()
         self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        start = len(self.flat) + np.cumsum(length) - length
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
-        self.at.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces))))
-        self.flat = np.concatenate([self.flat, flat])
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [cuts(t) for t in texts]
-        new = set(chain.from_iterable(pieces)) - self.at.keys()
-        if len(self.at) + len(new) > CACHE_CUTS or len(self.flat) > CACHE_IDS:
+        if len(self.at) > CACHE_CUTS or len(self.flat) > CACHE_IDS:
             self._clear()
-            new = set(chain.from_iterable(pieces))
-        if new:
-            self._learn(sorted(new))
+        pieces = [cuts(t) for t in texts]
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
         index = np.fromiter(map(self.at.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        self._learn()
+        bounds = np.concatenate([[0], np.cumsum(self.length[index])])[np.cumsum(counts)]
+        return np.split(self._flat(index), bounds[:-1])
+
+    def _learn(self) -> None:
+        """Ids of the fresh cuts.  A letter and then one full stop or comma at the end never share a token."""
+        fresh, first = self.at.fresh, len(self.start)
+        tails = [p for p in fresh if p[-1] in ",." and p[-2:-1].isalpha()]
+        parts = np.array([(self.at[p[:-1]], self.at[p[-1]]) for p in tails], np.int64).reshape(-1, 2)
+        self.start, self.length = np.append(self.start, np.zeros(len(fresh), np.int64)), np.append(self.length, np.zeros(len(fresh), np.int64))
+        composed = np.fromiter(map(self.at.__getitem__, tails), np.int64, len(tails))
+        simple = np.setdiff1d(np.arange(first, len(self.start)), composed, assume_unique=True)
+        self._add(simple, *self._encode([fresh[i - first] for i in simple]))
+        self._add(composed, self._flat(parts.ravel()), self.length[parts].sum(axis=1))
+        self.at.fresh = []
+
+    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many cuts in a row at a time, as each but a text's first starts with its space."""
+        alone = [p[0] != " " or p[1:2].isspace() or p[-1].isspace() for p in new]
+        joined, row = [], []
+        for cut, own in zip(new, alone):
+            if own or len(row) == JOINED:
+                joined += ["".join(row)]
+                row = []
+            row.append(cut)
+            if own:
+                joined += ["".join(row)]
+                row = []
+        found = [e.ids for e in self.tokenizer.encode_batch([*joined, "".join(row)], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        size = np.fromiter((len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in new), np.int64, len(new))
+        ends = np.searchsorted(np.cumsum(self.n_bytes[flat]), np.cumsum(size)) + 1
+        return flat, np.diff(ends, prepend=0)
+
+    def _add(self, numbers: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        self.start[numbers] = len(self.flat) + np.cumsum(length) - length
+        self.length[numbers] = length
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _flat(self, index: np.ndarray) -> np.ndarray:
+        """The ids of the cuts with these numbers, one after another."""
         length = self.length[index]
-        ends = np.cumsum(length)
-        place = np.arange(int(length.sum())) + np.repeat(self.start[index] - (ends - length), length)
-        bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return np.split(self.flat[place], bounds[:-1])
+        before = np.cumsum(length) - length
+        return self.flat[np.arange(int(length.sum())) + np.repeat(self.start[index] - before, length)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
