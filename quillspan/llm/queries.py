@@ -6,8 +6,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import near_dedup, packing, quality, token_counts, toxicity
+from quillspan.llm import decontamination, line_dedup, near_dedup, packing, quality, token_counts, toxicity
 from quillspan.llm.tables import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +33,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), keep_ids=False).drop("ids")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items of which they hold a copy, exact or edited."""
+    importable(spark)
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its recurring lines."""
+    importable(spark)
+    out = line_dedup.without_recurring_lines(documents(spark, sf_dir))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.size("_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
@@ -48,5 +62,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op7_toxicity, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op6_decontamination, op7_toxicity, op8_line_dedup, op9_quality, op10_token_counts)}
 ORACLE: dict[str, str] = {}
