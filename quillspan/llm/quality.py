@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.labelled import TRAIN_ROWS, held_out, in_one_task, training_rows
@@ -24,7 +25,6 @@ FEATURES = (
     "log_words", "word_length", "word_length_sd", "longest_word", "distinct_words", "top_word", "short_words",
     "letterless_words", "repeated_pairs", "log_lines", "distinct_lines", "words_per_line", "sentence_ends", "repeated_byte",
 )
-SCORED = "doc_id long, score double"
 
 _CLASS = np.zeros(256, np.uint8)
 for _code, _chars in enumerate((range(65, 91), range(48, 58), b" \t\r\x0b\x0c", b"\n", b"!", b"|", b".", b"\"#$%&'()*+,-/:;<=>?@[\\]^_`{}~", range(128, 256), range(97, 123)), 1):
@@ -151,15 +151,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, how: Gam = G
     return train(np.stack(got["features"]).astype(np.float64), got["label"].to_numpy(np.float64), how) if len(got) else None
 
 
-def _score(model):
-    def run(batches):
-        for batch in batches:
-            found = list(rows([batch], "doc_id", "text"))
-            if found:
-                scores = predict(model.value, np.stack([features(t) for _, t in found]).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array(scores)], names=["doc_id", "score"])
+def score(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, how: Gam = Gam()) -> Column:
+    """The score of ``text`` as a column, by a model of at most ``most`` labelled rows; 1 without any."""
+    model = fit(docs, labels, most, how)
+    if model is None:
+        return F.lit(1.0)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    return run
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(predict(sent.value, np.stack([features(t) for t in texts]).astype(np.float64)) if len(texts) else [], dtype="float64")
+
+    return scored(F.col("text").cast("string"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = TRAIN_ROWS, how: Gam = Gam()) -> DataFrame:
@@ -170,10 +173,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: in
     Without labelled rows every score is 1: nothing is rejected.  A null doc_id counts as held out; repeated rows
     are scored each; an empty table gives no rows; other columns are ignored.
     """
-    model = fit(docs, labels, most, how)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if model is None:
-        scored = docs.select("doc_id", F.lit(1.0).alias("score"))
-    else:
-        scored = docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), SCORED)
+    scored = docs.select("doc_id", score(docs, labels, most, how).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.expr(f"cast(score >= {threshold} as int)").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = TRAIN_ROWS, how: Gam = Gam()) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    return docs.filter(score(docs, labels, most, how) >= threshold)
