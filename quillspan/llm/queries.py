@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, quality, token_counts, toxicity
+from quillspan.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 from quillspan.llm.tables import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and the benchmark items of which they hold a copy, exact or edited."""
     importable(spark)
@@ -66,5 +71,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op4_fingerprints, op6_decontamination, op7_toxicity, op8_line_dedup, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_decontamination, op7_toxicity, op8_line_dedup, op9_quality, op10_token_counts)}
 ORACLE: dict[str, str] = {}
