@@ -2,8 +2,8 @@
 
 A table of plain banding needs its own ``2k`` hash functions.  Here ``side`` collections of ``k``
 functions on the left and as many on the right form ``side * side`` tables: table (i, j) has the pair
-(left i, right j) for its key.  64 tables of 6 minhashes so cost 48 functions, not 384.  A pair of
-similarity s shares a table with probability (1 - (1 - s**k)**side)**2: 0.999 at 0.85 with the defaults.
+(left i, right j) for its key.  100 tables of 8 minhashes so cost 80 functions, not 800.  A pair of
+similarity s shares a table with probability (1 - (1 - s**k)**side)**2: 0.9988 at 0.85 with the defaults.
 
 Documents with equal sets are one node from the start.  In every bucket all nodes are compared with the
 least one (the centre), so a bucket of any size costs one comparison a member.  What that leaves open, a
@@ -19,14 +19,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
 from quillspan.llm.tables import drop, settle
 from quillspan.llm.words import HASHES, mix, rows, shingles, words
 
-SIDE, K = 8, 3
+SIDE, K = 10, 4
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
 
@@ -108,7 +108,8 @@ def near_links(docs: DataFrame, signed: DataFrame, reps: DataFrame, size: int, p
     nodes = signed.join(reps.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"])
     keys = nodes.dropDuplicates(["set_a", "set_b"]).select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last")
-    pairs = settle(keys.join(centres.select("key", "centre"), "key").filter("node <> centre").select("node", "centre").distinct(), "pairs")
+    bucketed = settle(keys.join(centres.select("key", "centre"), "key").filter("node <> centre"), "buckets")
+    pairs = settle(bucketed.select("node", "centre").distinct(), "pairs")
     wanted = pairs.select(F.col("node").alias("doc_id")).unionByName(pairs.select(F.col("centre").alias("doc_id"))).distinct()
     sets = settle(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "node long, items array<long>"), "sets")
     compared = _compared(pairs, sets)
@@ -116,37 +117,53 @@ def near_links(docs: DataFrame, signed: DataFrame, reps: DataFrame, size: int, p
     gap = 100 * F.size("removed") + percent * F.size("added")
     compared = settle(compared.withColumn("gap", gap).withColumn("room", (100 - percent) * F.col("n")), "compared")
     direct = compared.filter("gap <= room").select(F.col("node").alias("src"), F.col("centre").alias("dst"))
-    beside = _links_beside(compared, components(direct), percent)
-    return settle(direct.unionByName(beside).distinct(), "near"), (pairs, sets, compared)
+    beside = _links_beside(compared, bucketed, components(direct), percent)
+    return settle(direct.unionByName(beside).distinct(), "near"), (bucketed, pairs, sets, compared)
 
 
-def _links_beside(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _open_members(near: DataFrame, bucketed: DataFrame, percent: int) -> DataFrame:
+    """``(centre, node, first, second)``: members that share a bucket with one of another component.
+
+    ``second``: both are far, that is not linked with the centre; ``first``: one is linked, and the other is near
+    enough for it.  For a linked x and a far y of similarity: gap(y) <= room * (1 + 100 / percent).
+    """
+    status = near.select("centre", "node", "component", F.expr("gap > room").alias("far"), F.expr(f"gap > room and component <> of_centre and gap <= room * (1 + 100 / {percent})").alias("beyond"))
+    rows = bucketed.join(status, ["centre", "node"])
+    part = F.when(F.col("far"), F.col("component"))
+    keys = rows.groupBy("key").agg((F.min(part) < F.max(part)).alias("second"), (F.max("beyond") & F.max(~F.col("far"))).alias("first")).filter("first or second")
+    tagged = rows.join(keys, "key").groupBy("centre", "node").agg(F.max(F.expr("first and (beyond or not far)")).alias("first"), F.max(F.expr("second and far")).alias("second"))
+    return tagged.filter("first or second")
+
+
+def _links_beside(compared: DataFrame, bucketed: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links between two members of a centre of which at least one is not linked with the centre.
 
     ``parts(node, component)`` says what the links with centres connect already; only links between different
-    components are looked for.  Two joins on differences: of members that are linked with the centre and ones
-    that are not (which are then within twice the distance), and of two that are not, the nearer one first.
+    components are looked for, and only between members of one bucket.  Two joins on differences: of members that
+    are linked with the centre and ones that are not, and of two that are not, the nearer one first.
     """
     total = 100 + percent
     near = compared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     near = near.join(parts.select(F.col("node").alias("centre"), F.col("component").alias("of_centre")), "centre", "left")
     near = near.withColumn("of_centre", F.coalesce("of_centre", "centre"))
-    open_ = near.groupBy("centre").agg(
-        F.count("*").alias("members"), F.max(F.expr("component <> of_centre")).alias("open"),
-        F.min("gap").alias("least_gap"), F.min(F.expr("if(gap > room, gap, null)")).alias("least_far"),
-    ).filter("members > 1 and open")
-    # differences in one fixed order: added ones, which few members share, first
-    members = settle(near.join(open_.drop("members", "open"), "centre").withColumn("items", F.concat(F.array_sort("added"), F.array_sort("removed"))), "members")
+    members = settle(near.join(_open_members(near, bucketed, percent), ["centre", "node"]), "members")
+    least = members.groupBy("centre").agg(F.min("gap").alias("least_gap"), F.min(F.expr("if(gap > room, gap, null)")).alias("least_far"))
+    # differences in one fixed order, the ones that the fewest members of the centre have first
+    items = members.select("centre", "node", F.explode(F.concat("added", "removed")).alias("item"))
+    counted = items.withColumn("n", F.count("*").over(Window.partitionBy("centre", "item")))
+    ranked = counted.groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))
+    ranked = ranked.select("centre", "node", F.col("ranked.item").alias("items"))
+    light = settle(members.drop("added", "removed").join(least, "centre").join(ranked, ["centre", "node"]), "ranked")
 
     def firsts(of: DataFrame, name: str, least: str) -> DataFrame:
         """The first differences: of ``n`` of which ``least`` are shared, one of the first n - least + 1 is."""
         of = of.withColumn("_first", F.expr(f"slice(items, 1, greatest(size(items) - cast(greatest(ceil(({least}) / {total}), 1) as int) + 1, 0))"))
         return of.select("centre", F.col("node").alias(name), F.col("component").alias(f"{name}_part"), F.col("gap").alias(f"{name}_gap"), F.explode("_first").alias("item"))
 
-    far = members.filter("gap > room")
-    # linked x, far y: shared * total >= gap(x) + gap(y) - room; as shared <= size(x) <= gap(x) / percent, gap(y) is bounded
-    linked = firsts(members.filter("gap <= room"), "x", "gap + least_far - room")
-    beyond = firsts(far.filter(f"component <> of_centre and gap <= room * (1 + {total - percent} / {percent})"), "y", "gap + least_gap - room")
+    # shared * total >= gap(x) + gap(y) - room
+    linked = firsts(light.filter("first and gap <= room"), "x", "gap + least_far - room")
+    beyond = firsts(light.filter("first and gap > room"), "y", "gap + least_gap - room")
+    far = light.filter("second")
     nearer, farther = firsts(far, "x", "2 * gap - room"), firsts(far, "y", "gap + least_far - room")
     first = linked.join(beyond, ["centre", "item"]).filter("x_part <> y_part")
     second = nearer.join(farther, ["centre", "item"]).filter("x_part <> y_part and (x_gap < y_gap or x_gap = y_gap and x < y)")
