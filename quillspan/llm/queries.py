@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from quillspan.llm import decontamination, fingerprints, language_model, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 from quillspan.llm.tables import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), keep_ids=False).drop("ids")
@@ -71,5 +76,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_decontamination, op7_toxicity, op8_line_dedup, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_decontamination, op7_toxicity, op8_line_dedup, op9_quality, op10_token_counts)}
 ORACLE: dict[str, str] = {}
