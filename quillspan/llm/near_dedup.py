@@ -65,7 +65,7 @@ def _sign(size: int, side: int, k: int):
                 out.append((doc_id, len(values), int(a), int(b), _table_keys(values, side, k).view(np.int64)))
             else:
                 out.append((doc_id, 0, None, None, None))
-            if len(out) >= 2000:
+            if len(out) >= 500:
                 yield _batch(out)
                 out = []
         if out:
@@ -85,10 +85,10 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 500):
-                sets = [shingle_set(t, size).view(np.int64) for t in texts[at : at + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(t, size).view(np.int64) for (t,) in rows([part], "text")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
 
     return run
 

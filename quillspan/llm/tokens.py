@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_CUTS, CACHE_IDS, BATCH_CHARS, JOINED = 1_200_000, 12_000_000, 4_000_000, 400
+CACHE_CUTS, CACHE_IDS, BATCH_CHARS, JOINED = 800_000, 8_000_000, 4_000_000, 400
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 

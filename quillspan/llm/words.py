@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 500_000
+CACHE_WORDS, ROWS = 150_000, 500
 
 
 def words(text: str | None) -> list[bytes]:
@@ -53,6 +53,8 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def rows(batches: Iterator, *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as Python values."""
+    """Rows of Arrow batches as Python values, some hundred at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        for at in range(0, batch.num_rows, ROWS):
+            yield from zip(*(c.slice(at, ROWS).to_pylist() for c in columns))
