@@ -25,7 +25,7 @@ def allocate(ends: np.ndarray, starts: np.ndarray, rule: str) -> tuple[np.ndarra
 
     ``ends``: byte position after each token; ``starts``: first byte of each section, rising, from 0.
     """
-    begins = np.concatenate([[0], ends[:-1]])
+    begins = np.append(0, ends)[:-1]
     first = np.searchsorted(starts, begins, "right") - 1
     last = np.searchsorted(starts, ends - 1, "right") - 1
     crossing = last > first
