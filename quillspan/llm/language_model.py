@@ -33,7 +33,7 @@ from quillspan.llm.words import HASHES, mix, rows, words
 CONTEXTS = 1 << 16
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end of text"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start of text"))
-FLUSH_TOKENS, FLUSH_DOCS = 1_200_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 250_000, 60_000
 FOLDS, FOLD = 7, 2
 PACKED = "shard int, kind int, flush long, " + ", ".join(f"{c} binary" for c in "abcdefghi")
 SUMS = "part int, tables binary, customers binary, hot_tables binary, hot_customers binary, total_tables long, total_root long, tokens long, known long"
@@ -67,23 +67,42 @@ def _batch(schema: str, out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _frequent(batches):
-    """Words of a hundred-thousandth or more of a batch's tokens; row '' has the number of tokens."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for (text,) in rows([batch], "text"):
-            counts.update(words(text))
-            counts[b" end of text"] += 1
+def _frequent(share: int):
+    """Words of a quarter of 1 / ``share`` or more of some hundred thousand tokens; row null has the number of tokens."""
+
+    def flush(counts: Counter):
         total = counts.total()
-        kept = [(int(xxhash.xxh3_64_intdigest(w)) - 2**63, n) for w, n in counts.items() if n * 100_000 >= total]
-        yield _batch("word long, n long", [*kept, (None, total)])
+        kept = [(int(xxhash.xxh3_64_intdigest(w)) - 2**63, n) for w, n in counts.items() if 4 * n * share >= total]
+        return _batch("word long, n long", [*kept, (None, total)])
+
+    def run(batches):
+        counts, n = Counter(), 0
+        for (text,) in rows(batches, "text"):
+            found = words(text)
+            counts.update(found)
+            counts[b" end of text"] += 1
+            n += len(found) + 1
+            if n >= FLUSH_TOKENS:
+                yield flush(counts)
+                counts, n = Counter(), 0
+        if n:
+            yield flush(counts)
+
+    return run
 
 
 def frequent_words(docs: DataFrame, shards: int) -> np.ndarray:
-    """Hashes of the words with more than a quarter of a shard's share, at most 100,000: they are dealt by context, too."""
-    counted = docs.select("text").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """Hashes of the words with more than a quarter of a shard's share: they are dealt by context, too.
+
+    All words of 1 / ``share`` of the tokens are found, as each part of the text hides less than a quarter of that;
+    there are less than 4 / 3 * ``share`` words, and that is at most 100,000.  Which words are found has no influence
+    on any score but by the order of random numbers.
+    """
+    share = max(4, min(4 * shards, 75_000))
+    counted = docs.select("text").mapInArrow(_frequent(share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = settle(counted, "frequent")
     total = counted.filter("word is null").agg(F.sum("n")).first()[0] or 0
-    found = counted.filter(F.col("word").isNotNull() & (F.col("n") * max(4, min(4 * shards, 100_000)) >= total)).collect()
+    found = counted.filter(F.col("word").isNotNull() & (F.col("n") * 4 * share >= 3 * total)).collect()
     return np.sort(np.array([r["word"] + 2**63 for r in found], np.uint64))
 
 
