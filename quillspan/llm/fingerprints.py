@@ -25,8 +25,7 @@ FIRST = -(2**63)
 
 def term_hashes(text: Column) -> Column:
     """Distinct lower-case terms as 64-bit hashes."""
-    terms = F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: t != "")
-    return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
+    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
@@ -45,22 +44,29 @@ def _levels(level: Column) -> tuple[Column, Column]:
     return level + level % 2, level + 1 - level % 2
 
 
-def _subsets(term: Column, level: Column) -> list[Column]:
-    """Whether each of the sixteen subsets keeps the term: eight of the even level, eight of the odd one."""
-    even, odd = ((F.pow(F.lit(2.0), x) - 1).cast("long") for x in _levels(level))
-    words = [term, *(F.xxhash64(term, F.lit(i)) for i in range(1, PARTS // 4))]
-    chunks = [F.shiftrightunsigned(w, 16 * i) for w in words for i in range(4)]
-    return [c.bitwiseAND(even if i < PARTS // 2 else odd) == 0 for i, c in enumerate(chunks)]
+def _masks(level: Column) -> list[Column]:
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), x) - 1 for x in _levels(level)]
 
 
-def _sampled(text: Column, level: Column) -> Column:
-    def kept(term: Column) -> Column:
-        first, *rest = _subsets(term, level)
+def _subsets(first: Column, second: Column, even: Column, odd: Column) -> list[Column]:
+    """Whether each of the sixteen subsets keeps a term with these two hashes.
+
+    A subset of level l looks at l bits of the hash; those of the even level at eight places of the first hash,
+    those of the odd one of the second.
+    """
+    return [F.shiftrightunsigned(word, 7 * i).bitwiseAND(mask) == 0 for word, mask in ((first, even), (second, odd)) for i in range(PARTS // 2)]
+
+
+def _sampled(terms: Column, even: Column, odd: Column) -> Column:
+    """The terms that any subset of the text keeps."""
+
+    def kept(t: Column) -> Column:
+        found, *rest = _subsets(t["first"], t["second"], even, odd)
         for test in rest:
-            first = first | test
-        return first
+            found = found | test
+        return found
 
-    return F.filter(term_hashes(text), kept)
+    return F.transform(F.filter(F.transform(terms, lambda t: F.struct(t.alias("first"), F.xxhash64(t).alias("second"))), kept), lambda t: t["first"])
 
 
 def _bucket_above(buckets: DataFrame) -> DataFrame:
@@ -128,15 +134,19 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     rows = with_next(docs).withColumn("edited", edited).withColumn("level", _level(F.col("text"))).withColumn("edited_level", _level(F.col("edited")))
+    for name in ("", "edited_"):
+        even, odd = _masks(F.col(f"{name}level"))
+        rows = rows.withColumns({f"{name}even": even, f"{name}odd": odd})
+    sampled = lambda text, name: _sampled(term_hashes(F.col(text)), F.col(f"{name}even"), F.col(f"{name}odd"))
     rows = settle(rows.select(
         F.monotonically_increasing_id().alias("row"), "key", "tie", "next_key", "next_tie", n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"), "level", "edited_level", F.xxhash64("edited").alias("edited_tie"),
-        _sampled(F.col("text"), F.col("level")).alias("terms"), _sampled(F.col("edited"), F.col("edited_level")).alias("edited_terms"),
+        sampled("text", "").alias("terms"), sampled("edited", "edited_").alias("edited_terms"),
     ), "edited")
     side = lambda of, name: rows.select("row", F.lit(of).alias("side"), F.col(f"{name}level").alias("level"), F.explode(f"{name}terms").alias("term"))
     found = side(0, "").unionByName(side(1, "edited_")).join(lexicon(docs, low, high), "term")
     bits = None
-    for i, test in enumerate(_subsets(F.col("term"), F.col("level"))):
+    for i, test in enumerate(_subsets(F.col("term"), F.xxhash64("term"), *_masks(F.col("level")))):
         bit = F.when(test, F.lit(1 << i)).otherwise(F.lit(0))
         bits = bit if bits is None else bits + bit
     lists = found.groupBy("row", "side", "level").agg(F.collect_list(F.struct("term", bits.alias("bits"))).alias("terms"))
