@@ -7,11 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Granularity letters, the form of their keys, and the largest number of buckets
-# a trend may have.
+# Granularity letters and the form of their keys.
 GRANULARITIES = ("y", "m", "d", "h", "n", "s")
 KEY_FORMAT = {"y": "yyyy", "m": "yyyyMM", "d": "yyyyMMdd", "h": "yyyyMMddHH", "n": "yyyyMMddHHmm", "s": "yyyyMMddHHmmss"}
-MAX_POINTS = 3600
 
 _STEP = {
     "y": "INTERVAL '1' YEAR",
@@ -78,11 +76,14 @@ def truncate(ts: Column, unit: str) -> Column:
     return F.concat(F.left(ts.cast("string"), F.lit(width)), F.lit(rest)).cast("timestamp_ntz")
 
 
-def parse_time(text: str) -> str:
-    """``YYYYMMDD``, ``YYYYMMDDhhmmss`` or the dashed forms, as ``YYYY-MM-DD hh:mm:ss``."""
+def parse_time(text: str, end: bool = False) -> str:
+    """``YYYYMMDD``, ``YYYYMMDDhhmmss`` or the dashed forms, as ``YYYY-MM-DD hh:mm:ss``.
+
+    A day alone is its first second, or as the ``end`` of a range its last one.
+    """
     digits = "".join(ch for ch in text if ch.isdigit())
     if len(digits) == 8:
-        digits += "000000"
+        digits += "235959" if end else "000000"
     if len(digits) != 14:
         raise ValueError(f"malformed time {text!r}")
     d = digits

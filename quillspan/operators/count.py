@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from quillspan.functions.keys import choices, per_million, set_text, set_values, strip_pointer
+from quillspan.functions.keys import choices, joined, per_million, set_text, set_values, strip_pointer
 from quillspan.operators.paging import page
 from quillspan.sources.corpora import Corpora
 
@@ -119,11 +119,11 @@ def _match_key(rows: DataFrame, attr: str, split: bool, top: int | None, strip:
     if split:
         single = F.transform(set_values(F.get(col, lo), top), clean)
         sets = F.transform(values, lambda s: F.transform(set_values(s, top), clean))
-        many = F.transform(choices(sets), lambda c: F.array_join(c, " "))
+        many = F.transform(choices(sets), joined)
         return F.when(lo == hi, single).otherwise(many)
     one = set_text if _is_set(rows, attr, 1) else clean
     # Most patterns match one token; that case stays in generated code.
-    several = F.array_join(values if one is clean and not strip else F.transform(values, one), " ", "")
+    several = joined(values if one is clean and not strip else F.transform(values, one))
     return F.when(lo == hi, one(F.get(col, lo))).otherwise(several)
 
 
@@ -202,11 +202,13 @@ def sums(counts: DataFrame, corpora: Corpora, queries: int | None = None) -> Dat
 def statistics(counts: DataFrame, corpora: Corpora) -> DataFrame:
     """Per corpus, combined, and both kinds of sums in one frame, told apart by ``level``.
 
-    The grouping sets work on the counted values, not on the matches.
+    The grouping sets work on the counted values, not on the matches.  Counts with a ``query_no`` get all
+    levels for every query on its own.
     """
-    keys = key_columns(counts)
-    sets = [["corpus", *keys], keys, ["corpus"], []]
-    rows = counts.groupingSets(sets, "corpus", *keys).agg(
+    by = [c for c in counts.columns if c == "query_no"]
+    keys = key_columns(counts, by)
+    sets = [[*by, "corpus", *keys], [*by, *keys], [*by, "corpus"], by]
+    rows = counts.groupingSets(sets, *by, "corpus", *keys).agg(
         F.sum("absolute").alias("absolute"), F.grouping("corpus").alias("_all"), F.grouping(keys[0]).alias("_sum")
     )
     level = F.concat(
@@ -214,7 +216,7 @@ def statistics(counts: DataFrame, corpora: Corpora) -> DataFrame:
     )
     rows = rows.withColumn("level", level).join(corpora.info.select("corpus", "size"), "corpus", "left")
     whole = F.when(F.col("_all") == 1, _total_size(corpora)).otherwise(F.col("size"))
-    return rows.select("level", "corpus", *keys, "absolute", per_million(F.col("absolute"), whole).alias("relative"))
+    return rows.select("level", *by, "corpus", *keys, "absolute", per_million(F.col("absolute"), whole).alias("relative"))
 
 
 def distinct_values(counts: DataFrame) -> DataFrame:
@@ -223,7 +225,13 @@ def distinct_values(counts: DataFrame) -> DataFrame:
 
 
 def frequency_page(totals: DataFrame, start: int = 0, end: int = -1) -> DataFrame:
-    """Rows ``start..end`` of combined counts by falling frequency, ties by value."""
+    """Rows ``start..end`` of combined counts by falling frequency, ties by value; of each query on its own, if several."""
+    if "query_no" in totals.columns:
+        keys = key_columns(totals, ["query_no"])
+        order = [F.col("absolute").desc(), *[F.col(k).asc() for k in keys]]
+        rank = F.row_number().over(Window.partitionBy("query_no").orderBy(*order)) - 1
+        wanted = (F.col("_rank") >= start) & (F.lit(end == -1) | (F.col("_rank") <= end))
+        return totals.withColumn("_rank", rank).filter(wanted).drop("_rank")
     keys = key_columns(totals)
     return page(totals, [F.col("absolute").desc(), *[F.col(k).asc() for k in keys]], start, end)
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.paging import MAX_ROWS, NEAR, check_page, corpora_on_page, numbered, page, settled
+from quillspan.operators.paging import MAX_ROWS, check_page, corpora_on_page, numbered, page, settled
 from quillspan.sources.corpora import EDGE_WORDS, Corpora
 
 # Fixed value: default context in words.
@@ -73,25 +73,23 @@ def _order() -> list[Column]:
 def page_by_hits(matches: DataFrame, corpora: Corpora, hits: DataFrame, start: int = 0, end: int = 9) -> DataFrame:
     """The same unsorted page when the hits per corpus are known already.
 
-    Only the corpora on the page are read (``corpus`` is the partition column), and only the
-    first rows of each survive its partial ranking.
+    The first rows of each corpus, up to the last one on the page, survive a ranking that drops the
+    others before they are shuffled.
     """
     check_page(start, end)
     wanted = settled(corpora_on_page(hits, start, end))
-    rank = F.row_number().over(Window.partitionBy("corpus").orderBy("text_id", place(), "me")) - 1
-    near = matches.join(wanted.select("corpus"), "corpus", "left_semi").withColumn("_rank", rank)
-    if end < NEAR:
-        near = near.filter(F.col("_rank") <= end)
-    rows = near.join(wanted, "corpus").filter(F.col("_rank").between(F.col("first"), F.col("last")))
+    rank = F.row_number().over(Window.partitionBy("corpus").orderBy("text_id", place(), "me"))
+    near = matches.join(wanted.select("corpus"), "corpus", "left_semi").withColumn("_rank", rank).filter(F.col("_rank") <= end + 1)
+    rows = near.join(wanted, "corpus").filter((F.col("_rank") - 1).between(F.col("first"), F.col("last")))
     order = [F.col("corpus"), F.col("_rank")]
     rows = numbered(rows, order).withColumn("row", F.col("row") + start)
     return with_position(settled(rows.drop("_rank", "first", "last")), corpora)
 
 
 def with_position(rows: DataFrame, corpora: Corpora) -> DataFrame:
-    """Corpus position of the first matched token; ``rows`` is a page, so it is the small side."""
+    """Corpus position of the first matched token."""
     starts = corpora.texts.select("corpus", "text_id", "start_pos")
-    found = starts.join(F.broadcast(rows), ["corpus", "text_id"])
+    found = starts.join(rows, ["corpus", "text_id"])
     return found.withColumn("position", F.col("start_pos") + place()).drop("start_pos")
 
 
@@ -190,7 +188,7 @@ def context_words(
         "row", "corpus", (F.col("position") - left).alias("_lo"), (F.col("position") + width + right).alias("_hi")
     )
     texts = _texts_around(asked, corpora)
-    lines = corpora.sentences.join(F.broadcast(texts), ["corpus", "text_id"])
+    lines = corpora.sentences.join(texts, ["corpus", "text_id"])
     at = F.col("start_pos") + F.col("sent_off")
     lines = lines.filter((at < F.col("_hi")) & (at + F.col("n") > F.col("_lo")))
     tokens = lines.select("row", "_lo", "_hi", at.alias("_at"), *[F.col(a).alias(f"_{a}") for a in show], F.posexplode("word").alias("_i", "_w"))
@@ -225,7 +223,7 @@ def _texts_around(asked: DataFrame, corpora: Corpora) -> DataFrame:
     ends = F.col("start_pos") + F.col("n_tokens")
     texts = texts.select("corpus", "text_id", "start_pos", "n_tokens", stretches(F.col("start_pos"), ends))
     wanted = asked.select("*", stretches(F.col("_lo"), F.col("_hi")))
-    met = texts.join(F.broadcast(wanted), ["corpus", "_stretch"])
+    met = texts.join(wanted, ["corpus", "_stretch"])
     met = met.filter((F.col("start_pos") < F.col("_hi")) & (ends > F.col("_lo")))
     return met.select("row", "corpus", "text_id", "start_pos", "_lo", "_hi").distinct()
 
@@ -237,7 +235,7 @@ def context_sentences(hits: DataFrame, corpora: Corpora, around: int = 0, show:
         "row", "corpus", "text_id", F.explode(F.sequence(F.col("sent_no") - around, F.col("sent_no") + around)).alias("sent_no")
     )
     lines = corpora.sentences.select("corpus", "text_id", "sent_no", "sent_off", *show)
-    lines = lines.join(F.broadcast(near), ["corpus", "text_id", "sent_no"])
+    lines = lines.join(near, ["corpus", "text_id", "sent_no"])
     shown = lines.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("sent_off", *show))).alias("_lines"))
     rows = hits.join(shown, "row")
     start = (place() - F.col("_lines")[0]["sent_off"]).cast("int")
@@ -297,7 +295,7 @@ def with_structs(hits: DataFrame, corpora: Corpora, show_struct: Sequence[str])
     missing = [s for s in known if s not in hits.columns]
     if not missing:
         return hits
-    return corpora.texts.select("corpus", "text_id", *missing).join(F.broadcast(hits), ["corpus", "text_id"])
+    return corpora.texts.select("corpus", "text_id", *missing).join(hits, ["corpus", "text_id"])
 
 
 def open_close(hits: DataFrame, corpora: Corpora) -> DataFrame:
@@ -306,7 +304,7 @@ def open_close(hits: DataFrame, corpora: Corpora) -> DataFrame:
     Opening regions are listed from the outer to the inner one, closing ones the other way.
     """
     s = corpora.sentences.select("corpus", "text_id", "sent_no", "sent_off", "n", "text_n", F.posexplode("word").alias("i", "word"))
-    rows = s.join(F.broadcast(hits.select("row", "corpus", "text_id", "sent_no", "ms", "me")), ["corpus", "text_id", "sent_no"])
+    rows = s.join(hits.select("row", "corpus", "text_id", "sent_no", "ms", "me"), ["corpus", "text_id", "sent_no"])
     sentence_starts, sentence_ends = F.col("i") == 0, F.col("i") == F.col("n") - 1
     text_starts = F.col("sent_off") + F.col("i") == 0
     text_ends = F.col("sent_off") + F.col("i") == F.col("text_n") - 1
@@ -319,9 +317,9 @@ def open_close(hits: DataFrame, corpora: Corpora) -> DataFrame:
 def with_aligned(hits: DataFrame, corpora: Corpora, partner: Corpora, show: Sequence[str] = ("word",)) -> DataFrame:
     """Page rows with the tokens of the linked text of the partner corpus; null without a link."""
     show = _shown(partner, show)
-    links = corpora.texts.select("corpus", "text_id", "link_id").join(F.broadcast(hits.select("row", "corpus", "text_id")), ["corpus", "text_id"])
-    others = partner.texts.select(F.col("text_id").alias("_text"), "link_id").join(F.broadcast(links.select("row", "link_id")), "link_id")
-    lines = partner.sentences.select(F.col("text_id").alias("_text"), "sent_no", *show).join(F.broadcast(others), "_text")
+    links = corpora.texts.select("corpus", "text_id", "link_id").join(hits.select("row", "corpus", "text_id"), ["corpus", "text_id"])
+    others = partner.texts.select(F.col("text_id").alias("_text"), "link_id").join(links.select("row", "link_id"), "link_id")
+    lines = partner.sentences.select(F.col("text_id").alias("_text"), "sent_no", *show).join(others, "_text")
     # One linked text per row, which is one turn of the input.
     shown = lines.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("_text", "sent_no", *show))).alias("_lines"))
     rows = hits.join(shown, "row", "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators.running import running_by_block
 from quillspan.plans.pattern import Gap, One, Pattern, Pred, compile_at, seq
-from quillspan.sources.corpora import Corpora
+from quillspan.sources.corpora import Corpora, positions
 
 KEY = ("corpus", "text_id", "sent_no", "region_off")
 SPAN = ("ms", "me", "target")
@@ -55,10 +55,10 @@ def block_regions(
     lo = F.greatest(F.col("_block") * block - F.col("_place"), F.lit(0)).cast("int")
     hi = F.least(F.col("_block") * block + block + overlap - F.col("_place"), F.col("n")).cast("int")
     pieces = pieces.select(
-        *owner, *structs, "_block", (F.col("_place") + lo).alias("_place"), *[F.slice(a, lo + 1, hi - lo).alias(a) for a in attrs]
-    ).filter(F.size(attrs[0]) > 0)
+        *owner, *structs, "_block", (F.col("_place") + lo).alias("_place"), (hi - lo).alias("_n"), *[F.slice(a, lo + 1, hi - lo).alias(a) for a in attrs]
+    ).filter("_n > 0")
     gathered = pieces.groupBy(*owner, "_block").agg(
-        F.sort_array(F.collect_list(F.struct("_place", *attrs))).alias("_pieces"), *[F.first(s).alias(s) for s in structs]
+        F.sort_array(F.collect_list(F.struct("_place", *attrs))).alias("_pieces"), F.sum("_n").cast("int").alias("n"), *[F.first(s).alias(s) for s in structs]
     )
     out = gathered.select(
         *owner,
@@ -66,10 +66,11 @@ def block_regions(
         (F.col("_block") * block).cast("bigint").alias("region_off"),
         *[F.flatten(F.col("_pieces")[a]).alias(a) for a in attrs],
         F.lit(0).alias("sent_no"),
+        "n",
     )
     if not within_text:
         out = out.withColumn("text_id", F.lit(None).cast("bigint"))
-    return out.withColumn("n", F.size(attrs[0])).withColumn("home", F.least(F.lit(block), F.col("n")))
+    return out.withColumn("home", F.least(F.lit(block), F.col("n")))
 
 
 # --------------------------------------------------------------------------------------
@@ -136,10 +137,12 @@ def in_regions(regions: DataFrame, pattern: Pattern, keep: Sequence[str] = ()) -
         return _open_in_regions(regions, pattern, keep)
     names = sorted(pattern.attributes())
     lead = _lead_attribute(pattern)
+    start = positions(F.col("home")) if lead is None else F.posexplode(lead)
     kept = [c for c in dict.fromkeys(keep) if c not in KEY]
     carried = list(dict.fromkeys([*KEY, "n", "home", *names, *kept]))
-    # Exploding the attribute of the first slot keeps the first test in generated code.
-    starts = regions.select(*carried, F.posexplode(lead).alias("ms", "_lead")).filter(F.col("ms") < F.col("home"))
+    # Exploding the attribute of the first slot keeps the first test in generated code.  A slot that may
+    # match where that attribute is null takes every position.
+    starts = regions.filter(F.col("home") > 0).select(*carried, start.alias(*(["ms"] if lead is None else ["ms", "_lead"]))).filter(F.col("ms") < F.col("home"))
 
     def lookup(attr: str, pos: Column, k: int | None) -> Column:
         if k == 0 and attr == lead:
@@ -202,10 +205,11 @@ def _reaching(found: Column, later: Column, least: int) -> Column:
     return F.filter(F.transform(found, extended), lambda m: m["me"].isNotNull())
 
 
-def _lead_attribute(pattern: Pattern) -> str:
+def _lead_attribute(pattern: Pattern) -> str | None:
+    """The only attribute of a first slot; None where there is none or several, any of which may be null."""
     first = pattern.parts[0]
     names = sorted(first.pred.attributes()) if isinstance(first, One) else []
-    return names[0] if names else "word"
+    return names[0] if len(names) == 1 else None
 
 
 def spans(pattern: Pattern, lo: Column, hi: Column) -> Column:
@@ -402,14 +406,12 @@ def linked(matches: DataFrame, partner: DataFrame) -> DataFrame:
 def first_per_corpus(matches: DataFrame, n: int, texts_per_block: int = 4096) -> DataFrame:
     """At most ``n`` matches of every corpus, in corpus order.
 
-    Small ``n``: Spark drops the surplus before the shuffle.  Large ``n``: matches are counted
-    per run of texts, runs that fit are taken whole, and only the last run is ranked.
+    Matches are counted per run of texts (of positions, for matches without a text); runs that begin
+    within the first ``n`` are kept, and ranked one by one, so no window spans a corpus.
     """
-    order = [F.col("text_id"), F.col("region_off") + F.col("ms")]
-    if n <= 10_000:
-        rank = F.row_number().over(Window.partitionBy("corpus").orderBy(*order))
-        return matches.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-    rows = matches.withColumn("_block", F.floor(F.col("text_id") / texts_per_block))
+    place = F.col("region_off") + F.col("ms")
+    order = [F.col("text_id"), place]
+    rows = matches.withColumn("_block", F.coalesce(F.floor(F.col("text_id") / texts_per_block), F.floor(place / BLOCK_TOKENS)))
     earlier = Window.partitionBy("corpus").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("corpus", "_block").count()
     blocks = blocks.select("corpus", "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))

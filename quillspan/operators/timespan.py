@@ -41,7 +41,7 @@ def in_range(rows: DataFrame, start: str | None, end: str | None, strategy: int)
         return rows
     if not start or not end:
         raise ValueError("'from' and 'to' go together")
-    lo, hi = (F.lit(parse_time(x)).cast("timestamp_ntz") for x in (start, end))
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in (parse_time(start), parse_time(end, end=True)))
     df, dt = F.col("datefrom"), F.col("dateto")
     if strategy == 1:
         return rows.filter(((df >= lo) & (dt <= hi)) | ((df <= lo) & (dt >= hi)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.calendar import MAX_POINTS, Calendar, parse_time
+from quillspan.functions.calendar import Calendar, parse_time
 from quillspan.functions.keys import per_million
 from quillspan.operators.timespan import combine, in_range, over_time, time_key
 from quillspan.operators.timespan import spans as text_spans
@@ -20,26 +20,26 @@ def corpora_in_range(corpora: Corpora, start: str | None, end: str | None) -> Co
         return corpora
     if not start or not end:
         raise ValueError("'from' and 'to' go together")
-    lo, hi = (F.lit(parse_time(x)).cast("timestamp_ntz") for x in (start, end))
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in (parse_time(start), parse_time(end, end=True)))
     meets = (F.col("first_date") <= hi) & (F.col("last_date") >= lo)
     # One name per corpus: a list of the catalogue's size.
     names = corpora.info.filter(F.coalesce(meets, F.lit(True))).select("corpus")
     return corpora.mapped(lambda df: df.join(names, "corpus", "left_semi"))
 
 
-def check_points(corpora: Corpora, granularity: str, start: str | None = None, end: str | None = None) -> None:
-    """ValueError when the range has more buckets than a trend may have.
+def check_points(corpora: Corpora, granularity: str, start: str | None = None, end: str | None = None, max_points: int = 3600) -> None:
+    """ValueError when the range has more than ``max_points`` buckets; for callers that want such a limit.
 
     Reads at most the small ``info`` table, before anything else runs.
     """
     unit = _UNIT[Calendar(granularity).granularity]
     if start and end:
         ends = corpora.info.sparkSession.range(1).select(
-            F.lit(parse_time(start)).cast("timestamp_ntz").alias("lo"), F.lit(parse_time(end)).cast("timestamp_ntz").alias("hi")
+            F.lit(parse_time(start)).cast("timestamp_ntz").alias("lo"), F.lit(parse_time(end, end=True)).cast("timestamp_ntz").alias("hi")
         )
     else:
         ends = corpora.info.agg(F.min("first_date").alias("lo"), F.max("last_date").alias("hi"))
-    latest = F.col("lo") + F.expr(f"INTERVAL '{MAX_POINTS}' {unit}")
+    latest = F.col("lo") + F.expr(f"INTERVAL '{max_points}' {unit}")
     row = ends.select((F.col("hi") > latest).alias("too_long")).first()
     if row.too_long:
         raise ValueError("the time range is too long for this granularity; use 'from' and 'to'")
@@ -60,14 +60,18 @@ def count_time(
     start: str | None = None,
     end: str | None = None,
     all_corpora: bool = False,
+    max_points: int | None = None,
 ) -> DataFrame:
     """``corpus, [query_no,] time, absolute, relative`` for buckets that hold text.
 
+    ``max_points`` refuses a range with more buckets; without it any range goes.
+
     Buckets are where the hits' step function has points.  Hits outside the range vanish with
     their bucket's token count.  With ``all_corpora`` the corpora are taken together (``''``).
     """
     cal = Calendar(granularity)
-    check_points(corpora, granularity, start, end)
+    if max_points is not None:
+        check_points(corpora, granularity, start, end, max_points)
     hits, sizes = _steps(matches, corpora, cal, strategy, start, end, all_corpora)
     same = [hits["corpus"] == sizes["corpus"], hits["bucket"].eqNullSafe(sizes["bucket"])]
     by = [hits[c] for c in hits.columns if c == "query_no"]
@@ -98,18 +102,22 @@ def has_text_marks(
 ) -> DataFrame:
     """``corpus, time, mark`` where a corpus starts (0) or stops (null) to have text.
 
-    The undated point comes first in the order.  The number of points per corpus is limited, so
-    the window over one corpus is small.
+    The undated point comes first in the order.  Points are compared with the one before inside a coarser
+    unit of time; the first of each unit meets the last one before it by way of one row for each unit.
     """
     cal = Calendar(granularity)
-    check_points(corpora, granularity, start, end)
     rows = in_range(text_spans(corpora, cal.by_date), start, end, strategy)
     if all_corpora:
         rows = combine(rows, "tokens")
     points = over_time(rows, "tokens", granularity, strategy)
-    points = points.select("corpus", time_key(cal, F.col("bucket")).alias("time"), (F.col("tokens") > 0).alias("_has"))
-    before = F.lag("_has", 1, False).over(Window.partitionBy("corpus").orderBy("time"))
-    changed = points.withColumn("_before", before).filter(F.col("_has") != F.col("_before"))
+    unit = cal.coarser(F.col("bucket"))
+    points = points.select("corpus", time_key(cal, F.col("bucket")).alias("time"), (F.col("tokens") > 0).alias("_has"), unit.alias("_unit"))
+    units = points.groupBy("corpus", "_unit").agg(F.max_by("_has", "time").alias("_last"))
+    ended = F.lag("_last", 1, False).over(Window.partitionBy("corpus").orderBy(F.col("_unit").asc_nulls_first()))
+    units = units.select(F.col("corpus").alias("_corpus"), F.col("_unit").alias("_of"), ended.alias("_ended"))
+    points = points.join(units, (F.col("corpus") == F.col("_corpus")) & F.col("_unit").eqNullSafe(F.col("_of")))
+    before = F.lag("_has", 1).over(Window.partitionBy("corpus", "_unit").orderBy("time"))
+    changed = points.withColumn("_before", F.coalesce(before, "_ended")).filter(F.col("_has") != F.col("_before"))
     return changed.select("corpus", "time", F.when(F.col("_has"), F.lit(0)).cast("bigint").alias("mark"))
 
 

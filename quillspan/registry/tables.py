@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ _BUILT: dict[tuple[str, str, str], str] = {}
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
-        path = f"{shared_folder(spark)}/tables/{len(_BUILT)}-{name}"
+        path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
         build(path)
         _BUILT[key] = path
     return _BUILT[key]

@@ -9,6 +9,7 @@ the corpus position of a text is kept on ``texts``, so no payload is shuffled to
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
@@ -61,9 +62,9 @@ class Corpora:
         """One row per token, with only the columns asked for."""
         attrs = attrs or ("word",)
         base = ["corpus", "text_id", "sent_no", "sent_off", *structs]
-        rows = self.sentences.select(*base, *[F.col(a).alias(f"_{a}") for a in attrs], F.posexplode(attrs[0]).alias("i", attrs[0]))
-        others = [F.get(F.col(f"_{a}"), F.col("i")).alias(a) for a in attrs[1:]]
-        return rows.select(*base, "i", attrs[0], *others)
+        # By position, not by the first attribute: a corpus that lacks an attribute keeps its tokens.
+        rows = self.sentences.filter(F.col("n") > 0).select(*base, *[F.col(a).alias(f"_{a}") for a in attrs], positions(F.col("n")).alias("i"))
+        return rows.select(*base, "i", *[F.get(F.col(f"_{a}"), F.col("i")).alias(a) for a in attrs])
 
     def positioned(self, sentences: DataFrame | None = None) -> DataFrame:
         """Sentences with ``start_pos``, their first corpus position."""
@@ -72,6 +73,11 @@ class Corpora:
         return rows.join(starts, ["corpus", "text_id"]).withColumn("start_pos", F.col("_t") + F.col("sent_off")).drop("_t")
 
 
+def positions(n: Column) -> Column:
+    """One row per offset from 0 to n - 1; n is at least 1."""
+    return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+
+
 def parse_corpora(names: Iterable[str] | str) -> list[str]:
     """Upper-cased, sorted and unique corpus names from a list or a comma-separated string."""
     if isinstance(names, str):
@@ -200,7 +206,8 @@ def _conversation_corpora(spark: SparkSession, sf_dir: str, staging: str) -> tup
 
     A user turn and the assistant turn that follows it share a ``link_id``.
     """
-    key = F.col("conv_id") * _PAIR_BASE + F.col("turn")
+    fits = F.col("turn").between(0, _PAIR_BASE - 1) & F.col("conv_id").between(0, _PAIR_BASE - 1)
+    key = F.when(fits, F.col("conv_id") * _PAIR_BASE + F.col("turn")).otherwise(F.raise_error(F.lit("conversation or turn number beyond 31 bits")).cast("bigint"))
     turns = _read(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
     texts = turns.select(
         F.concat(F.lit("CONV-"), F.upper("role")).alias("corpus"),
@@ -301,7 +308,7 @@ def prepare(spark: SparkSession, sf_dir: str, kind: str = "text") -> Corpora:
     spec = KINDS[kind]
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _PREPARED:
-        path = f"{shared_folder(spark)}/corpora/{len(_PREPARED)}-{kind}"
+        path = f"{shared_folder(spark)}/corpora/{kind}-{uuid.uuid4().hex}"
         write(spark, *spec.build(spark, sf_dir, f"{path}/staging"), path)
         _PREPARED[key] = path
     return read(spark, _PREPARED[key], spec.attrs, spec.structs)

@@ -1,6 +1,7 @@
 """Counting, comparison and word pictures worked out by hand."""
 
 import math
+from dataclasses import replace
 
 import pytest
 from tiny import tiny
@@ -10,6 +11,7 @@ from quillspan.operators import catalogue, compare, relations, values
 from quillspan.operators import count as stats
 from quillspan.operators import match as m
 from quillspan.operators.lemgrams import lemgram_count
+from quillspan.sources.corpora import union
 
 A = tok("word") == "a"
 
@@ -201,3 +203,29 @@ def test_lemgram_counts(spark):
     assert table(lemgram_count(index, ["x", "y"], ["a"], ["lemgram", "suffix"]), "lemgram", "freq") == {"x": 5, "y": 3}
     with pytest.raises(ValueError):
         lemgram_count(index, ["x"], count=["infix"])
+
+
+def test_ngrams_with_blanks_inside_words_stay_apart(spark):
+    c = tiny(spark, {"A": [[["a b", "c"]], [["a", "b c"]]]})
+    found = m.find(c, seq(any_token(), any_token()), keep=["word"])
+    assert {r.word: r.absolute for r in stats.count(found, ["word"]).collect()} == {r"a\ b c": 1, r"a b\ c": 1}
+
+
+def test_pages_and_levels_of_each_query(spark):
+    rows = [("A", q, w, n) for q, counts in enumerate(({"x": 3, "y": 2}, {"x": 5})) for w, n in counts.items()]
+    counts = spark.createDataFrame(rows, "corpus string, query_no int, word string, absolute long")
+    info = tiny(spark, {"A": [[["x"]]]})
+    sums = {(r.query_no, r.absolute) for r in stats.statistics(counts, info).filter("level = 'corpus sum'").collect()}
+    assert sums == {(0, 5), (1, 5)}
+    assert sorted((r.query_no, r.word) for r in stats.frequency_page(counts.drop("corpus"), 0, 0).collect()) == [(0, "x"), (1, "x")]
+
+
+def test_tokens_of_a_corpus_without_the_attribute(spark):
+    first, second = tiny(spark, {"A": [[["a", "b"]]]}), tiny(spark, {"E": [[["a", "c"]]]})
+    second = replace(second, sentences=second.sentences.drop("pos"), attrs=("word", "lex"))
+    both = union(first, second)
+    assert {(r.corpus, r.pos): r.absolute for r in stats.count_all(both, ["pos"]).collect()} == {("A", "L"): 2, ("E", None): 2}
+    found = m.find(both, seq((tok("pos") == "Z") | (tok("word") == "a")))
+    assert sorted(r.corpus for r in found.collect()) == ["A", "E"]
+    found = m.find(both, seq((tok("pos") == "Z") | (tok("word") == "a")), within="text", block=2)
+    assert sorted(r.corpus for r in found.collect()) == ["A", "E"]

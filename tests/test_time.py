@@ -92,7 +92,7 @@ def test_corpora_outside_the_range_are_left_out(dated):
 
 
 def test_too_many_points(dated):
-    trend.check_points(dated, "d")
+    trend.check_points(dated, "d", max_points=3600)
     with pytest.raises(ValueError):
         trend.check_points(dated, "h")
     with pytest.raises(ValueError):
@@ -108,3 +108,9 @@ def test_range_needs_both_ends(dated):
         ts.timespan(dated, "x")
     with pytest.raises(ValueError):
         ts.timespan(dated, strategy=4)
+
+
+def test_a_day_as_the_end_of_a_range_is_the_whole_day(spark):
+    c = tiny(spark, {"A": [[["a"]]]}, dates={("A", 0): ("2020-01-01 10:00:00", "2020-01-01 12:00:00")})
+    assert ts.in_range(ts.spans(c, False), "20200101", "20200101", 3).count() == 1
+    assert ts.in_range(ts.spans(c, False), "20200102", "20200103", 3).count() == 0
