@@ -33,7 +33,7 @@ from quillspan.llm.words import HASHES, mix, rows, words
 CONTEXTS = 1 << 16
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end of text"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start of text"))
-FLUSH_TOKENS, FLUSH_DOCS = 250_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS, HELD_SUMS = 250_000, 60_000, 1_000_000
 FOLDS, FOLD = 7, 2
 PACKED = "shard int, kind int, flush long, " + ", ".join(f"{c} binary" for c in "abcdefghi")
 SUMS = "part int, tables binary, customers binary, hot_tables binary, hot_customers binary, total_tables long, total_root long, tokens long, known long"
@@ -244,16 +244,28 @@ class Shard:
         )
 
 
+def _shards(batches, columns: str):
+    """Shard rows one at a time: number and packed columns."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            for number, *values in rows([batch.slice(at, 1)], "shard", *columns):
+                yield number, values
+
+
 def _totals_of(states, hot, how: HpyConfig):
-    """Run the sweeps known so far in every shard and add up what the next one needs."""
+    """Run the sweeps known so far in every shard and add up what the next one needs; one row for a task."""
 
     def run(batches):
-        for number, *values in rows(batches, "shard", "a", "b", "c", "d"):
+        arrays, numbers = None, [0] * 4
+        for number, values in _shards(batches, "abcd"):
             shard = Shard(number, *values, hot.value)
             for totals in states.value:
                 shard.sweep(totals, how)
-            by_context, customers, hot_tables, hot_customers, *rest = shard.sums(hot.value)
-            yield _batch(SUMS, [(number % 16, by_context.tobytes(), customers.tobytes(), hot_tables.tobytes(), hot_customers.tobytes(), *rest)])
+            *own, a, b, c, d = shard.sums(hot.value)
+            arrays = own if arrays is None else [x + y for x, y in zip(arrays, own)]
+            numbers = [x + y for x, y in zip(numbers, (a, b, c, d))]
+        if arrays is not None:
+            yield _batch(SUMS, [(TaskContext.get().partitionId() % 16, *(x.astype(np.float64).tobytes() for x in arrays), *numbers)])
 
     return run
 
@@ -287,8 +299,13 @@ def _state(shards: DataFrame, states: list[dict], hot: np.ndarray, how: HpyConfi
 def _score(states, hot, how: HpyConfig):
     """Sums over a shard's tokens for every document: log probability, log of count + 1, known tokens."""
 
+    def rows_of(found):
+        return _batch(PACKED, [_row(0, 2, flush, score, base, known.astype(np.int32)) for flush, (score, base, known) in found.items()])
+
     def run(batches):
-        for number, *values in rows(batches, "shard", *"abcdefghi"):
+        found: dict[int, list[np.ndarray]] = {}
+        held = 0
+        for number, values in _shards(batches, "abcdefghi"):
             shard = Shard(number, *values[:4], hot.value)
             probability, n = np.zeros(len(shard.count)), 0
             for i, totals in enumerate(states.value):
@@ -311,11 +328,28 @@ def _score(states, hot, how: HpyConfig):
                 doc, times = entries[entry : entry + n_entries].astype(np.int64), entries[entry + n_entries : entry + 2 * n_entries]
                 at, entry = at + n_pairs, entry + 2 * n_entries
                 sums = [np.bincount(doc, v[each] * times) for v in (logs, base, known)]
-                yield _batch(PACKED, [_row(number, 2, int(flush), sums[0], sums[1], sums[2].astype(np.int32))])
+                old = found.get(int(flush), sums)
+                if old is not sums:
+                    held -= len(old[0])
+                    sums = [_plus(x, y) for x, y in zip(old, sums)]
+                found[int(flush)] = sums
+                held += len(sums[0])
+            if held > HELD_SUMS:
+                yield rows_of(found)
+                found, held = {}, 0
+        if found:
+            yield rows_of(found)
 
     return run
 
 
+def _plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if len(x) < len(y):
+        x, y = y, x
+    x[: len(y)] += y
+    return x
+
+
 def _documents(table: pa.Table) -> pa.Table:
     """The documents of one flush with the sums of all shards."""
     ids = held = lengths = None
@@ -347,7 +381,7 @@ def score_documents(docs: DataFrame, how: HpyConfig = HpyConfig()) -> DataFrame:
     is unknown.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.col("doc_id").cast("long")
     held = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == FOLD, F.lit(True))
     docs = docs.select(doc_id.alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
