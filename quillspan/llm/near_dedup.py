@@ -17,8 +17,10 @@ order is common to both.  The bounds are those of a similarity of 0.85 and follo
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from quillspan.llm.components import components
 from quillspan.llm.tables import drop, settle
 from quillspan.llm.words import HASHES, mix, rows, shingles, words
 
-SIDE, K = 10, 4
+SIDE, K, BITMAP = 10, 4, 24
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
 
@@ -103,6 +105,46 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _places(ids: np.ndarray) -> list[np.ndarray]:
+    """Two places of each id in a bitmap of 2 ** BITMAP bits."""
+    hashed = mix(ids.astype(np.int64).view(np.uint64))
+    return [(hashed & np.uint64((1 << BITMAP) - 1)).astype(np.int64), (hashed >> np.uint64(64 - BITMAP)).astype(np.int64)]
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the ids in ``doc_id``: of fixed size, whatever their number."""
+    schema = "part int, bits binary"
+
+    def mark(batches):
+        bits = np.zeros(1 << BITMAP, bool)
+        for batch in batches:
+            for place in _places(batch.column(0).to_numpy()):
+                bits[place] = True
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 4], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["part", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for (b,) in rows([table], "bits")])
+        return pa.table([table.column("part").slice(0, 1), pa.array([bits.tobytes()])], names=["part", "bits"])
+
+    found = ids.mapInArrow(mark, schema).groupBy("part").applyInArrow(join, schema).collect()
+    bits = np.zeros((1 << BITMAP) // 8, np.uint8)
+    for row in found:
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the ids, and few others; keeps most texts out of the join that follows."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+
+    @F.pandas_udf("boolean")
+    def marked(values: pd.Series) -> pd.Series:
+        first, second = ((sent.value[p >> 3] >> (7 - (p & 7)) & 1).astype(bool) for p in _places(values.to_numpy()))
+        return pd.Series(first & second)
+
+    return docs.filter(F.col("doc_id").isNotNull()).filter(marked("doc_id"))
+
+
 def near_links(docs: DataFrame, signed: DataFrame, reps: DataFrame, size: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Links that connect every two nodes which share a bucket and reach ``percent``; and the tables used on the way."""
     nodes = signed.join(reps.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"])
@@ -111,7 +153,8 @@ def near_links(docs: DataFrame, signed: DataFrame, reps: DataFrame, size: int, p
     bucketed = settle(keys.join(centres.select("key", "centre"), "key").filter("node <> centre"), "buckets")
     pairs = settle(bucketed.select("node", "centre").distinct(), "pairs")
     wanted = pairs.select(F.col("node").alias("doc_id")).unionByName(pairs.select(F.col("centre").alias("doc_id"))).distinct()
-    sets = settle(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "node long, items array<long>"), "sets")
+    wanted = settle(wanted, "wanted")
+    sets = settle(_perhaps(docs, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "node long, items array<long>"), "sets")
     compared = _compared(pairs, sets)
     # 100 * common >= percent * union, in terms of the differences
     gap = 100 * F.size("removed") + percent * F.size("added")
