@@ -231,8 +231,8 @@ def _texts_around(asked: DataFrame, corpora: Corpora) -> DataFrame:
 def context_sentences(hits: DataFrame, corpora: Corpora, around: int = 0, show: Sequence[str] = ("word",)) -> DataFrame:
     """Page rows with whole sentences as context: the match's own, and ``around`` on each side."""
     show = _shown(corpora, show)
-    near = hits.select(
-        "row", "corpus", "text_id", F.explode(F.sequence(F.col("sent_no") - around, F.col("sent_no") + around)).alias("sent_no")
+    near = _matched_sentences(hits, corpora).select(
+        "row", "corpus", "text_id", F.explode(F.sequence(F.col("first") - around, F.col("last") + around)).alias("sent_no")
     )
     lines = corpora.sentences.select("corpus", "text_id", "sent_no", "sent_off", *show)
     lines = lines.join(near, ["corpus", "text_id", "sent_no"])
@@ -248,6 +248,14 @@ def context_sentences(hits: DataFrame, corpora: Corpora, around: int = 0, show:
     )
 
 
+def _matched_sentences(hits: DataFrame, corpora: Corpora) -> DataFrame:
+    """``row, corpus, text_id, first, last``: the sentences of the text that a match of any region touches."""
+    spans = hits.select("row", "corpus", "text_id", place().alias("_lo"), (place() + F.col("me") - F.col("ms")).alias("_hi"))
+    met = corpora.sentences.select("corpus", "text_id", "sent_no", "sent_off", "n").join(spans, ["corpus", "text_id"])
+    met = met.filter((F.col("sent_off") <= F.col("_hi")) & (F.col("sent_off") + F.col("n") > F.col("_lo")))
+    return met.groupBy("row", "corpus", "text_id").agg(F.min("sent_no").alias("first"), F.max("sent_no").alias("last"))
+
+
 def context_by_corpus(
     hits: DataFrame, corpora: Corpora, context: dict[str, str], default: str = "10 words", show: Sequence[str] = ("word",)
 ) -> DataFrame:
@@ -299,18 +307,20 @@ def with_structs(hits: DataFrame, corpora: Corpora, show_struct: Sequence[str])
 
 
 def open_close(hits: DataFrame, corpora: Corpora) -> DataFrame:
-    """Tokens of the matched sentences with the regions that open and close at each.
+    """Tokens of the sentences that a match touches, with the regions that open and close at each.
 
     Opening regions are listed from the outer to the inner one, closing ones the other way.
     """
     s = corpora.sentences.select("corpus", "text_id", "sent_no", "sent_off", "n", "text_n", F.posexplode("word").alias("i", "word"))
-    rows = s.join(hits.select("row", "corpus", "text_id", "sent_no", "ms", "me"), ["corpus", "text_id", "sent_no"])
+    touched = _matched_sentences(hits, corpora).select("row", "corpus", "text_id", F.explode(F.sequence("first", "last")).alias("sent_no"))
+    spans = hits.select("row", place().alias("_lo"), (place() + F.col("me") - F.col("ms")).alias("_hi"))
+    rows = s.join(touched.join(spans, "row"), ["corpus", "text_id", "sent_no"])
     sentence_starts, sentence_ends = F.col("i") == 0, F.col("i") == F.col("n") - 1
     text_starts = F.col("sent_off") + F.col("i") == 0
     text_ends = F.col("sent_off") + F.col("i") == F.col("text_n") - 1
     opens = F.array_compact(F.array(F.when(text_starts, "text"), F.when(sentence_starts, "sentence")))
     closes = F.array_compact(F.array(F.when(sentence_ends, "sentence"), F.when(text_ends, "text")))
-    in_match = F.col("i").between(F.col("ms"), F.col("me"))
+    in_match = (F.col("sent_off") + F.col("i")).between(F.col("_lo"), F.col("_hi"))
     return rows.select("row", "corpus", "text_id", "sent_no", "i", "word", in_match.alias("in_match"), opens.alias("open"), closes.alias("close"))
 
 

@@ -102,7 +102,26 @@ def find(
         return _open_within_text(corpora, pattern, keep, block)
     names = pattern.attributes() | {c for c in keep if c in corpora.attrs} | {"word"}
     structs = [c for c in keep if c not in corpora.attrs]
-    return in_regions(block_regions(corpora, names, pattern.longest - 1, within == "text", structs, block), pattern, keep)
+    if within == "text":
+        return in_regions(block_regions(corpora, names, pattern.longest - 1, True, structs, block), pattern, keep)
+    found = in_regions(block_regions(corpora, names, pattern.longest - 1, False, (), block), pattern, [c for c in keep if c in corpora.attrs])
+    return in_texts(found, corpora, [c for c in structs if c not in KEY])
+
+
+def in_texts(found: DataFrame, corpora: Corpora, structs: Sequence[str] = ()) -> DataFrame:
+    """Matches found anywhere in a corpus, with the text in which they begin and its structural values.
+
+    ``region_off`` then counts from the start of that text, like that of all other matches; a match may end in a
+    later text.  Matches and texts meet by equality on stretches of some thousand positions.
+    """
+    at = F.col("region_off") + F.col("ms")
+    end = F.col("start_pos") + F.col("n_tokens") - 1
+    stretches = F.sequence(F.floor(F.col("start_pos") / BLOCK_TOKENS), F.floor(end / BLOCK_TOKENS))
+    texts = corpora.texts.filter("n_tokens > 0").select("corpus", "text_id", *structs, F.col("start_pos").alias("_first"), end.alias("_last"), F.explode(stretches).alias("_stretch"))
+    rows = found.drop("text_id").withColumns({"_at": at, "_stretch": F.floor(at / BLOCK_TOKENS)})
+    met = rows.join(texts, ["corpus", "_stretch"]).filter(F.col("_at").between(F.col("_first"), F.col("_last")))
+    met = met.withColumn("region_off", F.col("region_off") - F.col("_first"))
+    return met.select(*KEY, *[c for c in found.columns if c not in (*KEY, *SPAN)], *structs, *SPAN)
 
 
 def parse_within(text: str, default: str | None = "sentence") -> dict[str, str | None]:
@@ -406,12 +425,11 @@ def linked(matches: DataFrame, partner: DataFrame) -> DataFrame:
 def first_per_corpus(matches: DataFrame, n: int, texts_per_block: int = 4096) -> DataFrame:
     """At most ``n`` matches of every corpus, in corpus order.
 
-    Matches are counted per run of texts (of positions, for matches without a text); runs that begin
-    within the first ``n`` are kept, and ranked one by one, so no window spans a corpus.
+    Matches are counted per run of texts; runs that begin within the first ``n`` are kept, and ranked one by
+    one, so no window spans a corpus.
     """
-    place = F.col("region_off") + F.col("ms")
-    order = [F.col("text_id"), place]
-    rows = matches.withColumn("_block", F.coalesce(F.floor(F.col("text_id") / texts_per_block), F.floor(place / BLOCK_TOKENS)))
+    order = [F.col("text_id"), F.col("region_off") + F.col("ms")]
+    rows = matches.withColumn("_block", F.floor(F.col("text_id") / texts_per_block))
     earlier = Window.partitionBy("corpus").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("corpus", "_block").count()
     blocks = blocks.select("corpus", "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))

@@ -248,8 +248,8 @@ def match_within_text_open(c: Corpora) -> DataFrame:
 
 @_text
 def match_unbounded_region(c: Corpora) -> DataFrame:
-    found = m.find(c, seq(THE, gap(0, 5), ING), within=None)
-    return found.select("corpus", kwic.place().cast("bigint").alias("position"), (F.col("me") - F.col("ms") + 1).cast("bigint").alias("length"))
+    found = kwic.with_position(m.find(c, seq(THE, gap(0, 5), ING), within=None), c)
+    return found.select("corpus", F.col("position").cast("bigint").alias("position"), (F.col("me") - F.col("ms") + 1).cast("bigint").alias("length"))
 
 
 @_text

@@ -142,3 +142,17 @@ def test_unknown_attributes_are_ignored_for_display(corpora):
 
 def test_corpus_names():
     assert parse_corpora("b,a,B") == ["A", "B"]
+
+
+def test_matches_of_any_region_have_lines_marks_and_cuts(spark):
+    c = tiny(spark, {"A": [[["a", "b"], ["c", "d"], ["e", "f"]], [["a", "x"]]]}, names={("A", 0): "one", ("A", 1): "two"})
+    crossing = seq(tok("word") == "d", tok("word") == "e")
+    for within in ("text", None):
+        page = kwic.kwic_page(m.find(c, crossing, within=within, keep=["text_name"]), c)
+        row = kwic.context_sentences(page, c).collect()[0]
+        assert [t.word for t in row.tokens] == ["c", "d", "e", "f"] and (row.start, row.end, row.position, row.text_name) == (1, 3, 3, "one")
+        marks = kwic.open_close(page, c).collect()
+        assert {r.word for r in marks if r.in_match} == {"d", "e"} and len(marks) == 4
+    over = m.find(c, seq(tok("word") == "f", A), within=None)
+    assert [r.position for r in kwic.kwic_page(over, c).collect()] == [5]
+    assert m.first_per_corpus(over, 20_000).count() == 1
