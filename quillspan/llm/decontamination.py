@@ -45,7 +45,8 @@ class Block:
         The second rule keeps the seeds of an item that has leaked into very many documents.
         """
         count = counts[np.searchsorted(self.known, self.gram)]
-        usual = np.array([np.median(count[self.owner == i]) for i in range(len(self.items))])
+        sizes = np.bincount(self.owner, minlength=len(self.items))
+        usual = count[np.lexsort((count, self.owner))][np.cumsum(sizes) - sizes + sizes // 2] if len(count) else count
         kept = count <= np.maximum(share * documents, 4 * usual[self.owner])
         self.gram, self.owner, self.place = self.gram[kept], self.owner[kept], self.place[kept]
         self.known = np.unique(self.gram)
