@@ -35,7 +35,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), keep_ids=False).drop("ids")
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), keep_ids=False, cache_cuts=1_200_000).drop("ids")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

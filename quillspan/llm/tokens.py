@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_CUTS, CACHE_IDS, BATCH_CHARS, JOINED = 800_000, 8_000_000, 4_000_000, 400
+CACHE_CUTS, BATCH_CHARS, JOINED = 300_000, 1_000_000, 400
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,7 +44,8 @@ class Cuts(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_cuts: int = CACHE_CUTS):
+        self.cache_cuts = cache_cuts
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
         from tokenizers import Tokenizer
 
@@ -59,7 +60,7 @@ class Encoder:
         self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > CACHE_CUTS or len(self.flat) > CACHE_IDS:
+        if len(self.at) > self.cache_cuts or len(self.flat) > 10 * self.cache_cuts:
             self._clear()
         pieces = [cuts(t) for t in texts]
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -110,24 +111,24 @@ class Encoder:
         return self.flat[np.arange(int(length.sum())) + np.repeat(self.start[index] - before, length)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache_cuts: int = CACHE_CUTS) -> Encoder:
+    """One for each worker process and file.  ``cache_cuts``: distinct cuts that it remembers, some 200 bytes each."""
+    if (path, cache_cuts) not in _ENCODERS:
+        _ENCODERS[path, cache_cuts] = Encoder(path, cache_cuts)
+    return _ENCODERS[path, cache_cuts]
 
 
-def encoded(keyed: Iterator[tuple], path: str) -> Iterator[list[tuple]]:
+def encoded(keyed: Iterator[tuple], path: str, cache_cuts: int = CACHE_CUTS) -> Iterator[list[tuple]]:
     """Lists of ``(row, text, ids)`` for ``(text, *row)``, a bounded number of characters at a time; null is empty."""
     pending: list[tuple] = []
     chars = 0
 
     def done():
         texts = [t for t, _ in pending]
-        return [(row, text, ids) for (text, row), ids in zip(pending, encoder(path).encode(texts))]
+        return [(row, text, ids) for (text, row), ids in zip(pending, encoder(path, cache_cuts).encode(texts))]
 
     for text, *row in keyed:
         pending.append((text or "", row))
