@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.tables import settle
+from quillspan.llm.tables import one_row_at_a_time, settle
 from quillspan.llm.words import HASHES, mix, rows, words
 
 CONTEXTS = 1 << 16
@@ -390,10 +390,12 @@ def score_documents(docs: DataFrame, how: HpyConfig = HpyConfig()) -> DataFrame:
     table = settle(packed.groupBy("shard").applyInArrow(_merge, PACKED), "counts")
     main = table.filter("kind = 0")
     states: list[dict] = []
-    for _ in range(1 + how.burn_in + how.samples):
-        states.append(_state(main, states, hot, how))
     sc = spark.sparkContext
-    scored = main.select("shard", *"abcdefghi").mapInArrow(_score(sc.broadcast(states), sc.broadcast(hot), how), PACKED)
+    with one_row_at_a_time(spark):
+        for _ in range(1 + how.burn_in + how.samples):
+            states.append(_state(main, states, hot, how))
+        scored = main.select("shard", *"abcdefghi").mapInArrow(_score(sc.broadcast(states), sc.broadcast(hot), how), PACKED)
+        scored = settle(scored, "sums")
     both = scored.unionByName(table.filter("kind = 1")).select("flush", "kind", "a", "b", "c")
     out = both.groupBy("flush").applyInArrow(_documents, RESULT)
     tokens, known = states[-1]["tokens"], states[-1]["known"]

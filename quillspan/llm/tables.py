@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.session import shared_folder
 
@@ -26,6 +28,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def one_row_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of one row, for steps whose rows hold megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of settled tables that no later step reads."""
     for table in tables:
