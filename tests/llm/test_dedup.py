@@ -167,6 +167,44 @@ def test_line_dedup(spark):
     assert line_dedup.without_recurring_lines(docs(spark, []).limit(0)).collect() == []
 
 
+def test_line_dedup_leaves_near_copies(spark):
+    r = random.Random(10)
+    prose = lambda: " ".join(words(r.random(), 9, 5000))
+    whole, copies = [prose() for _ in range(10)], []
+    for i in range(40):
+        lines = list(whole)
+        lines[i % 10] = prose()
+        copies.append((i, "\n".join([*lines, "terms of use and privacy of the authors of this page"])))
+    others = [(100 + i, "\n".join([prose(), prose(), "terms of use and privacy of the authors of this page"])) for i in range(4)]
+    got = line_dedup.without_recurring_lines(docs(spark, copies + others)).collect()
+    assert {r.doc_id: r["_dropped"] for r in got} == {i: [10] for i, _ in copies} | {i: [2] for i, _ in others}
+
+
+def test_line_dedup_leaves_near_copies_of_few_long_lines(spark):
+    r = random.Random(13)
+    whole, copies = [words(r.random(), 70, 5000) for _ in range(3)], []
+    for i in range(40):
+        lines = [list(line) for line in whole]
+        lines[i % 3].insert(r.randrange(70), f"new{r.random()}")
+        copies.append((i, "\n".join(map(" ".join, lines))))
+    got = line_dedup.without_recurring_lines(docs(spark, copies)).collect()
+    assert [r.doc_id for r in got if r["_dropped"]] == []
+
+
+def test_line_dedup_tells_copied_texts_apart(spark):
+    """Every text has a near copy, and what all share is longer than a text; log lines come in any order."""
+    r = random.Random(12)
+    prose = lambda: " ".join(words(r.random(), 9, 5000))
+    footer, logs, pairs = [prose() for _ in range(5)], [prose() for _ in range(60)], []
+    for i in range(10):
+        own = [prose() for _ in range(4)]
+        pairs += [(2 * i, "\n".join([*own, *footer])), (2 * i + 1, "\n".join([*own, *footer, "ps"]))]
+    runs = [(100 + i, "\n".join(r.sample(logs, 20))) for i in range(60)]
+    got = {r.doc_id: r["_dropped"] for r in line_dedup.without_recurring_lines(docs(spark, pairs + runs)).collect()}
+    assert all(got[i] == [4, 5, 6, 7, 8] for i, _ in pairs[::2]) and all(got[i][:5] == [4, 5, 6, 7, 8] for i, _ in pairs[1::2])
+    assert all(got[i] == list(range(20)) for i, _ in runs)
+
+
 def test_template_tree_generalises():
     tree = line_dedup.Templates(0.7)
     assert tree.place(1, "user a logged in from host b today now".split()) == 1
