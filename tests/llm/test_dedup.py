@@ -191,6 +191,17 @@ def test_line_dedup_leaves_near_copies_of_few_long_lines(spark):
     assert [r.doc_id for r in got if r["_dropped"]] == []
 
 
+def test_line_dedup_drops_whole_blocks(spark):
+    r = random.Random(11)
+    prose = lambda: " ".join(words(r.random(), 9, 5000))
+    licence, footer = ([" ".join(words(r.random(), 8, 5000)) for _ in range(5)] for _ in range(2))
+    middle = [(i, "\n".join([prose(), prose(), *licence, prose()])) for i in range(12)]
+    end = [(100 + i, "\n".join([prose(), prose(), prose(), *footer])) for i in range(12)]
+    start = [(200 + i, "\n".join([*footer[:2], prose(), prose()])) for i in range(12)]
+    got = {r.doc_id: r["_dropped"] for r in line_dedup.without_recurring_lines(docs(spark, middle + end + start)).collect()}
+    assert got == {i: [2, 3, 4, 5, 6] for i, _ in middle} | {i: [3, 4, 5, 6, 7] for i, _ in end} | {i: [0, 1] for i, _ in start}
+
+
 def test_line_dedup_tells_copied_texts_apart(spark):
     """Every text has a near copy, and what all share is longer than a text; log lines come in any order."""
     r = random.Random(12)
