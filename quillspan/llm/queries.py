@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontamination, fingerprints, language_model, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from quillspan.llm import collocations, decontamination, fingerprints, hard_negatives, language_model, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, token_files, toxicity
+from quillspan.llm.oracle import ORACLE as ORACLE
 from quillspan.llm.tables import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,5 +77,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_decontamination, op7_toxicity, op8_line_dedup, op9_quality, op10_token_counts)}
-ORACLE: dict[str, str] = {}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids lie in the files, and their checksum as read back."""
+    importable(spark)
+    path = token_files.write_ids(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return token_files.read_ids(spark, path, keep_ids=False).drop("ids")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id are shifted by one, as noise; every hundredth id is an anchor."""
+    importable(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_lm_scoring, op3_packing, op4_fingerprints, op5_suffix_dedup, op6_decontamination, op7_toxicity,
+        op8_line_dedup, op9_quality, op10_token_counts, op11_collocations, op12_token_files, op13_hard_negatives,
+    )
+}
