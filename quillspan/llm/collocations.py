@@ -113,7 +113,7 @@ def _starts(ids: np.ndarray, size: int) -> np.ndarray:
     """Where ``size`` words follow each other without a break."""
     ok = np.ones(max(0, len(ids) - size + 1), bool)
     for k in range(size):
-        ok &= ids[k : len(ids) - size + 1 + k] != 0
+        ok &= ids[k : k + len(ok)] != 0
     return ok
 
 

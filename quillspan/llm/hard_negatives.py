@@ -45,7 +45,7 @@ def _vectors(batches, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             ids, labels = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in (ids, labels))
             for dim in np.unique(length[good]):
                 chosen = good & (length == dim)
-                yield ids[chosen], labels[chosen], values[np.repeat(chosen, length)].reshape(-1, dim)
+                yield ids[chosen], labels[chosen], values[np.repeat(chosen, length)].reshape(int(chosen.sum()), dim)
 
 
 def spanning_tree(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.tokens import CACHE_CUTS, encoded
+from quillspan.llm.words import rows
 from quillspan.session import shared_folder
 
 BLOCK, PERCENT, SEGMENT, END_ID = 128, 90, 1 << 18, 2
@@ -70,12 +71,12 @@ def pack_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     n = len(ids)
     if n == 0:
         return b"", np.empty(0, np.int32)
-    rows = np.concatenate([ids, np.repeat(ids[-1:], -n % BLOCK)]).astype(np.uint32).reshape(-1, BLOCK)
-    least = rows.min(axis=1)
-    rows = rows - least[:, None]
+    values = np.concatenate([ids, np.repeat(ids[-1:], -n % BLOCK)]).astype(np.uint32).reshape(-1, BLOCK)
+    least = values.min(axis=1)
+    values = values - least[:, None]
     place = -(-BLOCK * PERCENT // 100) - 1
-    width = _widths(np.partition(rows, place, axis=1)[:, place])
-    odd = (rows.astype(np.uint64) >> width.astype(np.uint64)[:, None]) > 0
+    width = _widths(np.partition(values, place, axis=1)[:, place])
+    odd = (values.astype(np.uint64) >> width.astype(np.uint64)[:, None]) > 0
     n_odd = odd.sum(axis=1)
     size = HEAD + BLOCK // 8 * width + 5 * n_odd
     starts = np.cumsum(size) - size
@@ -84,13 +85,13 @@ def pack_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     out[starts[:, None] + np.arange(2, HEAD)] = least.astype("<u4").view(np.uint8).reshape(-1, 4)
     for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
-        low = rows[own] & np.uint32((1 << int(w)) - 1)
+        low = values[own] & np.uint32((1 << int(w)) - 1)
         out[(starts[own] + HEAD)[:, None] + np.arange(BLOCK // 8 * w)] = _packed(low, int(w))
     block, at = np.nonzero(odd)
     after = starts[block] + HEAD + BLOCK // 8 * width[block]
     order = np.arange(len(block)) - np.repeat(np.cumsum(n_odd) - n_odd, n_odd)
     out[after + order] = at
-    high = (rows[block, at].astype(np.uint64) >> width[block].astype(np.uint64)).astype("<u4")
+    high = (values[block, at].astype(np.uint64) >> width[block].astype(np.uint64)).astype("<u4")
     out[(after + n_odd[block] + 4 * order)[:, None] + np.arange(4)] = high.view(np.uint8).reshape(-1, 4)
     return out.tobytes(), starts.astype(np.int32)
 
@@ -130,7 +131,7 @@ def _segments(path: str, end_id: int, cache_cuts: int):
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
-        for group in encoded(_one_by_one(batches), path, cache_cuts):
+        for group in encoded(rows(batches, "text", "doc_id"), path, cache_cuts):
             for (doc_id,), _, ids in group:
                 held.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(doc_id)
@@ -145,13 +146,6 @@ def _segments(path: str, end_id: int, cache_cuts: int):
     return run
 
 
-def _one_by_one(batches) -> Iterator[tuple]:
-    for batch in batches:
-        ids, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text"))
-        for i, t in zip(ids, texts):
-            yield t.as_py(), i.as_py()
-
-
 def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, cache_cuts: int = CACHE_CUTS) -> str:
     """Encode ``doc_id, text`` and write the files; returns their folder, a new one below the shared folder if none is given.
 
@@ -180,9 +174,9 @@ def _before(spark: SparkSession, path: str) -> dict[int, int]:
 def index(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens`` of every document; ``start`` counts the ids of all documents before it.  No ids are read."""
     before = spark.createDataFrame(list(_before(spark, path).items()), "part int, before long")
-    rows = spark.read.schema(SCHEMA).parquet(path).join(before, "part")
+    segments = spark.read.schema(SCHEMA).parquet(path).join(before, "part")
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array("n_ids"))
-    docs = rows.select((F.col("before") + F.col("first")).alias("base"), F.explode(F.arrays_zip("doc_ids", "starts", ends.alias("ends"))).alias("d"))
+    docs = segments.select((F.col("before") + F.col("first")).alias("base"), F.explode(F.arrays_zip("doc_ids", "starts", ends.alias("ends"))).alias("d"))
     return docs.select(F.col("d.doc_ids").alias("doc_id"), (F.col("base") + F.col("d.starts")).alias("start"), (F.col("d.ends") - F.col("d.starts")).alias("n_tokens"))
 
 
@@ -228,8 +222,8 @@ def read_ids(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = Non
     For named documents only the blocks that hold them are unpacked, of segments whose index names one.  ``ids_crc32``
     is that of the ids as unsigned 32-bit integers; ``ids`` is null without ``keep_ids``.
     """
-    rows = spark.read.schema(SCHEMA).parquet(path)
+    segments = spark.read.schema(SCHEMA).parquet(path)
     if doc_ids is not None:
-        rows = rows.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in doc_ids]).cast("array<long>")))
+        segments = segments.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in doc_ids]).cast("array<long>")))
     wanted = None if doc_ids is None else frozenset(doc_ids)
-    return rows.mapInArrow(_documents(_before(spark, path), wanted, keep_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+    return segments.mapInArrow(_documents(_before(spark, path), wanted, keep_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
