@@ -85,7 +85,7 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document's ids lie in the files, and their checksum as read back."""
     importable(spark)
-    path = token_files.write_ids(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    path = token_files.write_ids(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), cache_cuts=1_200_000)
     return token_files.read_ids(spark, path, keep_ids=False).drop("ids")
 
 
