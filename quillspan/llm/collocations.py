@@ -24,7 +24,7 @@ from quillspan.llm.tables import drop, settle
 from quillspan.llm.words import mix
 
 LONGEST, LEAST, PERCENT, TOP = 3, 10, 50, 2000
-SLICE_WORDS, PART_MASS, PORTION = 1_000_000, 4_000_000, 4 << 20
+SLICE_WORDS, PART_MASS, PORTION = 500_000, 2_000_000, 4 << 20
 #: What ends a piece, what lies between words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _BREAK = b"\xff"  # no byte of UTF-8
@@ -132,7 +132,7 @@ def distinct_grams(ids: np.ndarray, n_words: int, longest: int) -> Iterator[tupl
             keys, bound = keys[:-1] * base + ids[size - 1 :].astype(np.uint64), bound * (n_words + 1) + n_words
         ordered = np.sort(keys[_starts(ids, size)])
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
-        left, grams = ordered[first], np.empty((len(first), size), np.int64)
+        left, grams = ordered[first], np.empty((len(first), size), np.int32)
         for k in range(size - 1, 0, -1):
             left, last = np.divmod(left, base)
             grams[:, k] = last
