@@ -31,16 +31,11 @@ def set_values(values: Column, top: int | None = None) -> Column:
     return F.when(F.size(values) > 0, chosen).otherwise(F.array(F.lit("")))
 
 
+def escaped(value: Column) -> Column:
+    """A part of a key of several values: blanks and backslashes are escaped, so keys stay apart."""
+    return F.regexp_replace(value, r"([ \\])", r"\\$1")
+
+
 def joined(values: Column) -> Column:
-    """Several values as one key, a null as ``''``; blanks and backslashes inside a value are escaped, so keys stay apart."""
-    return F.array_join(F.transform(values, lambda v: F.regexp_replace(v, r"([ \\])", r"\\$1")), " ", "")
-
-
-def choices(sets: Column) -> Column:
-    """All ways to take one value from every set, in order: array of arrays."""
-    start = F.array(F.array().cast("array<string>"))
-    return F.aggregate(
-        sets,
-        start,
-        lambda acc, s: F.flatten(F.transform(acc, lambda done: F.transform(s, lambda v: F.concat(done, F.array(v))))),
-    )
+    """Several values as one key, a null as ``''``."""
+    return F.array_join(F.transform(values, escaped), " ", "")

@@ -48,12 +48,20 @@ def _listed(flags: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return flags.select("corpus", F.inline(entries)).filter("has").select("corpus", "kind", "attr")
 
 
+def denied(corpora: DataFrame, protected: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``corpus``: those of the requested corpora that are protected and not among the allowed ones.
+
+    All three have a column ``corpus``; names are compared without regard to case.
+    """
+    asked, closed, given = (df.select(F.upper("corpus").alias("corpus")).distinct() for df in (corpora, protected, allowed))
+    return asked.join(closed, "corpus", "left_semi").join(given, "corpus", "left_anti")
+
+
 def check_access(corpora: Iterable[str] | str, protected: DataFrame, allowed: DataFrame) -> list[str]:
     """Requested corpora, or PermissionError naming the protected ones the caller may not read."""
     names = parse_corpora(corpora)
-    asked = protected.select(F.upper("corpus").alias("corpus")).filter(F.col("corpus").isin(names)).distinct()
-    missing = asked.join(allowed.select(F.upper("corpus").alias("corpus")), "corpus", "left_anti")
-    denied = sorted(r.corpus for r in missing.collect())  # at most the requested names
-    if denied:
-        raise PermissionError("no access to " + ", ".join(denied))
+    asked = protected.select(F.upper("corpus").alias("corpus")).filter(F.col("corpus").isin(names))
+    missing = sorted(r.corpus for r in denied(asked, protected, allowed).collect())  # at most the requested names
+    if missing:
+        raise PermissionError("no access to " + ", ".join(missing))
     return names

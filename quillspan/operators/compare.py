@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators.count import key_columns
+from quillspan.operators.paging import ranked
 from quillspan.sources.corpora import parse_corpora
 
 
@@ -60,9 +61,9 @@ def strongest(scored: DataFrame, n: int = 15) -> DataFrame:
     if not n:
         return scored
     keys = [c for c in scored.columns if c not in ("freq1", "freq2", "side", "loglike")]
-    order = [F.abs("loglike").desc(), *[F.col(k).desc() for k in keys]]
-    rank = F.row_number().over(Window.partitionBy("side").orderBy(*order))
-    return scored.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    scored = scored.withColumn("_strength", F.abs("loglike"))
+    order = [F.desc("_strength"), *[F.desc(k) for k in keys]]
+    return ranked(scored, ["side"], order, n - 1, "_rank").drop("_rank", "_strength")
 
 
 def average(scored: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from quillspan.functions.keys import choices, joined, per_million, set_text, set_values, strip_pointer
-from quillspan.operators.paging import page
+from quillspan.functions.keys import escaped, joined, per_million, set_text, set_values, strip_pointer
+from quillspan.operators.paging import page, ranked
 from quillspan.sources.corpora import Corpora
 
 
@@ -48,20 +48,32 @@ def count(
     strip: Sequence[str] = (),
     use_target: bool = False,
     by: Sequence[str] = (),
+    longest: int | None = None,
 ) -> DataFrame:
     """Matches per corpus and value: ``*by, corpus, <attributes>, absolute``.
 
     A positional attribute contributes the values of all matched tokens, or of the target
     token; a structural one the value at the match.  ``matches`` must keep these attributes.
+
+    Split attributes of several tokens count every combination of values.  ``longest`` is the greatest number of
+    tokens of a match; where it isn't given, it is looked up first.
     """
     positional, structural = group_columns(group_by, group_by_struct)
     tops = top_values(top)
     lo = F.col("target") if use_target else F.col("ms")
     hi = F.col("target") if use_target else F.col("me")
     rows = matches.select(*by, "corpus", *positional, *structural, lo.alias("_lo"), hi.alias("_hi"))
+    several = [a for a in positional if a in split]
+    if several:
+        longest = 1 if use_target else longest or (rows.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0) + 1
+        several = several if longest > 1 else []
     for attr in positional:
-        key = _match_key(rows, attr, attr in split, tops.get(attr), attr in strip)
-        rows = _replace(rows, attr, key, attr in split)
+        if attr in several:
+            rows = rows.withColumn(attr, _match_sets(attr, tops.get(attr), attr in strip))
+        else:
+            rows = _replace(rows, attr, _match_key(rows, attr, attr in split, tops.get(attr), attr in strip), attr in split)
+    if several:
+        rows = _combined(rows.drop("_lo", "_hi"), several, longest)
     return _tally(rows, by, positional, structural, ignore_case, split, strip)
 
 
@@ -111,16 +123,42 @@ def _replace(rows: DataFrame, attr: str, value: Column, each: bool) -> DataFrame
     return rows.select(*others, (F.explode(value) if each else value).alias(attr))
 
 
+def _match_sets(attr: str, top: int | None, strip: bool) -> Column:
+    """The values that each matched token counts under: an array for every token."""
+    clean = strip_pointer if strip else (lambda v: v)
+    values = F.slice(F.col(attr), F.col("_lo") + 1, F.col("_hi") - F.col("_lo") + 1)
+    return F.transform(values, lambda s: F.transform(set_values(s, top), clean))
+
+
+def _combined(rows: DataFrame, attrs: Sequence[str], longest: int) -> DataFrame:
+    """Every combination of values of several tokens, with ``_n``, how often it occurs.
+
+    Tokens are taken one after the other, and what is equal so far is added up before the next one multiplies it.
+    No row holds more than one combination.
+    """
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    for attr in attrs:
+        others = [c for c in rows.columns if c not in (attr, "_n")]
+        rows = rows.withColumns({"_alone": F.size(attr) == 1, "_key": F.lit(None).cast("string"), "_rest": F.col(attr)}).drop(attr)
+        for _ in range(longest):
+            value = F.when(F.col("_alone"), F.col("_v")).otherwise(escaped(F.col("_v")))
+            longer = F.when(F.col("_done"), F.col("_key")).when(F.col("_key").isNull(), value).otherwise(F.concat("_key", F.lit(" "), value))
+            done = F.size("_rest") == 0
+            next_values = F.when(done, F.array(F.lit(None).cast("string"))).otherwise(F.get("_rest", F.lit(0)))
+            rows = rows.select(*others, "_n", "_alone", "_key", done.alias("_done"), F.slice("_rest", F.lit(2), F.greatest(F.size("_rest") - 1, F.lit(0))).alias("_rest"), F.explode(next_values).alias("_v"))
+            rows = rows.select(*others, "_alone", "_rest", longer.alias("_key"), "_n")
+            rows = rows.groupBy(*others, "_alone", "_rest", "_key").agg(F.sum("_n").alias("_n"))
+        rows = rows.withColumnRenamed("_key", attr).drop("_alone", "_rest")
+    return rows
+
+
 def _match_key(rows: DataFrame, attr: str, split: bool, top: int | None, strip: bool) -> Column:
-    """One string per match, or for split attributes an array with every combination of values."""
+    """One string per match, or for split attributes of single tokens an array with every value."""
     col, lo, hi = F.col(attr), F.col("_lo"), F.col("_hi")
     values = F.slice(col, lo + 1, hi - lo + 1)
     clean = strip_pointer if strip else (lambda v: v)
     if split:
-        single = F.transform(set_values(F.get(col, lo), top), clean)
-        sets = F.transform(values, lambda s: F.transform(set_values(s, top), clean))
-        many = F.transform(choices(sets), joined)
-        return F.when(lo == hi, single).otherwise(many)
+        return F.transform(set_values(F.get(col, lo), top), clean)
     one = set_text if _is_set(rows, attr, 1) else clean
     # Most patterns match one token; that case stays in generated code.
     several = joined(values if one is clean and not strip else F.transform(values, one))
@@ -136,7 +174,8 @@ def _tally(rows, by, positional, structural, ignore_case, split, strip) -> DataF
     for attr in (*positional, *structural):
         if attr in ignore_case:
             rows = rows.withColumn(attr, F.lower(attr))
-    return rows.groupBy(*by, "corpus", *positional, *structural).agg(F.count("*").alias("absolute"))
+    amount = F.sum("_n") if "_n" in rows.columns else F.count("*")
+    return rows.groupBy(*by, "corpus", *positional, *structural).agg(amount.alias("absolute"))
 
 
 def key_columns(counts: DataFrame, by: Sequence[str] = ()) -> list[str]:
@@ -229,15 +268,15 @@ def frequency_page(totals: DataFrame, start: int = 0, end: int = -1) -> DataFram
     if "query_no" in totals.columns:
         keys = key_columns(totals, ["query_no"])
         order = [F.col("absolute").desc(), *[F.col(k).asc() for k in keys]]
-        rank = F.row_number().over(Window.partitionBy("query_no").orderBy(*order)) - 1
-        wanted = (F.col("_rank") >= start) & (F.lit(end == -1) | (F.col("_rank") <= end))
-        return totals.withColumn("_rank", rank).filter(wanted).drop("_rank")
+        if end == -1 and start == 0:
+            return totals
+        return ranked(totals, ["query_no"], order, end, "_rank").filter(F.col("_rank") >= start).drop("_rank")
     keys = key_columns(totals)
     return page(totals, [F.col("absolute").desc(), *[F.col(k).asc() for k in keys]], start, end)
 
 
 def on_page(counts: DataFrame, page_rows: DataFrame) -> DataFrame:
     """Per-corpus rows of the values on a page of the combined counts."""
-    keys = key_columns(counts)
+    keys = [c for c in counts.columns if c == "query_no"] + key_columns(counts, ["query_no"])
     same = [counts[k].eqNullSafe(page_rows[k]) for k in keys]
     return counts.join(page_rows, same, "left_semi")

@@ -8,73 +8,27 @@ the way corpus positions do.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.operators.running import running_by_block
-from quillspan.plans.pattern import Gap, One, Pattern, Pred, compile_at, seq
+from quillspan.operators.regions import AROUND, BLOCK_TOKENS, Area, area, sentence_regions, stretches
+from quillspan.operators.running import running_by_block, running_by_file
+from quillspan.plans.pattern import Alt, Gap, Look, One, Pattern, Pred, Rep, closed_at_end, compile_at, is_open, seq, without_choice
+from quillspan.session import new_path
 from quillspan.sources.corpora import Corpora, positions
 
 KEY = ("corpus", "text_id", "sent_no", "region_off")
 SPAN = ("ms", "me", "target")
-BLOCK_TOKENS = 4096
 
-
-# --------------------------------------------------------------------------------------
-# regions
-
-
-def sentence_regions(corpora: Corpora) -> DataFrame:
-    """The stored rows: a sentence is a region and owns all of its start positions."""
-    return corpora.sentences.withColumns({"region_off": F.col("sent_off"), "home": F.col("n")})
-
-
-def block_regions(
-    corpora: Corpora, attrs: Iterable[str], overlap: int, within_text: bool, structs: Sequence[str] = (), block: int = BLOCK_TOKENS
-) -> DataFrame:
-    """Texts or whole corpora cut into blocks of ``block`` start positions.
-
-    A block also holds the next ``overlap`` tokens, copied from its successors, so that every
-    match of up to ``overlap + 1`` tokens lies in the block it starts in.  A block row has a
-    bounded size whatever the size of the text, and one shuffle builds them all.
-    """
-    attrs = sorted(attrs)
-    if within_text:
-        rows, place, owner = corpora.sentences, F.col("sent_off"), ("corpus", "text_id")
-    else:
-        rows, place, owner = corpora.positioned(), F.col("start_pos"), ("corpus",)
-    first = F.floor(F.greatest(place - overlap, F.lit(0)) / block)
-    last = F.floor((place + F.col("n") - 1) / block)
-    structs = tuple(structs) if within_text else ()
-    pieces = rows.select(
-        *owner, *structs, place.cast("bigint").alias("_place"), "n", *attrs, F.explode(F.sequence(first, last)).alias("_block")
-    )
-    # A long sentence is cut too: each block takes only its own window of it.
-    lo = F.greatest(F.col("_block") * block - F.col("_place"), F.lit(0)).cast("int")
-    hi = F.least(F.col("_block") * block + block + overlap - F.col("_place"), F.col("n")).cast("int")
-    pieces = pieces.select(
-        *owner, *structs, "_block", (F.col("_place") + lo).alias("_place"), (hi - lo).alias("_n"), *[F.slice(a, lo + 1, hi - lo).alias(a) for a in attrs]
-    ).filter("_n > 0")
-    gathered = pieces.groupBy(*owner, "_block").agg(
-        F.sort_array(F.collect_list(F.struct("_place", *attrs))).alias("_pieces"), F.sum("_n").cast("int").alias("n"), *[F.first(s).alias(s) for s in structs]
-    )
-    out = gathered.select(
-        *owner,
-        *structs,
-        (F.col("_block") * block).cast("bigint").alias("region_off"),
-        *[F.flatten(F.col("_pieces")[a]).alias(a) for a in attrs],
-        F.lit(0).alias("sent_no"),
-        "n",
-    )
-    if not within_text:
-        out = out.withColumn("text_id", F.lit(None).cast("bigint"))
-    return out.withColumn("home", F.least(F.lit(block), F.col("n")))
+# Sentences of more tokens are searched in blocks when a pattern has no upper length.
+LONG_SENTENCE = 1024
 
 
 # --------------------------------------------------------------------------------------
-# matching in a region row
+# searching regions
 
 
 def find(
@@ -86,26 +40,77 @@ def find(
 ) -> DataFrame:
     """All matches, one per start position, each with its shortest end.
 
-    ``within`` is ``"sentence"``, ``"text"`` or None (anywhere in the corpus), or says so for
-    each corpus: see ``parse_within``.
+    ``within`` is ``"sentence"``, ``"text"``, a kind of region that the corpora have, or None (anywhere in the
+    corpus), or says so for each corpus: see ``parse_within``.
     """
     pattern = as_pattern(pattern)
     if isinstance(within, Mapping):
         return _find_by_corpus(corpora, pattern, within, keep, block)
     if within == "sentence":
+        return _in_sentences(corpora, pattern, keep, block)
+    if within is None and pattern.longest is None:
+        raise ValueError("a pattern without an upper length needs 'within'")
+    at = area(corpora, within)
+    if pattern.longest == 1 and within in ("text", None) and not _has_look(pattern):
+        return in_regions(sentence_regions(corpora), pattern, keep)  # a token is in its sentence wherever else it is
+    found = in_area(at, pattern, keep, block).drop("_base")
+    return found if at.in_text else in_texts(found, corpora, _of_text(corpora, keep))
+
+
+def _in_sentences(corpora: Corpora, pattern: Pattern, keep: Sequence[str], block: int) -> DataFrame:
+    if pattern.longest is not None:
         return in_regions(sentence_regions(corpora), pattern, keep)
-    if within not in ("text", None):
-        raise ValueError(f"unknown region {within!r}")
-    if pattern.longest is None:
-        if within is None:
-            raise ValueError("a pattern without an upper length needs 'within'")
-        return _open_within_text(corpora, pattern, keep, block)
-    names = pattern.attributes() | {c for c in keep if c in corpora.attrs} | {"word"}
-    structs = [c for c in keep if c not in corpora.attrs]
-    if within == "text":
-        return in_regions(block_regions(corpora, names, pattern.longest - 1, True, structs, block), pattern, keep)
-    found = in_regions(block_regions(corpora, names, pattern.longest - 1, False, (), block), pattern, [c for c in keep if c in corpora.attrs])
-    return in_texts(found, corpora, [c for c in structs if c not in KEY])
+    short, long = (replace(corpora, sentences=corpora.sentences.filter(c)) for c in (F.col("n") <= LONG_SENTENCE, F.col("n") > LONG_SENTENCE))
+    found = in_regions(sentence_regions(short), pattern, keep)
+    return found.unionByName(in_area(area(long, "sentence"), pattern, keep, block).drop("_base").select(*found.columns))
+
+
+def _of_text(corpora: Corpora, keep: Sequence[str]) -> list[str]:
+    """What is to be kept of the text and not of its tokens."""
+    return [c for c in dict.fromkeys(keep) if c not in corpora.attrs and c not in (*AROUND, *KEY, "text_n")]
+
+
+def in_area(at: Area, pattern: Pattern, keep: Sequence[str] = (), block: int = BLOCK_TOKENS) -> DataFrame:
+    """Matches inside the regions of an area, with the area's ``owner`` columns.
+
+    ``region_off`` counts as the area does.  Values of texts are kept where the area lies in a text.
+    """
+    options = [closed_at_end(p) for p in without_choice(pattern)] if pattern.longest is None else [pattern]
+    found = [(_bounded if p.longest is not None else _open_ended)(at, p, keep, block) for p in options]
+    if len(found) == 1:
+        return found[0]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more.select(*rows.columns))
+    return _earliest(rows, at)
+
+
+def _earliest(rows: DataFrame, at: Area) -> DataFrame:
+    """One match per start: the one that ends first."""
+    start = list(dict.fromkeys([*KEY, *at.owner, "ms"]))
+    kept = [c for c in rows.columns if c not in (*start, *SPAN)]
+    best = rows.groupBy(*start).agg(F.min(F.struct("me", "target")).alias("_m"), *[F.first(c).alias(c) for c in kept])
+    return best.select(*[c for c in rows.columns if c not in SPAN], "ms", "_m.me", "_m.target")
+
+
+def _columns(at: Area, pattern: Pattern, keep: Sequence[str]) -> tuple[list[str], list[str], bool, list[str]]:
+    """Attributes to be gathered, values of the text, whether neighbouring words are wanted, and all that matches keep."""
+    attrs = at.corpora.attrs
+    names = sorted(pattern.attributes() | {"word"} | {c for c in keep if c in attrs})
+    around = any(c in AROUND for c in keep)
+    structs = [c for c in dict.fromkeys(keep) if c not in (*attrs, *AROUND, *KEY)] if at.in_text else []
+    kept = [c for c in dict.fromkeys(keep) if c in attrs or c in structs or around and c in (*AROUND, "text_n")]
+    return names, structs, around, [*kept, *[c for c in at.owner if c not in KEY]]
+
+
+def _bounded(at: Area, pattern: Pattern, keep: Sequence[str], block: int) -> DataFrame:
+    names, structs, around, kept = _columns(at, pattern, keep)
+    overlap = pattern.longest - 1 + _has_look(pattern)
+    return in_regions(at.blocks(names, overlap, structs, block, around), pattern, kept)
+
+
+def _has_look(pattern: Pattern) -> bool:
+    return any(isinstance(p, Look) or isinstance(p, Alt) and any(map(_has_look, p.options)) for p in pattern.parts)
 
 
 def in_texts(found: DataFrame, corpora: Corpora, structs: Sequence[str] = ()) -> DataFrame:
@@ -116,8 +121,9 @@ def in_texts(found: DataFrame, corpora: Corpora, structs: Sequence[str] = ()) ->
     """
     at = F.col("region_off") + F.col("ms")
     end = F.col("start_pos") + F.col("n_tokens") - 1
-    stretches = F.sequence(F.floor(F.col("start_pos") / BLOCK_TOKENS), F.floor(end / BLOCK_TOKENS))
-    texts = corpora.texts.filter("n_tokens > 0").select("corpus", "text_id", *structs, F.col("start_pos").alias("_first"), end.alias("_last"), F.explode(stretches).alias("_stretch"))
+    texts = corpora.texts.filter("n_tokens > 0").select(
+        "corpus", "text_id", *structs, F.col("start_pos").alias("_first"), end.alias("_last"), F.explode(stretches(F.col("start_pos"), end, BLOCK_TOKENS)).alias("_stretch")
+    )
     rows = found.drop("text_id").withColumns({"_at": at, "_stretch": F.floor(at / BLOCK_TOKENS)})
     met = rows.join(texts, ["corpus", "_stretch"]).filter(F.col("_at").between(F.col("_first"), F.col("_last")))
     met = met.withColumn("region_off", F.col("region_off") - F.col("_first"))
@@ -150,9 +156,12 @@ def as_pattern(pattern: Pattern | Pred) -> Pattern:
     return pattern if isinstance(pattern, Pattern) else seq(pattern)
 
 
-def in_regions(regions: DataFrame, pattern: Pattern, keep: Sequence[str] = ()) -> DataFrame:
-    """Matches starting in the first ``home`` tokens of each region row."""
-    if _splits_at_open_gaps(pattern):
+def in_regions(regions: DataFrame, pattern: Pattern, keep: Sequence[str] = (), part_of_match: bool = False) -> DataFrame:
+    """Matches starting in the first ``home`` tokens of each region row.
+
+    With ``part_of_match`` every end a start can reach is a row, also one before the first token (``me = ms - 1``).
+    """
+    if not part_of_match and _splits_at_open_gaps(pattern):
         return _open_in_regions(regions, pattern, keep)
     names = sorted(pattern.attributes())
     lead = _lead_attribute(pattern)
@@ -168,7 +177,7 @@ def in_regions(regions: DataFrame, pattern: Pattern, keep: Sequence[str] = ()) -
             return F.col("_lead")
         return F.get(F.col(attr), pos)
 
-    c = compile_at(pattern, F.col("ms"), F.col("n"), lookup)
+    c = compile_at(pattern, F.col("ms"), F.col("n"), lookup, part_of_match)
     if c.ends is None:
         rows = starts.filter(c.fixed).select(*KEY, *kept, "ms", (c.end - 1).alias("me"), c.target.alias("target"))
     else:
@@ -180,10 +189,10 @@ def in_regions(regions: DataFrame, pattern: Pattern, keep: Sequence[str] = ()) -
 def _splits_at_open_gaps(pattern: Pattern) -> bool:
     inner = pattern.parts[1:-1]
     ends = (pattern.parts[0], pattern.parts[-1])
-    return any(_is_open(p) for p in inner) and not any(_is_open(p) for p in ends)
+    return any(_is_open_gap(p) for p in inner) and not any(_is_open_gap(p) for p in ends)
 
 
-def _is_open(part) -> bool:
+def _is_open_gap(part) -> bool:
     return isinstance(part, Gap) and part.most is None
 
 
@@ -226,7 +235,7 @@ def _reaching(found: Column, later: Column, least: int) -> Column:
 
 def _lead_attribute(pattern: Pattern) -> str | None:
     """The only attribute of a first slot; None where there is none or several, any of which may be null."""
-    first = pattern.parts[0]
+    first = pattern.parts[0] if pattern.parts else None
     names = sorted(first.pred.attributes()) if isinstance(first, One) else []
     return names[0] if len(names) == 1 else None
 
@@ -250,57 +259,99 @@ def spans(pattern: Pattern, lo: Column, hi: Column) -> Column:
     return F.when(lo < hi, F.flatten(found)).otherwise(none)
 
 
-def _open_within_text(corpora: Corpora, pattern: Pattern, keep: Sequence[str], block: int) -> DataFrame:
-    """Patterns with open gaps inside a text of any size.
+def _cut_at_open_gaps(pattern: Pattern) -> tuple[list[Pattern], list[int]]:
+    pieces, gaps = _cut(pattern, _is_open_gap)
+    return pieces, [g.least for g in gaps]
+
+
+def _cut(pattern: Pattern, at: Callable[[object], bool]) -> tuple[list[Pattern], list]:
+    """The pieces between the parts at which a pattern is cut, and these parts."""
+    pieces: list[list[object]] = [[]]
+    cuts: list = []
+    for part in pattern.parts:
+        if at(part):
+            cuts.append(part)
+            pieces.append([])
+        else:
+            pieces[-1].append(part)
+    return [Pattern(tuple(p)) for p in pieces], cuts
+
+
+# --------------------------------------------------------------------------------------
+# patterns without an upper length, in regions of any size
+
+
+def _open_ended(at: Area, pattern: Pattern, keep: Sequence[str], block: int) -> DataFrame:
+    """The pattern is cut at its open gaps and open repetitions into pieces of bounded length, matched in blocks.
 
-    The pattern is cut at its open gaps into pieces of bounded length; each piece is matched in
-    blocks.  From the last piece back, every start learns the earliest final end that any later
-    start of the next piece can reach: a running minimum over positions, taken by block.
+    From the last piece back, every end of a piece learns the earliest final end that a later start of the next piece
+    can reach.  Across a gap that is any start from some place on: a running minimum over positions, taken by block.
+    Across a repetition it is any such start up to where the run of fitting tokens ends: the same minimum among the
+    places whose runs end at one place.
     """
-    pieces, gaps = _cut_at_open_gaps(pattern)
-    if any(not p.parts or p.longest is None for p in pieces):
-        raise ValueError("in a text, only gaps between other parts may be open-ended")
-    keys = ["corpus", "text_id"]
-    names = pattern.attributes() | {"word"} | {c for c in keep if c in corpora.attrs}
-    structs = [c for c in keep if c not in corpora.attrs]
-
-    def starts(piece: Pattern, wanted: Sequence[str]) -> DataFrame:
-        regions = block_regions(corpora, names, max(piece.longest - 1, 0), True, structs, block)
-        rows = in_regions(regions, piece, wanted)
-        at = F.col("region_off")
-        return rows.withColumns({"_s": at + F.col("ms"), "_e": at + F.col("me") + 1, "_t": at + F.col("target")})
-
-    later = starts(pieces[-1], ()).select(*keys, "_s", "_e", "_t")
-    for i in range(len(pieces) - 2, -1, -1):
-        rows = starts(pieces[i], keep if i == 0 else ())
-        extra = [*KEY[2:], "ms", *dict.fromkeys(keep)] if i == 0 else []
-        ask = rows.select(*keys, "_s", "_t", *extra, (F.col("_e") + gaps[i]).alias("_at"), F.lit(1).alias("_ask"))
+    pieces, joints = _cut(pattern, is_open)
+    names, structs, around, kept = _columns(at, pattern, keep)
+    owner = list(at.owner)
+    runs = {i: _run_edges(at, j.pred, block) for i, j in enumerate(joints) if isinstance(j, Rep)}
+
+    def rows_of(i: int) -> DataFrame:
+        first = i == 0
+        regions = at.blocks(names, pieces[i].longest, structs if first else (), block, around and first)
+        needed = [*(kept if first else []), *[c for c in owner if c not in KEY], *names, "n"]
+        rows = in_regions(regions, pieces[i], list(dict.fromkeys(needed)), part_of_match=True)
+        off = F.col("region_off")
+        places = {"_s": off + F.col("ms"), "_e": off + F.col("me") + 1, "_t": off + F.col("target")}
+        for name, place, joint in (("_s_fits", F.col("ms"), i - 1), ("_e_fits", F.col("me") + 1, i)):
+            if joint in runs:
+                places[name] = (place < F.col("n")) & joints[joint].pred.at(lambda a, place=place: F.get(F.col(a), place))
+        rows = rows.withColumns(places)
+        wanted = [*owner, *[p for p in places]]
+        if first:
+            wanted += [c for c in (*KEY, "ms", *kept) if c not in wanted]
+        return rows.select(*wanted)
+
+    later = rows_of(len(pieces) - 1)
+    for i in range(len(joints) - 1, -1, -1):
+        rows, keys = rows_of(i), owner
+        if i in runs:
+            later = _run_ends(later, "_s", "_s_fits", runs[i], owner, block)
+            rows = _run_ends(rows, "_e", "_e_fits", runs[i], owner, block)
+            keys = [*owner, "_run"]
+        ask = rows.withColumns({"_at": F.col("_e") + joints[i].least, "_ask": F.lit(1)})
         offer = later.select(*keys, F.col("_s").alias("_at"), F.struct("_e", "_t").alias("_offer"), F.lit(0).alias("_ask"))
         both = offer.unionByName(ask, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_at") / block))
         # Descending by position, offers before questions at the same place.
         order = [F.col("_at").desc(), F.col("_ask").asc()]
         best = running_by_block(both, keys, "_block", order, "_offer", "_best", F.min, descending=True)
         best = best.filter((F.col("_ask") == 1) & F.col("_best").isNotNull())
-        later = best.select(
-            *keys, *extra, "_s", F.col("_best._e").alias("_e"), F.coalesce("_t", F.col("_best._t")).alias("_t")
-        )
+        later = best.withColumns({"_e": F.col("_best._e"), "_t": F.coalesce("_t", F.col("_best._t"))}).select(*[c for c in rows.columns if c not in ("_e_fits", "_run")])
     off = F.col("region_off")
-    kept = [c for c in dict.fromkeys(keep) if c not in KEY]
-    return later.select(
-        *KEY, *kept, "ms", (F.col("_e") - off - 1).cast("int").alias("me"), (F.col("_t") - off).cast("int").alias("target")
-    )
+    end, target = (F.col("_e") - off - 1).cast("int").alias("me"), (F.col("_t") - off).cast("int").alias("target")
+    found = later.select(*KEY, *kept, "ms", end, target)
+    # Across a repetition each end of the first piece led to an end of its own.
+    return _earliest(found, at) if 0 in runs and pieces[0].longest != pieces[0].shortest or _has_choice(pieces[0]) else found
 
 
-def _cut_at_open_gaps(pattern: Pattern) -> tuple[list[Pattern], list[int]]:
-    pieces: list[list[object]] = [[]]
-    gaps: list[int] = []
-    for part in pattern.parts:
-        if isinstance(part, Gap) and part.most is None:
-            gaps.append(part.least)
-            pieces.append([])
-        else:
-            pieces[-1].append(part)
-    return [Pattern(tuple(p)) for p in pieces], gaps
+def _has_choice(piece: Pattern) -> bool:
+    """Whether a start may have several rows: variable parts, or alternatives of one length."""
+    return any(not isinstance(p, (One, Look)) and not (isinstance(p, Gap) and p.least == p.most) for p in piece.parts)
+
+
+def _run_edges(at: Area, pred: Pred, block: int) -> DataFrame:
+    """Where runs of fitting tokens end: the first place after each, which may be the end of the region."""
+    rows = in_regions(at.blocks({"word", *pred.attributes()}, 1, (), block), seq(pred), [*[c for c in at.owner if c not in KEY], *sorted(pred.attributes()), "n"])
+    next_one = F.col("ms") + 1
+    ends = (next_one >= F.col("n")) | ~pred.at(lambda a: F.get(F.col(a), next_one))
+    return rows.filter(ends).select(*at.owner, (F.col("region_off") + next_one).alias("_edge"))
+
+
+def _run_ends(rows: DataFrame, place: str, fits: str, edges: DataFrame, owner: Sequence[str], block: int) -> DataFrame:
+    """``_run``: where the run of fitting tokens around ``place`` ends; the place itself, if its token doesn't fit."""
+    own = rows.withColumns({"_at": F.col(place), "_edge": F.when(~F.col(fits), F.col(place)), "_own": F.lit(True)})
+    both = edges.select(*owner, F.col("_edge").alias("_at"), "_edge", F.lit(False).alias("_own")).unionByName(own, allowMissingColumns=True)
+    both = both.withColumn("_block", F.floor(F.col("_at") / block))
+    found = running_by_block(both, owner, "_block", [F.col("_at").desc()], "_edge", "_run", F.min, descending=True)
+    return found.filter("_own").drop("_at", "_edge", "_own", "_block")
 
 
 # --------------------------------------------------------------------------------------
@@ -354,7 +405,9 @@ def _somewhere(pred: Pred, places: Column) -> Column:
     return F.exists(places, lambda i: _holds(pred, i))
 
 
-def chain(corpora: Corpora, patterns: Sequence[Pattern | Pred], within: str | None, expand: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+def chain(
+    corpora: Corpora, patterns: Sequence[Pattern | Pred], within: str | None, expand: bool = True, keep: Sequence[str] = (), block: int = BLOCK_TOKENS
+) -> DataFrame:
     """Each pattern is searched in what the one before it found.
 
     With ``expand`` the next search sees whole regions that hold a match, without it only the
@@ -363,25 +416,87 @@ def chain(corpora: Corpora, patterns: Sequence[Pattern | Pred], within: str | No
     patterns = [as_pattern(p) for p in patterns]
     if expand and not within:
         raise ValueError("a chain of patterns needs 'within' or expand=False")
-    if expand and within == "text":
-        found = find(corpora, patterns[-1], "text", keep)
-        for p in patterns[:-1]:
-            texts = find(corpora, p, "text").select("corpus", "text_id").distinct()
-            found = found.join(texts, ["corpus", "text_id"], "left_semi")
-        return found
-    if within not in ("sentence", None):
-        raise ValueError(f"unknown region {within!r}")
-    regions = sentence_regions(corpora)
+    kept = [c for c in dict.fromkeys(keep) if c not in KEY]
+    if within == "sentence":
+        regions = sentence_regions(corpora)
+        if expand:
+            for p in patterns[:-1]:
+                regions = regions.filter(F.size(spans(p, F.lit(0), F.col("n"))) > 0)
+            return in_regions(regions, patterns[-1], keep)
+        found = spans(patterns[0], F.lit(0), F.col("n"))
+        for p in patterns[1:]:
+            found = _inside(p, found)
+        rows = regions.select(*KEY, *kept, F.explode(found).alias("_m"))
+        return rows.select(*KEY, *kept, "_m.ms", "_m.me", "_m.target")
+    at = area(corpora, within)
     if expand:
+        found = in_area(at, patterns[-1], keep, block)
         for p in patterns[:-1]:
-            regions = regions.filter(F.size(spans(p, F.lit(0), F.col("n"))) > 0)
-        return in_regions(regions, patterns[-1], keep)
-    kept = [c for c in dict.fromkeys(keep) if c not in KEY]
-    found = spans(patterns[0], F.lit(0), F.col("n"))
-    for p in patterns[1:]:
-        found = _inside(p, found)
-    rows = regions.select(*KEY, *kept, F.explode(found).alias("_m"))
-    return rows.select(*KEY, *kept, "_m.ms", "_m.me", "_m.target")
+            found = found.join(in_area(at, p, (), block).select(*at.owner).distinct(), list(at.owner), "left_semi")
+    else:
+        found, longest = _searched(at, patterns[0], None, keep if len(patterns) == 1 else (), block), patterns[0].longest
+        for i, p in enumerate(patterns[1:], 2):
+            inner = _searched(at, p, longest, keep if i == len(patterns) else (), block)
+            found, longest = _contained(inner, found, at, p, longest, block), _least_bound(p.longest, longest)
+    return _placed(found, at, keep)
+
+
+def _placed(found: DataFrame, at: Area, keep: Sequence[str]) -> DataFrame:
+    found = found.drop("_base")
+    return found if at.in_text else in_texts(found, at.corpora, _of_text(at.corpora, keep))
+
+
+def _least_bound(*bounds: int | None) -> int | None:
+    return min((b for b in bounds if b is not None), default=None)
+
+
+def _searched(at: Area, pattern: Pattern, span: int | None, keep: Sequence[str], block: int) -> DataFrame:
+    """Matches for spans of at most ``span`` tokens, which bounds the pattern too."""
+    if span is not None:
+        pattern = _no_longer_than(pattern, span)
+    if pattern.longest is None and not at.in_text and at.kind is None:
+        raise ValueError("a pattern without an upper length needs 'within'")
+    return in_area(at, pattern, keep, block)
+
+
+def _no_longer_than(pattern: Pattern, most: int) -> Pattern:
+    def part(p):
+        if is_open(p):
+            return replace(p, most=max(most, p.least))
+        return Alt(tuple(_no_longer_than(o, most) for o in p.options)) if isinstance(p, Alt) else p
+
+    return Pattern(tuple(map(part, pattern.parts)))
+
+
+def _contained(inner: DataFrame, outer: DataFrame, at: Area, pattern: Pattern, longest: int | None, block: int) -> DataFrame:
+    """Matches of ``pattern`` that lie inside a match of ``outer``; each once, however many spans hold it.
+
+    A span stands in every block it touches, an inner match in that of its start.  In a block, some span that began
+    at the match or before it reaches its end if the farthest end so far does.
+    """
+    keys = ["corpus", "text_id"] if at.in_text else ["corpus"]
+    first, end = F.col("region_off") + F.col("ms"), F.col("region_off") + F.col("me")
+    spans_ = outer.select(*keys, first.alias("_at"), end.alias("_end"))
+    if longest is None:
+        # Of the spans that begin in a block only those matter that reach beyond all that began before them.
+        earlier = Window.partitionBy(*keys, F.floor(F.col("_at") / block)).orderBy("_at", F.desc("_end")).rowsBetween(Window.unboundedPreceding, -1)
+        spans_ = spans_.withColumn("_before", F.max("_end").over(earlier)).filter(F.col("_before").isNull() | (F.col("_end") > F.col("_before"))).drop("_before")
+    spans_ = spans_.withColumn("_block", F.explode(stretches(F.col("_at"), F.col("_end"), block)))
+    asked = inner.withColumns({"_at": first, "_last": end + _sees_beyond(pattern), "_block": F.floor(first / block)})
+    both = spans_.unionByName(asked, allowMissingColumns=True)
+    window = Window.partitionBy(*keys, "_block").orderBy("_at", F.col("_last").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_reach", F.max("_end").over(window))
+    return met.filter(F.col("_last").isNotNull() & (F.col("_reach") >= F.col("_last"))).select(*inner.columns)
+
+
+def _sees_beyond(pattern: Pattern) -> int:
+    """1 if the pattern ends with a look at the token after the match, which has to be in the span too."""
+    parts = list(pattern.parts)
+    while len(parts) > 1 and isinstance(parts[-1], (Gap, Rep)) and parts[-1].least == 0:
+        parts.pop()
+    if isinstance(parts[-1], Alt) and any(_has_look(o) and _sees_beyond(o) for o in parts[-1].options):
+        raise ValueError("a look-ahead at the end of an alternative needs sentences as regions")
+    return int(isinstance(parts[-1], Look))
 
 
 def _inside(pattern: Pattern, outer: Column) -> Column:
@@ -389,18 +504,28 @@ def _inside(pattern: Pattern, outer: Column) -> Column:
     return F.array_distinct(F.flatten(inner))
 
 
-def subqueries(corpora: Corpora, pattern: Pattern | Pred, subs: Sequence[Pattern | Pred], keep: Sequence[str] = ()) -> DataFrame:
+def subqueries(
+    corpora: Corpora, pattern: Pattern | Pred, subs: Sequence[Pattern | Pred], keep: Sequence[str] = (), within: str | None = "sentence", block: int = BLOCK_TOKENS
+) -> DataFrame:
     """Matches of ``pattern`` (``query_no`` 0) and of each sub-query inside these (1, 2, ...).
 
-    One scan and no shuffle: everything a sentence yields is worked out in its row, where a
-    sub-query match lying in two overlapping spans is also counted once.
+    A sub-query match lying in two overlapping spans is counted once.  Inside sentences it takes one scan and no
+    shuffle, as everything a sentence yields is worked out in its row.
     """
+    pattern, subs = as_pattern(pattern), [as_pattern(p) for p in subs]
+    if within != "sentence":
+        at = area(corpora, within)
+        main = _searched(at, pattern, None, keep, block)
+        every = main.withColumn("query_no", F.lit(0))
+        for i, p in enumerate(subs, 1):
+            inner = _searched(at, p, pattern.longest, keep, block)
+            every = every.unionByName(_contained(inner, main, at, p, pattern.longest, block).withColumn("query_no", F.lit(i)))
+        return _placed(every, at, keep)
     kept = [c for c in dict.fromkeys(keep) if c not in KEY]
-    subs = [as_pattern(p) for p in subs]
-    names = as_pattern(pattern).attributes().union(*(p.attributes() for p in subs))
+    names = pattern.attributes().union(*(p.attributes() for p in subs))
     carried = list(dict.fromkeys([*KEY, "n", *kept, *sorted(names)]))
     rows = sentence_regions(corpora)
-    rows = rows.select(*carried, F.explode(F.array(spans(as_pattern(pattern), F.lit(0), F.col("n")))).alias("_found"))
+    rows = rows.select(*carried, F.explode(F.array(spans(pattern, F.lit(0), F.col("n")))).alias("_found"))
     rows = rows.filter(F.size("_found") > 0)
     found = [F.col("_found"), *[_inside(p, F.col("_found")) for p in subs]]
     every = F.concat(*[_numbered(f, i) for i, f in enumerate(found)])
@@ -422,21 +547,27 @@ def linked(matches: DataFrame, partner: DataFrame) -> DataFrame:
     return matches.join(partner.select("link_id").distinct(), "link_id", "left_semi")
 
 
-def first_per_corpus(matches: DataFrame, n: int, texts_per_block: int = 4096) -> DataFrame:
+def hits_per_text(matches: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``corpus, text_id, hits, before``: matches of every text that has any, and those of earlier texts in its group.
+
+    Texts are in corpus order.  The counts are written in sorted files, and added up by file: nothing but one row a
+    text is sorted, and no task holds a corpus.
+    """
+    counts = matches.groupBy("corpus", "text_id").agg(F.count("*").alias("hits")).withColumn("_all", F.lit(0))
+    order = [F.col(c) for c in ("corpus", "text_id") if c not in groups]
+    return running_by_file(counts, groups, order, "hits", "before", new_path(matches.sparkSession, "hits")).drop("_all")
+
+
+def first_per_corpus(matches: DataFrame, n: int) -> DataFrame:
     """At most ``n`` matches of every corpus, in corpus order.
 
-    Matches are counted per run of texts; runs that begin within the first ``n`` are kept, and ranked one by
-    one, so no window spans a corpus.
+    Texts that begin within the first ``n`` matches of their corpus are kept whole, but for the last one of them.
     """
-    order = [F.col("text_id"), F.col("region_off") + F.col("ms")]
-    rows = matches.withColumn("_block", F.floor(F.col("text_id") / texts_per_block))
-    earlier = Window.partitionBy("corpus").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("corpus", "_block").count()
-    blocks = blocks.select("corpus", "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    rows = rows.join(blocks.filter(F.col("_before") < n), ["corpus", "_block"])
-    rank = F.row_number().over(Window.partitionBy("corpus", "_block").orderBy(*order))
-    rows = rows.withColumn("_rank", rank + F.col("_before")).filter(F.col("_rank") <= n)
-    return rows.drop("_rank", "_block", "_before")
+    texts = hits_per_text(matches, ["corpus"]).filter(F.col("before") < n)
+    rows = matches.join(texts, ["corpus", "text_id"])
+    rank = F.row_number().over(Window.partitionBy("corpus", "text_id").orderBy(F.col("region_off") + F.col("ms")))
+    rows = rows.withColumn("_rank", F.when(F.col("before") + F.col("hits") > n, rank + F.col("before")))
+    return rows.filter(F.col("_rank").isNull() | (F.col("_rank") <= n)).drop("_rank", "before", "hits")
 
 
 def hits_per_corpus(matches: DataFrame, corpora: Corpora) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.running import running_by_file
-from quillspan.session import shared_folder
+from quillspan.session import new_path
 
 # Fixed value: greatest number of rows per call, unless the caller sets another.
 MAX_ROWS = 1000
@@ -17,6 +16,10 @@ MAX_ROWS = 1000
 # A page that ends within so many rows is found with per-task top-k lists.
 NEAR = 10_000
 
+# Ranks up to this are cut per task before rows of a group meet.
+FEW = 1000
+
+
 def check_page(start: int, end: int, max_rows: int = MAX_ROWS) -> None:
     """ValueError unless the page has at most ``max_rows`` rows."""
     if start < 0 or end < start:
@@ -25,6 +28,11 @@ def check_page(start: int, end: int, max_rows: int = MAX_ROWS) -> None:
         raise ValueError(f"at most {max_rows} rows per call")
 
 
+def beyond_cap(hits: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``corpus, hits, refused``: whether all matches of a corpus are more than one call returns."""
+    return hits.select("corpus", "hits", (F.col("hits") > max_rows).alias("refused"))
+
+
 def page(df: DataFrame, order: Sequence[Column], start: int = 0, end: int = 9) -> DataFrame:
     """Rows ``start..end`` of ``df`` in a total order of named columns; ``end = -1`` means to the last."""
     if start < 0 or (end != -1 and end < start):
@@ -35,7 +43,7 @@ def page(df: DataFrame, order: Sequence[Column], start: int = 0, end: int = 9) -
         return df.orderBy(*order).offset(start).limit(end - start + 1)
     # Far down the order: sort into files, count per file, and rank only by file.
     rows = df.withColumns({"_all": F.lit(0), "_one": F.lit(1)})
-    ranked = running_by_file(rows, ["_all"], order, "_one", "_rank", _new_path(df))
+    ranked = running_by_file(rows, ["_all"], order, "_one", "_rank", new_path(df.sparkSession, "pages"))
     wanted = F.col("_rank") >= start
     if end != -1:
         wanted = wanted & (F.col("_rank") <= end)
@@ -48,13 +56,22 @@ def settled(page_rows: DataFrame) -> DataFrame:
     Positions, texts around and context are looked up for the same page one after the other.
     Without this, each look-up would search the whole corpus for the page again.
     """
-    path = _new_path(page_rows)
+    path = new_path(page_rows.sparkSession, "pages")
     page_rows.write.mode("overwrite").parquet(path)
     return page_rows.sparkSession.read.schema(page_rows.schema).parquet(path)
 
 
-def _new_path(df: DataFrame) -> str:
-    return f"{shared_folder(df.sparkSession)}/pages/{uuid.uuid4().hex}"
+def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column], last: int, out: str = "rank") -> DataFrame:
+    """Rows that come up to place ``last`` (from 0; -1 for all) of their group, with their place; the order is total.
+
+    Few places are cut in every task before a group meets in one.  Else the rows are sorted into files, counted by
+    file and numbered in their file, so that no task holds a group.
+    """
+    if 0 <= last < FEW:
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
+        return df.withColumn(out, place).filter(F.col(out) <= last)
+    rows = running_by_file(df.withColumn("_one", F.lit(1)), groups, order, "_one", out, new_path(df.sparkSession, "ranks")).drop("_one")
+    return rows if last == -1 else rows.filter(F.col(out) <= last)
 
 
 def numbered(page_rows: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -41,10 +41,11 @@ def in_range(rows: DataFrame, start: str | None, end: str | None, strategy: int)
         return rows
     if not start or not end:
         raise ValueError("'from' and 'to' go together")
-    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in (parse_time(start), parse_time(end, end=True)))
+    lo, hi, hi_begins = (F.lit(t).cast("timestamp_ntz") for t in (parse_time(start), parse_time(end, end=True), parse_time(end)))
     df, dt = F.col("datefrom"), F.col("dateto")
     if strategy == 1:
-        return rows.filter(((df >= lo) & (dt <= hi)) | ((df <= lo) & (dt >= hi)))
+        # A span holds the range if it reaches its last day, at whatever hour it ends.
+        return rows.filter(((df >= lo) & (dt <= hi)) | ((df <= lo) & (dt >= hi_begins)))
     if strategy == 2:
         return rows.filter((df <= hi) & (dt >= lo))
     return rows.filter((df >= lo) & (dt <= hi))

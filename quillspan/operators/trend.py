@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.calendar import Calendar, parse_time
@@ -32,19 +32,30 @@ def check_points(corpora: Corpora, granularity: str, start: str | None = None, e
 
     Reads at most the small ``info`` table, before anything else runs.
     """
-    unit = _UNIT[Calendar(granularity).granularity]
     if start and end:
         ends = corpora.info.sparkSession.range(1).select(
-            F.lit(parse_time(start)).cast("timestamp_ntz").alias("lo"), F.lit(parse_time(end, end=True)).cast("timestamp_ntz").alias("hi")
+            F.lit(parse_time(start)).cast("timestamp_ntz").alias("first_date"), F.lit(parse_time(end, end=True)).cast("timestamp_ntz").alias("last_date")
         )
     else:
-        ends = corpora.info.agg(F.min("first_date").alias("lo"), F.max("last_date").alias("hi"))
-    latest = F.col("lo") + F.expr(f"INTERVAL '{max_points}' {unit}")
-    row = ends.select((F.col("hi") > latest).alias("too_long")).first()
-    if row.too_long:
+        ends = corpora.info.agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+    if ends.select(_too_long(granularity, max_points)).first()[0]:
         raise ValueError("the time range is too long for this granularity; use 'from' and 'to'")
 
 
+def _too_long(granularity: str, max_points: int) -> Column:
+    unit = _UNIT[Calendar(granularity).granularity]
+    return F.col("last_date") > F.col("first_date") + F.expr(f"INTERVAL '{max_points}' {unit}")
+
+
+def too_many_points(corpora: Corpora, max_points: int = 3600) -> DataFrame:
+    """``corpus, granularity, refused``: whether a trend of the whole corpus would have more points; null without dates."""
+    rows = [corpora.info.select("corpus", F.lit(g).alias("granularity"), _too_long(g, max_points).alias("refused")) for g in _UNIT]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def spans_of(matches: DataFrame, calendar: Calendar) -> DataFrame:
     """Matches per dated span; ``matches`` must keep ``datefrom`` and ``dateto``."""
     by = ["query_no"] if "query_no" in matches.columns else []

@@ -10,7 +10,7 @@ nearest second hit may block a third one that a farther second hit allows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,11 +120,21 @@ class Gap:
 class Alt:
     options: tuple[Pattern, ...]
 
+    @property
+    def longest(self) -> int | None:
+        lengths = [option.longest for option in self.options]
+        return None if None in lengths else max(lengths)
+
 
 @dataclass(frozen=True)
 class Pattern:
     parts: tuple[object, ...]
 
+    @property
+    def shortest(self) -> int:
+        """Least length of a match in tokens."""
+        return sum(_shortest(part) for part in self.parts)
+
     @property
     def longest(self) -> int | None:
         """Greatest length of a match in tokens; None when there is no bound."""
@@ -148,14 +158,46 @@ class Pattern:
 
 
 def _longest(part) -> int | None:
+    if isinstance(part, One):
+        return 1
+    if isinstance(part, Look):
+        return 0
+    return part.longest if isinstance(part, Alt) else part.most
+
+
+def _shortest(part) -> int:
     if isinstance(part, One):
         return 1
     if isinstance(part, Look):
         return 0
     if isinstance(part, Alt):
-        lengths = [option.longest for option in part.options]
-        return None if None in lengths else max(lengths)
-    return part.most
+        return min(option.shortest for option in part.options)
+    return part.least
+
+
+def is_open(part) -> bool:
+    """A gap or repetition without an upper bound."""
+    return isinstance(part, (Gap, Rep)) and part.most is None
+
+
+def without_choice(pattern: Pattern) -> list[Pattern]:
+    """Patterns that together match the same, in which no open part stands inside an alternation."""
+    for i, part in enumerate(pattern.parts):
+        if isinstance(part, Alt) and part.longest is None:
+            return [p for o in part.options for p in without_choice(Pattern((*pattern.parts[:i], *o.parts, *pattern.parts[i + 1 :])))]
+    return [pattern]
+
+
+def closed_at_end(pattern: Pattern) -> Pattern:
+    """The same matches, as each ends as early as it can: what may be left out at the end is left out."""
+    parts = list(pattern.parts)
+    if pattern.shortest == 0:  # one token of any part makes a match
+        return Pattern(tuple(replace(p, most=1) if is_open(p) else p for p in parts))
+    while isinstance(parts[-1], (Gap, Rep)) and parts[-1].least == 0:
+        parts.pop()
+    if is_open(parts[-1]):
+        parts[-1] = replace(parts[-1], most=parts[-1].least)
+    return Pattern(tuple(parts))
 
 
 def one(pred: Pred, target: bool = False) -> One:
@@ -229,11 +271,13 @@ def compile_at(
     start: Column,
     limit: Column,
     lookup: Callable[[str, Column, int | None], Column],
+    part_of_match: bool = False,
 ) -> Compiled:
     """Columns telling whether ``pattern`` matches at ``start`` without passing ``limit``.
 
     ``lookup(attr, position, k)`` gives an attribute at a position; ``k`` is the fixed distance
-    from ``start`` when it is known at this point.
+    from ``start`` when it is known at this point.  A pattern that is only ``part_of_match`` may take no token,
+    and all ends it can reach are wanted.
     """
     conds: list[Column] = []
     target: Column = F.lit(None).cast("int")
@@ -259,11 +303,13 @@ def compile_at(
     for cond in [*conds, start + F.lit(k) <= limit]:
         fixed = fixed & cond
     if not parts:
-        return Compiled(fixed & F.lit(k > 0), start + F.lit(k), target)
+        return Compiled(fixed & F.lit(k > 0 or part_of_match), start + F.lit(k), target)
 
     state = F.array(F.struct((start + F.lit(k)).alias("e"), target.alias("t")))
     for part in parts:
         state = _advance(state, part, limit, lookup)
+    if part_of_match:
+        return Compiled(fixed, start, target, state)
     if k == 0:
         state = F.filter(state, lambda s: s["e"] > start)
     return Compiled(fixed, start, target, F.slice(F.array_sort(state), 1, 1))

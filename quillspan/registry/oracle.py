@@ -34,17 +34,57 @@ sizes AS (SELECT corpus, count(*) AS size FROM tok GROUP BY corpus),
 total AS (SELECT count(*) AS size FROM tok)
 """
 
-# Tokens of the conversations; a text per turn.
+# Tokens of the conversations; a text per turn, numbered by conversation and turn.
 CONV_TOKENS = r"""
+turns AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS text_id FROM conversations),
 cpieces AS (
-  SELECT conv_id, turn, role, p.ord, regexp_extract_all(p.piece, '[\p{L}\p{N}]+') AS words
-  FROM conversations, unnest(regexp_extract_all(text, '[^.!?\n]+')) WITH ORDINALITY AS p(piece, ord)
-  WHERE role IN ('user', 'assistant')),
+  SELECT text_id, conv_id, turn, role, l.ord AS line, p.ord, regexp_extract_all(p.piece, '[\p{L}\p{N}]+') AS words
+  FROM turns, unnest(string_split(text, chr(10))) WITH ORDINALITY AS l(body, ord),
+       unnest(regexp_extract_all(l.body, '[^.!?\n]+')) WITH ORDINALITY AS p(piece, ord)),
+csents AS (
+  SELECT *, row_number() OVER t - 1 AS sent_no, dense_rank() OVER (PARTITION BY text_id ORDER BY line) - 1 AS line_no
+  FROM cpieces WHERE len(words) > 0 WINDOW t AS (PARTITION BY text_id ORDER BY line, ord)),
 ctok AS MATERIALIZED (
-  SELECT conv_id, turn, role, w.word, regexp_matches(w.word, '^\p{Lu}') AND NOT regexp_matches(w.word, '^\p{N}+$') AS cap,
-         row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord, w.i) - 1 AS off,
-         row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, ord, w.i) - 1 AS position
-  FROM cpieces, unnest(words) WITH ORDINALITY AS w(word, i))
+  SELECT 'CONV-' || upper(role) AS corpus, text_id, conv_id, turn, role, line_no, sent_no, w.i - 1 AS i, w.word,
+         regexp_matches(w.word, '^\p{Lu}') AND NOT regexp_matches(w.word, '^\p{N}+$') AS cap, regexp_matches(w.word, '^\p{N}+$') AS num,
+         row_number() OVER (PARTITION BY text_id ORDER BY sent_no, w.i) - 1 AS off,
+         row_number() OVER (PARTITION BY role ORDER BY text_id, sent_no, w.i) - 1 AS position
+  FROM csents, unnest(words) WITH ORDINALITY AS w(word, i)),
+cnext AS MATERIALIZED (SELECT *, lead(cap OR num) OVER (PARTITION BY text_id, sent_no ORDER BY i) AS not_low FROM ctok)
+"""
+
+# Links between sentences of a user's turn and of the assistant's next one.
+LINKS = """
+csizes AS (
+  SELECT text_id, conv_id, turn, role, min(position) AS start_pos, max(position) AS end_pos, count(DISTINCT sent_no) AS n_sents FROM ctok GROUP BY ALL),
+cspans AS (SELECT text_id, sent_no, min(position) AS first, max(position) AS last FROM ctok GROUP BY ALL),
+cpairs AS (
+  SELECT a.text_id AS a_text, b.text_id AS b_text, a.end_pos AS a_end, b.end_pos AS b_end, least(a.n_sents, b.n_sents) AS n
+  FROM csizes a JOIN csizes b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'),
+links AS MATERIALIZED (
+  SELECT x.first, CASE WHEN x.sent_no = n - 1 THEN a_end ELSE x.last END AS last, y.first AS p_first, CASE WHEN x.sent_no = n - 1 THEN b_end ELSE y.last END AS p_last
+  FROM cpairs JOIN cspans x ON x.text_id = a_text AND x.sent_no < n JOIN cspans y ON y.text_id = b_text AND y.sent_no = x.sent_no)
+"""
+
+# The tokens with the line they stand in.
+LINES = r"""
+lpieces AS (
+  SELECT corpus, text_id, l.ord AS line, p.ord, len(regexp_extract_all(p.piece, '[\p{L}\p{N}]+')) AS words
+  FROM docs, unnest(string_split(text, chr(10))) WITH ORDINALITY AS l(body, ord),
+       unnest(regexp_extract_all(l.body, '[^.!?\n]+')) WITH ORDINALITY AS p(piece, ord)),
+lsents AS (
+  SELECT corpus, text_id, dense_rank() OVER (PARTITION BY corpus, text_id ORDER BY line) - 1 AS line,
+         row_number() OVER (PARTITION BY corpus, text_id ORDER BY line, ord) - 1 AS sent_no
+  FROM lpieces WHERE words > 0),
+ltok AS MATERIALIZED (SELECT tok.*, line FROM tok JOIN lsents USING (corpus, text_id, sent_no))
+"""
+
+# Tokens with what follows them in their text.
+NEXT = """
+next AS MATERIALIZED (
+  SELECT *, lead(word) OVER t AS w1, lead(pos) OVER t AS p1, lead(lemma) OVER t AS lemma1, max(off) OVER (PARTITION BY corpus, text_id) AS last
+  FROM tok WINDOW t AS (PARTITION BY corpus, text_id ORDER BY off))
 """
 
 # A token with the three tokens that follow it in its sentence.
@@ -101,6 +141,13 @@ _text(
     FROM triples GROUP BY ALL""",
     PAIRS,
 )
+_text(
+    "relation_table_rows",
+    """
+    SELECT * FROM triples
+    WHERE (head LIKE '%ing' AND ((bfhead AND bfdep) OR wfhead)) OR (dep LIKE '%ing' AND ((bfhead AND bfdep) OR wfdep))""",
+    PAIRS,
+)
 _text(
     "relation_marginals",
     """
@@ -140,6 +187,11 @@ _text(
     "corpora_list",
     " SELECT DISTINCT corpus, corpus IN (SELECT corpus FROM docs WHERE text_toxic = '1') AS protected FROM docs",
 )
+_text(
+    "access_denied",
+    """
+    SELECT DISTINCT corpus FROM docs WHERE text_toxic = '1' AND regexp_full_match(corpus, 'SRC[0-9]') AND CAST(substr(corpus, 4) AS INT) % 2 = 1""",
+)
 _text("corpus_info_totals", " SELECT count(*) AS total_size, count(DISTINCT (corpus, text_id, sent_no)) AS total_sentences FROM tok")
 _text(
     "corpus_attributes",
@@ -172,13 +224,13 @@ _ahead("pred_assert", f' SELECT {PLACE}, CAST(2 AS BIGINT) AS "length" FROM ahea
 _ahead("match_sequence", " SELECT corpus, position FROM ahead WHERE word = 'the' AND w1 LIKE '%ing'")
 
 
-def _nearest(lo: int, hi: int | None, same: str = SAME, at: str = "i") -> str:
+def _nearest(lo: int, hi: int | None, same: str = SAME, at: str = "i", source: str = "tok") -> str:
     """'the' and the nearest word in -ing, lo to hi places on."""
     upper = f" AND b.{at} <= a.{at} + {hi}" if hi is not None else ""
     return f"""
     nearest AS MATERIALIZED (
       SELECT a.corpus, a.text_id, a.text_lang, a.sent_no, a.i, a.off, a.position, min(b.{at}) - a.{at} + 1 AS len
-      FROM tok a JOIN tok b ON {same} AND b.{at} >= a.{at} + {lo}{upper}
+      FROM {source} a JOIN {source} b ON {same} AND b.{at} >= a.{at} + {lo}{upper}
       WHERE a.word = 'the' AND b.word LIKE '%ing'
       GROUP BY a.corpus, a.text_id, a.text_lang, a.sent_no, a.i, a.off, a.position)
     """
@@ -235,11 +287,12 @@ _text(
     SELECT corpus, text_id, sent_no FROM tok GROUP BY corpus, text_id, sent_no
     HAVING count(*) FILTER (word = 'the') > 0 AND count(*) FILTER (word LIKE '%ing') > 0 AND count(*) FILTER (word = 'of') > 0""",
 )
-_ahead(
+_text(
     "match_chain_expand",
     f"""
-    SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM tok a WHERE word = 'of' AND EXISTS (
-      SELECT 1 FROM ahead b WHERE {SAME} AND b.word = 'the' AND b.w1 LIKE '%ing')""",
+    SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM tok SEMI JOIN held USING (corpus, text_id, sent_no) WHERE word = 'of'""",
+    NEXT.replace("PARTITION BY corpus, text_id ORDER BY off", "PARTITION BY corpus, text_id, sent_no ORDER BY off"),
+    "held AS MATERIALIZED (SELECT DISTINCT corpus, text_id, sent_no FROM next WHERE word = 'the' AND w1 LIKE '%ing')",
 )
 _text(
     "match_within_by_corpus",
@@ -258,10 +311,56 @@ _text(
 _text(
     "match_chain_expand_text",
     f"""
-    , heads AS (
-      SELECT DISTINCT a.corpus, a.text_id FROM tok a JOIN tok b ON {SAME_TEXT} AND b.off = a.off + 1
-      WHERE a.word = 'the' AND regexp_full_match(b.word, 'i.*ing'))
-    SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM tok SEMI JOIN heads USING (corpus, text_id) WHERE pos = 'CAP' AND word LIKE '%ing'""",
+    SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM tok SEMI JOIN held USING (corpus, text_id) WHERE pos = 'CAP' AND word LIKE '%ing'""",
+    NEXT,
+    "held AS MATERIALIZED (SELECT DISTINCT corpus, text_id FROM next WHERE word = 'the' AND regexp_full_match(w1, 'i.*ing'))",
+)
+SAME_LINE = "a.corpus = b.corpus AND a.text_id = b.text_id AND a.line = b.line"
+_text("match_within_line", _FOUND, LINES, _nearest(1, 9, SAME_LINE, "off", "ltok"))
+_text(
+    "match_chain_expand_line",
+    f"""
+    , held AS (
+      SELECT DISTINCT corpus, text_id, line FROM (SELECT *, lead(word) OVER (PARTITION BY corpus, text_id, line ORDER BY off) AS w1 FROM ltok)
+      WHERE word = 'the' AND w1 LIKE '%ing')
+    SELECT {PLACE}, CAST(1 AS BIGINT) AS "length" FROM ltok SEMI JOIN held USING (corpus, text_id, line) WHERE word = 'of'""",
+    LINES,
+)
+_text(
+    "match_repetition_text",
+    f"""
+    , ends AS (
+      SELECT *, min(CASE WHEN pos <> 'LOW' THEN off END) OVER (PARTITION BY corpus, text_id ORDER BY off ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop
+      FROM tok)
+    SELECT a.corpus, a.text_id, a.off AS "offset", a.stop - a.off + 1 AS "length" FROM ends a
+    JOIN tok b ON {SAME_TEXT} AND b.off = a.stop WHERE a.word = 'the' AND b.pos = 'CAP' AND a.stop >= a.off + 2""",
+)
+_text(
+    "match_edge_open_text",
+    """
+    , found AS (
+      SELECT *, min(CASE WHEN word = 'the' AND w1 LIKE '%ing' AND off + 3 <= last THEN off END)
+                  OVER (PARTITION BY corpus, text_id ORDER BY off ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS there FROM next)
+    SELECT corpus, text_id, off AS "offset", there + 3 - off + 1 AS "length" FROM found WHERE there IS NOT NULL""",
+    NEXT,
+)
+_text(
+    "match_chain_spans_text",
+    """
+    , reach AS (
+      SELECT *, min(CASE WHEN word LIKE '%ing' THEN off END) OVER (PARTITION BY corpus, text_id ORDER BY off ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop
+      FROM next),
+    spans AS (SELECT *, max(CASE WHEN word = 'the' THEN stop END) OVER (PARTITION BY corpus, text_id ORDER BY off) AS farthest FROM reach)
+    SELECT corpus, text_id, off AS "offset", CAST(2 AS BIGINT) AS "length" FROM spans WHERE pos = 'CAP' AND p1 = 'LOW' AND farthest >= off + 1""",
+    NEXT,
+)
+_text(
+    "match_chain_spans_unbounded",
+    """
+    , pairs AS (SELECT *, lead(pos) OVER (PARTITION BY corpus ORDER BY position) AS p1 FROM tok)
+    SELECT DISTINCT b.corpus, b.text_id, b.off AS "offset", CAST(2 AS BIGINT) AS "length"
+    FROM nearest a JOIN pairs b ON a.corpus = b.corpus AND b.position BETWEEN a.position AND a.position + a.len - 2 WHERE b.pos = 'CAP' AND b.p1 = 'LOW'""",
+    _nearest(1, 13, "a.corpus = b.corpus", "position"),
 )
 _text(
     "match_chain_spans",
@@ -284,13 +383,35 @@ _ahead(
       ON s.corpus = a.corpus AND a.pos = 'CAP' AND regexp_full_match(a.w1, 'th.*ing') GROUP BY s.corpus""",
 )
 
-ORACLE["match_aligned"] = (
-    "WITH "
-    + CONV_TOKENS
-    + """
-    SELECT 'CONV-USER' AS corpus, conv_id * 2147483648 + turn AS text_id, off AS "offset", CAST(1 AS BIGINT) AS "length" FROM ctok a
+
+
+def _conversation(name: str, select: str, *ctes: str) -> None:
+    ORACLE[name] = "WITH " + ",".join([CONV_TOKENS, *ctes]) + select
+
+
+_conversation(
+    "match_aligned",
+    """
+    SELECT 'CONV-USER' AS corpus, text_id, off AS "offset", CAST(1 AS BIGINT) AS "length" FROM ctok a
     WHERE role = 'user' AND word = 'the' AND EXISTS (
-      SELECT 1 FROM ctok b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' AND b.word LIKE '%ing')"""
+      SELECT 1 FROM ctok b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' AND b.word LIKE '%ing')""",
+)
+_conversation(
+    "match_within_conversation",
+    """
+    , found AS (
+      SELECT *, min(CASE WHEN regexp_full_match(word, '[xyz].*') THEN position END)
+                  OVER (PARTITION BY role, conv_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM ctok WHERE conv_id IS NOT NULL)
+    SELECT corpus, text_id, off AS "offset", stop - position + 1 AS "length" FROM found WHERE cap AND stop IS NOT NULL""",
+)
+_conversation("alignment_links", " SELECT 'CONV-USER' AS corpus, first, last, 'CONV-ASSISTANT' AS partner, p_first, p_last FROM links", LINKS)
+_conversation(
+    "match_aligned_segments",
+    """
+    SELECT DISTINCT a.corpus, a.text_id, a.off AS "offset", CAST(2 AS BIGINT) AS "length"
+    FROM cnext a JOIN links l ON a.position BETWEEN l.first AND l.last JOIN ctok b ON b.role = 'assistant' AND b.position BETWEEN l.p_first AND l.p_last
+    WHERE a.role = 'user' AND a.cap AND a.not_low = FALSE AND b.cap""",
+    LINKS,
 )
 
 # --------------------------------------------------------------------------------------
@@ -329,6 +450,13 @@ _ahead(
     _LINE.format(around="t.text_id = h.text_id AND t.sent_no BETWEEN h.sent_no - 1 AND h.sent_no + 1"),
     _hits(_THE_ING, 2, 0, 24),
 )
+_ahead(
+    "kwic_context_lines",
+    _LINE.replace("FROM hits h JOIN tok t", "FROM placed h JOIN ltok t").format(around="t.text_id = h.text_id AND t.line BETWEEN h.line - 1 AND h.line + 1"),
+    LINES,
+    _hits(_THE_ING, 2, 0, 24),
+    "placed AS (SELECT h.*, line FROM hits h JOIN lsents USING (corpus, text_id, sent_no))",
+)
 _ahead(
     "kwic_show",
     """
@@ -359,8 +487,31 @@ around AS MATERIALIZED (
 _ROWS = ' SELECT "row", corpus, position FROM hits'
 _text("kwic_sort_left", _ROWS, _AROUND, _hits("word = 'the'", 1, 5, 64, "corpus, l1, l2, l3, position", "around"))
 _text("kwic_sort_right", _ROWS, _AROUND, _hits("word = 'the'", 1, 5, 64, "corpus, r1, r2, r3, position", "around"))
+# Swedish order: letters first, whatever their accents, then accents.  Fixed values: which accents come first.
+_ACCENTS = """
+accents AS MATERIALIZED (
+  SELECT *, array_to_string(list_transform(string_split(word, ''), lambda c:
+    CASE WHEN c = 'é' THEN '01' WHEN c IN ('è', 'à', 'ù') THEN '02' WHEN c IN ('ê', 'â', 'î', 'ô', 'û') THEN '03' WHEN c IN ('ë', 'ï') THEN '04' WHEN c = 'ç' THEN '05' ELSE '0' END), '') AS marks
+  FROM tok WHERE word LIKE 'é%')
+"""
+_text("kwic_sort_collated", _ROWS, _ACCENTS, _hits("TRUE", 1, 5, 64, "corpus, strip_accents(lower(word)), marks, word, position", "accents"))
 _ahead("kwic_sort_keyword", _ROWS, _hits("word = 'the' AND w1 IS NOT NULL", 2, 5, 64, "corpus, w1, position"))
 _ahead("kwic_sort_attr", _ROWS, _hits("w1 = 'the' AND w2 IS NOT NULL", 3, 5, 64, "corpus, pos, p1, p2, position"))
+for _within, _same, _at, _source in (
+    ("text", SAME_TEXT, "off", "tok"),
+    ("line", SAME_LINE, "off", "ltok"),
+    ("unbounded", "a.corpus = b.corpus", "position", "tok"),
+):
+    for _side, _words, _end in (("left", "x.l1, x.l2, x.l3", ""), ("right", "x.r1, x.r2, x.r3", " + n.len - 1")):
+        _text(
+            f"kwic_sort_{_side}_{_within}",
+            f"""
+            SELECT row_number() OVER (ORDER BY n.corpus, {_words}, n.position) - 1 AS "row", n.corpus, n.position
+            FROM nearest n JOIN around x ON n.corpus = x.corpus AND x.position = n.position{_end} QUALIFY "row" BETWEEN 5 AND 64""",
+            LINES,
+            _AROUND,
+            _nearest(1, 6, _same, _at, _source),
+        )
 _text("kwic_sort_random", _ROWS, _hits("word = 'the'", 1, 5, 64, "corpus, md5(concat_ws('|', '42', corpus, text_id, off)), position", "tok"))
 _text("kwic_page", _ROWS, _hits("word = 'the'", 1, 700, 899, source="tok"))
 _text("kwic_page_by_hits", _ROWS, _hits("word = 'the'", 1, 700, 899, source="tok"))
@@ -373,14 +524,47 @@ _text(
       GROUP BY corpus, text_id, sent_no HAVING count(*) FILTER (word = 'the') > 0 AND count(*) FILTER (word LIKE '%ing') > 0)
     SELECT row_number() OVER (ORDER BY corpus, text_id, sent_no) - 1 AS "row", * FROM found QUALIFY "row" < 50""",
 )
-ORACLE["kwic_aligned"] = (
-    "WITH "
-    + CONV_TOKENS
-    + """
+_conversation(
+    "kwic_aligned",
+    """
     , hits AS (SELECT *, row_number() OVER (ORDER BY position) - 1 AS "row" FROM ctok WHERE role = 'user' AND cap QUALIFY "row" < 100)
     SELECT h."row", h.position, string_agg(t.word, ' ' ORDER BY t.off) AS aligned
-    FROM hits h LEFT JOIN ctok t ON t.conv_id = h.conv_id AND t.turn = h.turn + 1 AND t.role = 'assistant' GROUP BY h."row", h.position"""
+    FROM hits h LEFT JOIN ctok t ON t.conv_id = h.conv_id AND t.turn = h.turn + 1 AND t.role = 'assistant' GROUP BY h."row", h.position""",
+)
+_conversation(
+    "kwic_aligned_segments",
+    """
+    , hits AS (SELECT *, row_number() OVER (ORDER BY position) - 1 AS "row" FROM ctok WHERE role = 'user' AND cap QUALIFY "row" < 100)
+    SELECT h."row", h.position, string_agg(t.word, ' ' ORDER BY t.position) AS aligned
+    FROM hits h LEFT JOIN links l ON h.position BETWEEN l.first AND l.last
+    LEFT JOIN ctok t ON t.role = 'assistant' AND t.position BETWEEN l.p_first AND l.p_last GROUP BY h."row", h.position""",
+    LINKS,
+)
+_CONV_HITS = """
+chits AS MATERIALIZED (
+  SELECT *, 2 AS len, row_number() OVER (ORDER BY corpus, position) - 1 AS "row" FROM cnext WHERE cap AND not_low = FALSE QUALIFY "row" < {n})
+"""
+_conversation(
+    "kwic_context_conversation",
+    _LINE.replace("FROM hits h JOIN tok t", "FROM chits h JOIN ctok t").format(around="(t.conv_id = h.conv_id OR t.position BETWEEN h.position AND h.position + 1)"),
+    _CONV_HITS.format(n=10),
+)
+_conversation(
+    "kwic_open_close_regions",
+    """
+    , edges AS (
+      SELECT *, i = 0 AS s1, i = max(i) OVER (PARTITION BY text_id, sent_no) AS s2,
+             off = min(off) OVER (PARTITION BY text_id, line_no) AS l1, off = max(off) OVER (PARTITION BY text_id, line_no) AS l2,
+             off = 0 AS t1, off = max(off) OVER (PARTITION BY text_id) AS t2,
+             conv_id IS NOT NULL AND position = min(position) OVER (PARTITION BY role, conv_id) AS c1,
+             conv_id IS NOT NULL AND position = max(position) OVER (PARTITION BY role, conv_id) AS c2 FROM ctok)
+    SELECT h."row", e.corpus, e.i, e.word, e.i BETWEEN h.i AND h.i + 1 AS in_match,
+           concat_ws(' ', CASE WHEN c1 THEN 'conversation' END, CASE WHEN t1 THEN 'text' END, CASE WHEN l1 THEN 'line' END, CASE WHEN s1 THEN 'sentence' END) AS "open",
+           concat_ws(' ', CASE WHEN s2 THEN 'sentence' END, CASE WHEN l2 THEN 'line' END, CASE WHEN t2 THEN 'text' END, CASE WHEN c2 THEN 'conversation' END) AS "close"
+    FROM chits h JOIN edges e ON e.text_id = h.text_id AND e.sent_no = h.sent_no""",
+    _CONV_HITS.format(n=200),
 )
+_text("kwic_row_cap", " SELECT s.corpus, count(t.word) AS hits, count(t.word) > 100 AS refused FROM sizes s LEFT JOIN tok t ON s.corpus = t.corpus AND t.word = 'the' GROUP BY s.corpus")
 _ahead(
     "kwic_sample",
     """
@@ -421,6 +605,15 @@ _ahead(
     SELECT corpus, 'the ' || v AS lex, count(*) AS absolute
     FROM (SELECT corpus, unnest(CASE WHEN len(lex1) = 0 THEN [''] ELSE lex1 END) AS v FROM ahead WHERE {_THE_ANY}) GROUP BY ALL""",
 )
+_text(
+    "count_split_ngram",
+    """
+    , sets AS (SELECT *, CASE WHEN len(lex) = 0 THEN [''] ELSE lex END AS v FROM tok),
+    four AS (SELECT *, lead(v, 1) OVER s AS v1, lead(v, 2) OVER s AS v2, lead(v, 3) OVER s AS v3 FROM sets WINDOW s AS (PARTITION BY corpus, text_id, sent_no ORDER BY i)),
+    found AS (SELECT corpus, v, v1, v2, v3 FROM four WHERE word = 'the' AND v3 IS NOT NULL)
+    SELECT corpus, concat_ws(' ', a, b, c, d) AS lex, count(*) AS absolute
+    FROM found, unnest(v) AS q(a), unnest(v1) AS x(b), unnest(v2) AS y(c), unnest(v3) AS z(d) GROUP BY ALL""",
+)
 _ahead(
     "count_split_top",
     f" SELECT corpus, 'the ' || coalesce(lex1[1], '') AS lex, 'LOW ' || p1 AS pos, count(*) AS absolute FROM ahead WHERE {_THE_ANY} GROUP BY ALL",
@@ -530,12 +723,38 @@ _ahead(
     _nearest(1, 5),
     _SUBQUERIES,
 )
+_ahead(
+    "count_page_subqueries",
+    """
+    , totals AS (SELECT query_no, lemma, count(*) AS absolute FROM every GROUP BY ALL)
+    SELECT query_no, lemma, absolute, round(absolute / (SELECT size FROM total) * 1000000.0, 6) AS relative FROM totals
+    QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY absolute DESC, lemma) <= 1500""",
+    _nearest(1, 5),
+    _SUBQUERIES,
+)
+_text(
+    "count_subqueries_text",
+    """
+    , main AS (
+      SELECT 0 AS query_no, a.corpus, a.text_lang, a.position, string_agg(b.lemma, ' ' ORDER BY b.off) AS lemma
+      FROM nearest a JOIN tok b ON a.corpus = b.corpus AND a.text_id = b.text_id AND b.off BETWEEN a.off AND a.off + a.len - 1 GROUP BY a.corpus, a.text_lang, a.position),
+    inside AS (
+      SELECT DISTINCT b.corpus, b.text_lang, b.position, b.pos, b.lemma, b.lemma1, b.w1, max(b.off <= a.off + a.len - 2) AS two
+      FROM nearest a JOIN next b ON a.corpus = b.corpus AND a.text_id = b.text_id AND b.off BETWEEN a.off AND a.off + a.len - 1 GROUP BY ALL),
+    every AS (
+      SELECT query_no, corpus, lemma, text_lang FROM main
+      UNION ALL SELECT 1, corpus, lemma, text_lang FROM inside WHERE pos = 'CAP'
+      UNION ALL SELECT 2, corpus, lemma || ' ' || lemma1, text_lang FROM inside WHERE two AND pos = 'LOW' AND w1 LIKE '%ing')
+    SELECT query_no, corpus, lemma, text_lang, count(*) AS absolute FROM every GROUP BY ALL""",
+    NEXT,
+    _nearest(1, 10, SAME_TEXT, "off"),
+)
 _text(
     "count_union",
     r"""
     SELECT corpus, pos, text_lang, CAST(NULL AS VARCHAR) AS text_role, count(*) AS absolute FROM tok GROUP BY ALL
     UNION ALL
-    SELECT 'CONV-' || upper(role), CASE WHEN regexp_matches(word, '^\p{N}+$') THEN 'NUM' WHEN cap THEN 'CAP' ELSE 'LOW' END, NULL, role, count(*)
+    SELECT corpus, CASE WHEN num THEN 'NUM' WHEN cap THEN 'CAP' ELSE 'LOW' END, NULL, role, count(*)
     FROM ctok GROUP BY ALL
     UNION ALL
     SELECT 'EVT', CASE WHEN value > 10 THEN 'POS' WHEN value < 10 THEN 'NEG' ELSE 'ZERO' END, NULL, NULL, count(*) FROM events GROUP BY ALL""",
@@ -653,6 +872,11 @@ ORACLE["corpus_info"] = f"WITH {ORDERS}" + """
            strftime(min(df), '%Y-%m-%d %H:%M:%S') AS first_date, strftime(max(dt), '%Y-%m-%d %H:%M:%S') AS last_date
     FROM texts JOIN places p USING (corpus) GROUP BY corpus"""
 
+ORACLE["count_time_refused"] = "WITH ends AS (SELECT min(ts) AS a, max(ts) AS b FROM events)" + " UNION ALL ".join(
+    f" SELECT 'EVT' AS corpus, '{g}' AS granularity, b > a + INTERVAL 3600 {unit} AS refused FROM ends"
+    for g, unit in (("y", "YEAR"), ("m", "MONTH"), ("d", "DAY"), ("h", "HOUR"), ("n", "MINUTE"), ("s", "SECOND"))
+)
+
 _TREND = """
     SELECT h.corpus, h."time", h.n AS absolute, round(h.n / t.n * 1000000.0, 6) AS relative
     FROM hits h JOIN steps t ON h.corpus = t.corpus AND h."time" = t."time" AND t.n > 0"""
@@ -736,6 +960,11 @@ _ahead(
     f" SELECT word, pos, freq1, freq2, {_SIGNED} QUALIFY row_number() OVER (PARTITION BY side ORDER BY abs(ll) DESC, pos DESC, word DESC) <= 15",
     _SETS,
 )
+_ahead(
+    "loglike_top_many",
+    f" SELECT word, pos, freq1, freq2, {_SIGNED} QUALIFY row_number() OVER (PARTITION BY side ORDER BY abs(ll) DESC, pos DESC, word DESC) <= 1500",
+    _SETS,
+)
 _ahead("loglike_average", " SELECT round(avg(ll), 2) AS average FROM scored", _SETS)
 _ahead(
     "loglike_two_queries",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import catalogue, compare, kwic, relations, timespan, trend, values
+from quillspan.operators import alignment, catalogue, compare, kwic, paging, relations, timespan, trend, values
 from quillspan.operators import count as stats
 from quillspan.operators import match as m
 from quillspan.operators.lemgrams import lemgram_count
@@ -84,6 +84,15 @@ def relation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(triples, "rel", *relations.FLAGS)
 
 
+@_raw
+def relation_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the stored table in which a word in -ing is the head or the dependent."""
+    pictures = tables.word_pictures(spark, sf_dir)
+    heads = pictures.by_head.filter(F.col("head").like("%ing"))
+    deps = pictures.by_dep.filter(F.col("dep").like("%ing"))
+    return heads.unionByName(deps).distinct().drop("depextra")
+
+
 @_raw
 def relation_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     pictures = tables.word_pictures(spark, sf_dir)
@@ -133,6 +142,15 @@ def corpora_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.corpora_list(c, c.texts.filter("text_toxic = '1'").select("corpus"))
 
 
+@_raw
+def access_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sources with a toxic text need permission; who reads SRC0 to SRC9 may read the even ones among them.
+    c = prepare(spark, sf_dir, "text")
+    allowed = c.info.filter(F.col("corpus").isin(EVEN_SOURCES)).select("corpus")
+    asked = c.info.filter(F.col("corpus").isin([f"SRC{i}" for i in range(10)])).select(F.lower("corpus").alias("corpus"))
+    return catalogue.denied(asked, c.texts.filter("text_toxic = '1'").select("corpus"), allowed)
+
+
 @_order
 def corpus_info(c: Corpora) -> DataFrame:
     info = catalogue.corpus_info(c)
@@ -291,7 +309,47 @@ def match_cut(c: Corpora) -> DataFrame:
 
 @_text
 def match_cut_deep(c: Corpora) -> DataFrame:
-    return _places(m.first_per_corpus(m.find(c, any_token()), 12_000, texts_per_block=64))
+    return _places(m.first_per_corpus(m.find(c, any_token()), 12_000))
+
+
+@_text
+def match_within_line(c: Corpora) -> DataFrame:
+    return _places(m.find(c, seq(THE, gap(0, 8), ING), within="line"))
+
+
+def _conversation(fn: Callable[[Corpora], DataFrame]) -> None:
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(prepare(spark, sf_dir, "conversation"))
+
+
+@_conversation
+def match_within_conversation(c: Corpora) -> DataFrame:
+    # From one text of a conversation into the next one of the same speaker.
+    return _places(m.find(c, seq(CAP, gap(0, None), tok("word").matches("[xyz].*")), within="conversation"))
+
+
+@_text
+def match_repetition_text(c: Corpora) -> DataFrame:
+    return _places(m.find(c, seq(THE, rep(LOW, 1, None), CAP), within="text"))
+
+
+@_text
+def match_edge_open_text(c: Corpora) -> DataFrame:
+    return _places(m.find(c, seq(gap(1, None), THE, ING, gap(2, None)), within="text"))
+
+
+@_text
+def match_chain_spans_text(c: Corpora) -> DataFrame:
+    return _places(m.chain(c, [seq(THE, gap(0, None), ING), seq(CAP, LOW)], within="text", expand=False))
+
+
+@_text
+def match_chain_spans_unbounded(c: Corpora) -> DataFrame:
+    return _places(m.chain(c, [seq(THE, gap(0, 12), ING), seq(CAP, LOW)], within=None, expand=False))
+
+
+@_text
+def match_chain_expand_line(c: Corpora) -> DataFrame:
+    return _places(m.chain(c, [seq(THE, ING), tok("word") == "of"], within="line"))
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> tuple[Corpora, Corpora]:
@@ -306,6 +364,19 @@ def match_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(m.linked(asked, answered))
 
 
+@_raw
+def alignment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.sentence_links(spark, sf_dir)
+
+
+@_raw
+def match_aligned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Capitalised words in sentences of questions whose counterpart in the answer has one as well.
+    user, assistant = _conversations(spark, sf_dir)
+    links = tables.sentence_links(spark, sf_dir)
+    return _places(alignment.linked_matches(m.find(user, seq(CAP, LOW)), user, m.find(assistant, CAP), assistant, links))
+
+
 @_text
 def corpus_hits(c: Corpora) -> DataFrame:
     return m.hits_per_corpus(m.find(c, seq(CAP, tok("word").matches("th.*ing"))), c)
@@ -344,6 +415,18 @@ def kwic_sentences_around(c: Corpora) -> DataFrame:
     return _line(kwic.context_sentences(page, c, around=1))
 
 
+@_text
+def kwic_context_lines(c: Corpora) -> DataFrame:
+    page = kwic.kwic_page(m.find(c, seq(THE, ING)), c, 0, 24)
+    return _line(kwic.context_by_corpus(page, c, {}, "2 lines"))
+
+
+@_conversation
+def kwic_context_conversation(c: Corpora) -> DataFrame:
+    page = kwic.kwic_page(m.find(c, seq(CAP, LOW)), c, 0, 9)
+    return _line(kwic.context_by_corpus(page, c, {}, "1 conversation"))
+
+
 @_text
 def kwic_show(c: Corpora) -> DataFrame:
     page = kwic.kwic_page(m.find(c, seq(THE, ING)), c, 0, 24)
@@ -367,8 +450,16 @@ def kwic_open_close(c: Corpora) -> DataFrame:
     return rows.select(F.col("row").cast("bigint").alias("row"), "corpus", F.col("i").cast("bigint").alias("i"), "word", "in_match", *marks)
 
 
-def _sorted(c: Corpora, sort: str, pattern=THE, **options) -> DataFrame:
-    found = m.find(c, pattern, keep=kwic.needed_for_sort(sort))
+@_conversation
+def kwic_open_close_regions(c: Corpora) -> DataFrame:
+    page = kwic.kwic_page(m.find(c, seq(CAP, LOW)), c, 0, 199)
+    rows = kwic.open_close(page, c, ("conversation", "text", "line", "sentence"))
+    marks = [F.array_join(x, " ").alias(x) for x in ("open", "close")]
+    return rows.select(F.col("row").cast("bigint").alias("row"), "corpus", F.col("i").cast("bigint").alias("i"), "word", "in_match", *marks)
+
+
+def _sorted(c: Corpora, sort: str, pattern=THE, within: str | None = "sentence", block: int = 4096, **options) -> DataFrame:
+    found = m.find(c, pattern, within, keep=kwic.needed_for_sort(sort), block=block)
     page = kwic.kwic_page(found, c, 5, 64, sort=sort, **options)
     return page.select(F.col("row").cast("bigint").alias("row"), "corpus", "position")
 
@@ -388,6 +479,20 @@ def kwic_sort_right(c: Corpora) -> DataFrame:
     return _sorted(c, "right")
 
 
+def _sort_by_neighbours(side: str, within: str | None) -> None:
+    """Matches that cross sentences, sorted by the words around them, which may lie in another text."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _sorted(prepare(spark, sf_dir, "text"), side, seq(THE, gap(0, 5), ING), within)
+
+    QUERIES[f"kwic_sort_{side}_{within or 'unbounded'}"] = query
+
+
+for _side in ("left", "right"):
+    for _within in ("text", "line", None):
+        _sort_by_neighbours(_side, _within)
+
+
 @_text
 def kwic_sort_attr(c: Corpora) -> DataFrame:
     return _sorted(c, "pos", seq(any_token(), THE, any_token()))
@@ -438,6 +543,19 @@ def kwic_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row").cast("bigint").alias("row"), "position", F.array_join("aligned_word", " ").alias("aligned"))
 
 
+@_raw
+def kwic_aligned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, assistant = _conversations(spark, sf_dir)
+    page = kwic.kwic_page(m.find(user, CAP), user, 0, 99)
+    rows = alignment.with_linked(page, assistant, tables.sentence_links(spark, sf_dir))
+    return rows.select(F.col("row").cast("bigint").alias("row"), "position", F.array_join("aligned_word", " ").alias("aligned"))
+
+
+@_text
+def kwic_row_cap(c: Corpora) -> DataFrame:
+    return paging.beyond_cap(m.hits_per_corpus(m.find(c, THE), c), max_rows=100)
+
+
 @_text
 def kwic_sample(c: Corpora) -> DataFrame:
     return kwic.sample(m.find(c, seq(THE, ING)), c, rows=10, seed="7").select("corpus", "position")
@@ -475,7 +593,12 @@ def count_ignore_case(c: Corpora) -> DataFrame:
 
 @_text
 def count_split(c: Corpora) -> DataFrame:
-    return stats.count(m.find(c, seq(THE, any_token()), keep=["lex"]), ["lex"], split=["lex"])
+    return stats.count(m.find(c, seq(THE, any_token()), keep=["lex"]), ["lex"], split=["lex"], longest=2)
+
+
+@_text
+def count_split_ngram(c: Corpora) -> DataFrame:
+    return stats.count(m.find(c, seq(THE, gap(3)), keep=["lex"]), ["lex"], split=["lex"])
 
 
 @_text
@@ -565,6 +688,19 @@ def count_subquery_sums(c: Corpora) -> DataFrame:
     return _rounded(stats.sums(stats.count(_subqueries(c), ["lemma"], by=["query_no"]), c, queries=3))
 
 
+@_text
+def count_subqueries_text(c: Corpora) -> DataFrame:
+    found = m.subqueries(c, seq(THE, gap(0, 9), ING), [CAP, seq(LOW, ING)], keep=["lemma", "text_lang"], within="text")
+    return stats.count(found, ["lemma"], ["text_lang"], by=["query_no"])
+
+
+@_text
+def count_page_subqueries(c: Corpora) -> DataFrame:
+    # Beyond the thousandth value of every query.
+    totals = stats.combined(stats.count(_subqueries(c), ["lemma"], by=["query_no"]), c, by=["query_no"])
+    return _rounded(stats.frequency_page(totals, 0, 1499))
+
+
 @_raw
 def count_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Event corpora have no lemma and no language; their key is null.
@@ -721,6 +857,11 @@ def count_time_range(c: Corpora) -> DataFrame:
     return _rounded(trend.trend_sums(trend.count_time(_dated(near), near, "y", 1, *bounds), c))
 
 
+@_event
+def count_time_refused(c: Corpora) -> DataFrame:
+    return trend.too_many_points(c)
+
+
 @_order
 def count_time_combined(c: Corpora) -> DataFrame:
     return _rounded(trend.count_time(_dated(c), c, "y", 2, all_corpora=True))
@@ -763,6 +904,11 @@ def loglike_top(c: Corpora) -> DataFrame:
     return compare.strongest(_scored(c), 15)
 
 
+@_text
+def loglike_top_many(c: Corpora) -> DataFrame:
+    return compare.strongest(_scored(c), 1500)
+
+
 @_text
 def loglike_average(c: Corpora) -> DataFrame:
     return compare.average(_scored(c))
@@ -819,7 +965,7 @@ def relations_top_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sentences(spark: SparkSession, sf_dir: str) -> tuple[Corpora, DataFrame]:
     text = prepare(spark, sf_dir, "text")
     asked = tables.word_pictures(spark, sf_dir).by_head.filter((F.col("head") == "the") & (F.col("rel") == "R1") & F.col("dep").isin("of", "and") & F.col("bfhead") & F.col("bfdep"))
-    return text, relations.relation_sentences(relations.adjacency(text), asked)
+    return text, relations.relation_sentences(tables.word_pictures(spark, sf_dir).postings, asked)
 
 
 def _wide(df: DataFrame, *columns: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import lemgrams, relations
+from quillspan.operators import alignment, lemgrams, relations
 from quillspan.operators.relations import WordPictures
 from quillspan.session import shared_folder
 from quillspan.sources.corpora import Corpora, prepare
@@ -30,6 +30,17 @@ def word_pictures(spark: SparkSession, sf_dir: str) -> WordPictures:
     return relations.read_tables(spark, path)
 
 
+def sentence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the sentences of a user's turn and those of the answer."""
+    both = prepare(spark, sf_dir, "conversation")
+
+    def build(path: str) -> None:
+        links = alignment.by_sentence_order(both.select("CONV-USER"), both.select("CONV-ASSISTANT"))
+        links.repartitionByRange("corpus", "first").sortWithinPartitions("corpus", "first").write.mode("overwrite").parquet(path)
+
+    return spark.read.parquet(_once(spark, sf_dir, "links", build))
+
+
 def lemgram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = prepare(spark, sf_dir, "text")
     path = _once(spark, sf_dir, "lemgrams", lambda p: _build_index(text).write.mode("overwrite").parquet(p))

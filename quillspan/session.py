@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="quillspan-")
     return _LOCAL_FOLDERS[app]
 
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path below the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"

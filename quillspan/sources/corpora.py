@@ -1,17 +1,19 @@
-"""Corpus tables: raw tables in, ``texts`` / ``sentences`` / ``info`` out.
+"""Corpus tables: raw tables in, ``texts`` / ``sentences`` / ``regions`` / ``info`` out.
 
 Layout.  One row per sentence with one array column per token attribute.  A query that needs
 one attribute reads one column, and a match inside a sentence never needs a join.  Structural
 attributes are repeated on the sentence rows, where Parquet stores them as dictionary runs, so
 counting by them needs no join either.  Sentence rows carry only their offset inside the text;
 the corpus position of a text is kept on ``texts``, so no payload is shuffled to number it.
+
+Files hold stretches of corpus and text, in order: what is looked up for a few texts skips all other row groups.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,11 @@ UNDEFINED = "__UNDEF__"
 # How many words around a sentence are kept with it, for sorting by neighbouring words.
 EDGE_WORDS = 3
 
-# A text id made of two numbers keeps the second one in this many values.
-_PAIR_BASE = 2**31
+# Ranges of text ids in a filter, for each corpus.
+RANGES = 32
+
+# Row groups of the sentence files: small enough to be read for one text.
+ROW_GROUP = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -43,6 +48,15 @@ class Corpora:
     structs: tuple[str, ...]
     spans: DataFrame | None = None
     """Tokens per dated span, where that table has been written."""
+    regions: DataFrame | None = None
+    """Other regions than sentences and texts: ``corpus, kind, no, text_id, off, first, last, value``.
+
+    ``first`` and ``last`` are corpus positions, ``off`` is the offset of ``first`` in the text ``text_id``; regions
+    of one kind don't overlap.  ``no`` counts them in their text or, for kinds that run over texts, in their corpus."""
+    inside: tuple[str, ...] = ()
+    """Kinds of regions that end with their text."""
+    across: tuple[str, ...] = ()
+    """Kinds of regions that may hold several texts."""
 
     def select(self, names: Iterable[str] | str) -> Corpora:
         """Keep the named corpora; names are upper-cased, unknown ones are skipped."""
@@ -51,8 +65,13 @@ class Corpora:
 
     def mapped(self, change: Callable[[DataFrame], DataFrame]) -> Corpora:
         """The same change made to every table."""
-        spans = None if self.spans is None else change(self.spans)
-        return replace(self, sentences=change(self.sentences), texts=change(self.texts), info=change(self.info), spans=spans)
+        spans, regions = (None if df is None else change(df) for df in (self.spans, self.regions))
+        return replace(self, sentences=change(self.sentences), texts=change(self.texts), info=change(self.info), spans=spans, regions=regions)
+
+    def only(self, texts: Iterable[tuple[str, int]]) -> Corpora:
+        """Sentences and texts of a few texts, and perhaps of some between them: what it skips is not read."""
+        near = near_texts(texts)
+        return replace(self, sentences=self.sentences.filter(near), texts=self.texts.filter(near))
 
     def where(self, condition: Column) -> Corpora:
         """Structural condition.  Sizes in ``info`` stay those of the whole corpora."""
@@ -72,6 +91,36 @@ class Corpora:
         rows = self.sentences if sentences is None else sentences
         return rows.join(starts, ["corpus", "text_id"]).withColumn("start_pos", F.col("_t") + F.col("sent_off")).drop("_t")
 
+    def neighbours(self) -> DataFrame:
+        """``corpus, text_id, before_words, after_words``: the words next to each text, in corpus order, across texts."""
+        if "before_words" in self.texts.columns:
+            return self.texts.select("corpus", "text_id", "before_words", "after_words")
+        return neighbour_words(self.sentences, self.texts)
+
+
+def near_texts(texts: Iterable[tuple[str, int]]) -> Column:
+    """A condition on ``corpus`` and ``text_id`` that skips row groups: at most ``RANGES`` ranges of ids for a corpus.
+
+    It holds for all of the given texts; what is wanted exactly is joined afterwards.
+    """
+    by_corpus: dict[str, list[int]] = {}
+    for corpus, text_id in texts:
+        by_corpus.setdefault(corpus, []).append(text_id)
+    near = F.lit(False)
+    for corpus, ids in sorted(by_corpus.items()):
+        within = F.lit(False)
+        for first, last in _ranges(ids):
+            within = within | F.col("text_id").between(first, last)
+        near = near | ((F.col("corpus") == corpus) & within)
+    return F.col("corpus").isin(sorted(by_corpus)) & near
+
+
+def _ranges(ids: Iterable[int]) -> list[tuple[int, int]]:
+    """Few ranges that cover all ids, parted at the widest gaps."""
+    ids = sorted(set(ids))
+    cuts = sorted(sorted(range(1, len(ids)), key=lambda i: ids[i] - ids[i - 1])[-RANGES + 1 :])
+    return [(ids[a], ids[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(ids)])]
+
 
 def positions(n: Column) -> Column:
     """One row per offset from 0 to n - 1; n is at least 1."""
@@ -103,29 +152,64 @@ def union(*parts: Corpora) -> Corpora:
 # text → sentences
 
 
+def neighbour_words(sentences: DataFrame, texts: DataFrame) -> DataFrame:
+    """``corpus, text_id, before_words, after_words`` of every text, at most three words each, in text order.
+
+    Only the words with which texts begin and end are shuffled; they meet by their corpus position, so any number
+    of texts without words may lie between two others.
+    """
+    starts = texts.select("corpus", "text_id", "start_pos", "n_tokens")
+
+    def edges(near: Column, inside: Callable[[Column], Column]) -> DataFrame:
+        rows = sentences.filter(near).select("corpus", "text_id", "sent_off", "text_n", F.posexplode("word").alias("_i", "word"))
+        rows = rows.withColumn("_at", F.col("sent_off") + F.col("_i")).filter(inside(F.col("_at")))
+        return rows.join(starts, ["corpus", "text_id"]).select("corpus", (F.col("start_pos") + F.col("_at")).alias("_p"), "word")
+
+    last = edges(F.col("sent_off") + F.col("n") > F.col("text_n") - EDGE_WORDS, lambda at: at >= F.col("text_n") - EDGE_WORDS)
+    first = edges(F.col("sent_off") < EDGE_WORDS, lambda at: at < EDGE_WORDS)
+
+    def around(words: DataFrame, places: Column, name: str) -> DataFrame:
+        asked = starts.select("corpus", "text_id", F.explode(places).alias("_p"))
+        met = asked.join(words, ["corpus", "_p"]).groupBy("corpus", "text_id").agg(F.sort_array(F.collect_list(F.struct("_p", "word"))).alias("_w"))
+        return met.select("corpus", "text_id", F.col("_w.word").alias(name))
+
+    end = F.col("start_pos") + F.col("n_tokens")
+    before = around(last, F.sequence(F.col("start_pos") - EDGE_WORDS, F.col("start_pos") - 1), "before_words")
+    after = around(first, F.sequence(end, end + EDGE_WORDS - 1), "after_words")
+    both = starts.select("corpus", "text_id").join(before, ["corpus", "text_id"], "left").join(after, ["corpus", "text_id"], "left")
+    none = F.array().cast("array<string>")
+    return both.withColumns({c: F.coalesce(c, none) for c in ("before_words", "after_words")})
+
+
 def tokenise(texts: DataFrame) -> DataFrame:
-    """Sentences of ``texts(corpus, text_id, text, …)``, empty ones left out."""
-    pieces = F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))
-    found = F.filter(
-        F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0))), lambda w: F.size(w) > 0
+    """Sentences of ``texts(corpus, text_id, text, …)``, empty ones left out; ``line_no`` counts lines with words."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line: F.filter(
+            F.transform(F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0)), lambda p: F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0))),
+            lambda w: F.size(w) > 0,
+        ),
     )
     keep = [c for c in texts.columns if c != "text"]
     # explode(array(x)) makes x a column of its own, so the regular expressions run once per text.
-    rows = texts.select(*keep, F.explode(F.array(found)).alias("_sents"))
+    rows = texts.select(*keep, F.explode(F.array(F.filter(lines, lambda line: F.size(line) > 0))).alias("_lines"))
+    numbers = F.flatten(F.transform("_lines", lambda line, i: F.array_repeat(i, F.size(line))))
+    rows = rows.select(*keep, F.flatten("_lines").alias("_sents"), F.explode(F.array(numbers)).alias("_of_line"))
     offsets = F.aggregate(
         F.col("_sents"),
         F.array(F.lit(0)),
         lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(w))),
     )
-    rows = rows.select(*keep, "_sents", F.flatten("_sents").alias("_flat"), F.explode(F.array(offsets)).alias("_offs"))
-    rows = rows.select(*keep, "_flat", "_offs", F.posexplode("_sents").alias("sent_no", "word"))
-    off, n = F.get("_offs", F.col("sent_no")), F.size("word")
-    rows = rows.select(*keep, "_flat", "sent_no", "word", off.alias("sent_off"), n.alias("n"))
+    rows = rows.select(*keep, "_sents", "_of_line", F.flatten("_sents").alias("_flat"), F.explode(F.array(offsets)).alias("_offs"))
+    rows = rows.select(*keep, "_flat", "_offs", "_of_line", F.posexplode("_sents").alias("sent_no", "word"))
+    off, n, line = F.get("_offs", F.col("sent_no")), F.size("word"), F.get("_of_line", F.col("sent_no"))
+    rows = rows.select(*keep, "_flat", "sent_no", "word", off.alias("sent_off"), n.alias("n"), line.alias("line_no"))
     before = F.least(F.lit(EDGE_WORDS), F.col("sent_off"))
     after = F.col("sent_off") + F.col("n")
     return rows.select(
         *keep,
         "sent_no",
+        "line_no",
         F.col("sent_off").cast("bigint").alias("sent_off"),
         "n",
         F.size("_flat").cast("bigint").alias("text_n"),
@@ -172,17 +256,18 @@ def undefined_to_null(df: DataFrame, *columns: str) -> DataFrame:
 # the corpora of the given tables
 
 
-def _by_corpus(texts: DataFrame) -> DataFrame:
-    """Bring a corpus together before its texts are tokenised, while the rows are still small.
+def _by_text(texts: DataFrame) -> DataFrame:
+    """Stretches of corpus and text, made before the texts are tokenised, while the rows are still small.
 
-    A rebalance splits a corpus that is too large for one task and merges small ones, so every
-    task writes few corpora and no task gets a whole large one.
+    A corpus that is too large for one task fills several; every task writes few corpora.
     """
-    return texts.hint("rebalance", "corpus")
+    return texts.repartitionByRange("corpus", "text_id")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A raw table; the marker for "no value" in its strings becomes null."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return undefined_to_null(df, *[c for c, kind in df.dtypes if kind == "string"])
 
 
 def _text_corpora(spark: SparkSession, sf_dir: str, staging: str) -> tuple[DataFrame, DataFrame]:
@@ -196,28 +281,30 @@ def _text_corpora(spark: SparkSession, sf_dir: str, staging: str) -> tuple[DataF
     )
     no_date = F.lit(None).cast("timestamp_ntz")
     dated = {"datefrom": no_date, "dateto": no_date}
-    sentences = annotate_words(tokenise(_by_corpus(docs.join(labels, "text_id", "left"))))
+    sentences = annotate_words(tokenise(_by_text(docs.join(labels, "text_id", "left"))))
     texts = docs.drop("text").join(labels, "text_id", "left")
     return sentences.withColumns(dated), texts.withColumns(dated)
 
 
 def _conversation_corpora(spark: SparkSession, sf_dir: str, staging: str) -> tuple[DataFrame, DataFrame]:
-    """One text per turn, so a long conversation stays spread out.
+    """One text per turn and one corpus per role, so a long conversation stays spread out.
 
-    A user turn and the assistant turn that follows it share a ``link_id``.
+    Texts are numbered in the order of conversation and turn, whatever their values; repeated turns are texts of
+    their own.  A user turn and the assistant turn that follows it share a ``link_id``.
     """
-    fits = F.col("turn").between(0, _PAIR_BASE - 1) & F.col("conv_id").between(0, _PAIR_BASE - 1)
-    key = F.when(fits, F.col("conv_id") * _PAIR_BASE + F.col("turn")).otherwise(F.raise_error(F.lit("conversation or turn number beyond 31 bits")).cast("bigint"))
-    turns = _read(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").withColumns({"_all": F.lit(0), "_one": F.lit(1)})
+    order = [F.col(c) for c in ("conv_id", "turn", "role", "text")]
+    turns = running_by_file(turns, ["_all"], order, "_one", "text_id", f"{staging}/turns")
+    asked = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
     texts = turns.select(
-        F.concat(F.lit("CONV-"), F.upper("role")).alias("corpus"),
-        key.alias("text_id"),
+        F.concat(F.lit("CONV-"), F.upper(F.coalesce("role", F.lit("unknown")))).alias("corpus"),
+        "text_id",
         F.col("role").alias("text_role"),
         F.col("conv_id").cast("string").alias("text_conv"),
-        F.when(F.col("role") == "user", key).otherwise(key - 1).alias("link_id"),
+        F.concat(F.col("conv_id").cast("string"), F.lit(":"), asked.cast("string")).alias("link_id"),
         "text",
     )
-    sentences = annotate_words(tokenise(_by_corpus(texts)))
+    sentences = annotate_words(tokenise(_by_text(texts)))
     return sentences, texts.drop("text")
 
 
@@ -283,7 +370,32 @@ def _order_corpora(spark: SparkSession, sf_dir: str, staging: str) -> tuple[Data
             empty.alias("words_before"), empty.alias("words_after"),
         )
     )
-    return _by_corpus(sentences), texts
+    return _by_text(sentences), texts
+
+
+# --------------------------------------------------------------------------------------
+# regions
+
+
+def line_regions(c: Corpora) -> DataFrame:
+    """The lines of every text that hold words; their value is their number."""
+    lines = c.sentences.groupBy("corpus", "text_id", F.col("line_no").alias("no")).agg(F.min("sent_off").alias("off"), F.sum("n").alias("_size"))
+    rows = lines.join(c.texts.select("corpus", "text_id", "start_pos"), ["corpus", "text_id"])
+    first = F.col("start_pos") + F.col("off")
+    return rows.select(
+        "corpus", F.lit("line").alias("kind"), F.col("no").cast("bigint").alias("no"), "text_id", "off",
+        first.alias("first"), (first + F.col("_size") - 1).alias("last"), F.col("no").cast("string").alias("value"),
+    )
+
+
+def conversation_regions(c: Corpora) -> DataFrame:
+    """The texts of one conversation, which follow each other in the corpus of their role."""
+    texts = c.texts.filter("n_tokens > 0 AND text_conv IS NOT NULL")
+    found = texts.groupBy("corpus", F.col("text_conv").alias("value")).agg(
+        F.min("text_id").alias("text_id"), F.min("start_pos").alias("first"), F.max(F.col("start_pos") + F.col("n_tokens") - 1).alias("last")
+    )
+    zero = F.lit(0).cast("bigint")
+    return found.select("corpus", F.lit("conversation").alias("kind"), "text_id", zero.alias("off"), "first", "last", "value", F.lit(1).alias("_one"))
 
 
 @dataclass(frozen=True)
@@ -291,14 +403,18 @@ class _Kind:
     build: Callable[[SparkSession, str, str], tuple[DataFrame, DataFrame]]
     attrs: tuple[str, ...]
     structs: tuple[str, ...]
+    inside: dict[str, Callable[[Corpora], DataFrame]] = field(default_factory=dict)
+    across: dict[str, Callable[[Corpora], DataFrame]] = field(default_factory=dict)
 
 
 KINDS = {
-    "text": _Kind(_text_corpora, ("word", "lemma", "pos", "sense", "lex"), ("text_lang", "text_quality", "text_toxic")),
-    "conversation": _Kind(_conversation_corpora, ("word", "lemma", "pos", "sense", "lex"), ("text_role", "text_conv")),
+    "text": _Kind(_text_corpora, ("word", "lemma", "pos", "sense", "lex"), ("text_lang", "text_quality", "text_toxic"), {"line": line_regions}),
+    "conversation": _Kind(
+        _conversation_corpora, ("word", "lemma", "pos", "sense", "lex"), ("text_role", "text_conv"), {"line": line_regions}, {"conversation": conversation_regions}
+    ),
     "event": _Kind(_event_corpora, ("word", "pos"), ("text_user",)),
     "order": _Kind(_order_corpora, ("word", "lemma", "pos"), ("text_status",)),
-}
+}
 
 _PREPARED: dict[tuple[str, str, str], str] = {}
 
@@ -310,13 +426,16 @@ def prepare(spark: SparkSession, sf_dir: str, kind: str = "text") -> Corpora:
     if key not in _PREPARED:
         path = f"{shared_folder(spark)}/corpora/{kind}-{uuid.uuid4().hex}"
         write(spark, *spec.build(spark, sf_dir, f"{path}/staging"), path)
+        if spec.inside or spec.across:
+            write_regions(read(spark, path, spec.attrs, spec.structs), path, spec.inside, spec.across)
         _PREPARED[key] = path
-    return read(spark, _PREPARED[key], spec.attrs, spec.structs)
+    return read(spark, _PREPARED[key], spec.attrs, spec.structs, tuple(spec.inside), tuple(spec.across))
 
 
 def write(spark: SparkSession, sentences: DataFrame, texts: DataFrame, path: str) -> None:
-    """Write ``sentences``, ``texts`` with corpus positions, and ``info``."""
-    sentences.write.mode("overwrite").partitionBy("corpus").parquet(f"{path}/sentences")
+    """Write ``sentences``, ``texts`` with corpus positions and the words around them, and ``info``."""
+    ordered = sentences.sortWithinPartitions("corpus", "text_id", "sent_no")
+    ordered.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("corpus").parquet(f"{path}/sentences")
     written = spark.read.parquet(f"{path}/sentences")
     sizes = written.groupBy("corpus", "text_id").agg(
         F.sum("n").alias("n_tokens"), F.count("*").alias("n_sents")
@@ -324,7 +443,11 @@ def write(spark: SparkSession, sentences: DataFrame, texts: DataFrame, path: str
     sized = texts.join(sizes, ["corpus", "text_id"], "left").fillna(0, ["n_tokens", "n_sents"])
     running_by_file(sized, ["corpus"], [F.col("text_id")], "n_tokens", "start_pos", f"{path}/staging/texts").write.mode(
         "overwrite"
-    ).parquet(f"{path}/texts")
+    ).parquet(f"{path}/staging/placed")
+    placed = spark.read.parquet(f"{path}/staging/placed")
+    placed.join(neighbour_words(written, placed), ["corpus", "text_id"]).repartitionByRange("corpus", "text_id").sortWithinPartitions(
+        "corpus", "text_id"
+    ).write.mode("overwrite").parquet(f"{path}/texts")
     info = spark.read.parquet(f"{path}/texts")
     dates = [c for c in ("datefrom", "dateto") if c in info.columns]
     info.groupBy("corpus").agg(
@@ -337,6 +460,19 @@ def write(spark: SparkSession, sentences: DataFrame, texts: DataFrame, path: str
         token_spans(info).write.mode("overwrite").parquet(f"{path}/spans")
 
 
+def write_regions(
+    corpora: Corpora, path: str, inside: Mapping[str, Callable[[Corpora], DataFrame]], across: Mapping[str, Callable[[Corpora], DataFrame]]
+) -> None:
+    """Write ``regions``; those that run over texts are numbered by their place in the corpus."""
+    kinds = [build(corpora) for build in inside.values()]
+    for name, build in across.items():
+        kinds.append(running_by_file(build(corpora), ["corpus"], [F.col("first")], "_one", "no", f"{path}/staging/{name}").drop("_one"))
+    rows = kinds[0]
+    for more in kinds[1:]:
+        rows = rows.unionByName(more)
+    rows.repartitionByRange("kind", "corpus", "first").sortWithinPartitions("kind", "corpus", "first").write.mode("overwrite").parquet(f"{path}/regions")
+
+
 def token_spans(texts: DataFrame) -> DataFrame:
     """Tokens per span to the second: ``corpus, datefrom, dateto, tokens``; undated texts under null."""
     ends = [truncate(F.col(c), "s").alias(c) for c in ("datefrom", "dateto")]
@@ -344,8 +480,11 @@ def token_spans(texts: DataFrame) -> DataFrame:
     return dated.groupBy("corpus", "datefrom", "dateto").agg(F.sum("n_tokens").alias("tokens"))
 
 
-def read(spark: SparkSession, path: str, attrs: tuple[str, ...], structs: tuple[str, ...]) -> Corpora:
+def read(
+    spark: SparkSession, path: str, attrs: tuple[str, ...], structs: tuple[str, ...], inside: tuple[str, ...] = (), across: tuple[str, ...] = ()
+) -> Corpora:
     """Corpus tables from a folder that ``write`` filled."""
     sentences, texts, info = (spark.read.parquet(f"{path}/{name}") for name in ("sentences", "texts", "info"))
     spans = spark.read.parquet(f"{path}/spans") if "datefrom" in texts.columns else None
-    return Corpora(sentences, texts, info, attrs, structs, spans)
+    regions = spark.read.parquet(f"{path}/regions") if inside or across else None
+    return Corpora(sentences, texts, info, attrs, structs, spans, regions, inside, across)
