@@ -70,7 +70,7 @@ def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column], last:
     if 0 <= last < FEW:
         place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1
         return df.withColumn(out, place).filter(F.col(out) <= last)
-    rows = running_by_file(df.withColumn("_one", F.lit(1)), groups, order, "_one", out, new_path(df.sparkSession, "ranks")).drop("_one")
+    rows = running_by_file(df.withColumn("_one", F.lit(1)), groups, order, "_one", out, new_path(df.sparkSession, "ranks")).select(*df.columns, out)
     return rows if last == -1 else rows.filter(F.col(out) <= last)
 
 

@@ -35,6 +35,34 @@ def test_page_runs_over_corpora(corpora):
     assert places(kwic.page_by_hits(found, corpora, m.hits_per_corpus(found, corpora), 2, 4)) == want
 
 
+def test_pages_by_counting(corpora, monkeypatch):
+    found = m.find(corpora, A)
+    near = [places(kwic.kwic_page(found, corpora, a, b)) for a, b in ((0, 2), (2, 4), (3, 5), (5, 9), (20, 30))]
+    monkeypatch.setattr(kwic, "NEAR", 0)
+    assert [places(kwic.kwic_page(found, corpora, a, b)) for a, b in ((0, 2), (2, 4), (3, 5), (5, 9), (20, 30))] == near
+    hits = m.hits_per_corpus(found, corpora)
+    assert [places(kwic.page_by_hits(found, corpora, hits, a, b)) for a, b in ((0, 2), (2, 4), (3, 5), (5, 9), (20, 30))] == near
+    assert kwic.page_by_hits(found, corpora, hits, 0, 1500, max_rows=2000).count() == found.count()
+
+
+def test_only_row_groups_near_the_texts_are_read():
+    from quillspan.sources.corpora import RANGES, _ranges
+
+    assert _ranges([5, 1, 2, 9]) == [(1, 1), (2, 2), (5, 5), (9, 9)]
+    ids = [*range(0, 1000, 10), 5000, 5001]
+    got = _ranges(ids)
+    assert len(got) == RANGES and all(any(a <= i <= b for a, b in got) for i in ids) and not any(a <= 3000 <= b for a, b in got)
+
+
+def test_ranks_by_file_equal_ranks_by_group(spark, monkeypatch):
+    df = spark.range(0, 500, numPartitions=7).selectExpr("id", "id % 7 AS k", "id % 3 AS g")
+    order = [F.col("k").desc(), F.col("id").asc()]
+    near = sorted(map(tuple, paging.ranked(df, ["g"], order, 40).collect()))
+    monkeypatch.setattr(paging, "FEW", 0)
+    assert sorted(map(tuple, paging.ranked(df, ["g"], order, 40).collect())) == near and len(near) == 123
+    assert paging.ranked(df, ["g"], order, -1).count() == 500
+
+
 def test_corpora_on_page(spark):
     hits = spark.createDataFrame([("A", 3), ("B", 4), ("C", 0), ("D", 2)], "corpus string, hits bigint")
     got = sorted((r.corpus, r["first"], r["last"]) for r in paging.corpora_on_page(hits, 2, 7).collect())
@@ -86,26 +114,67 @@ def test_context_by_corpus(corpora):
         kwic.context_by_corpus(page, corpora, {}, "many words")
 
 
-@pytest.mark.parametrize("sort", ["left", "right"])
-def test_sort_by_neighbours_across_texts(spark, sort):
+def short_texts():
     import random
 
     rng = random.Random(3)
-    words = {c: [[[rng.choice("abc") for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(0, 2))] for _ in range(25)] for c in "AB"}
-    c = tiny(spark, words)
+    return {c: [[[rng.choice("abc") for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(0, 2))] for _ in range(25)] for c in "AB"}
+
+
+@pytest.mark.parametrize("sort", ["left", "right"])
+@pytest.mark.parametrize("within, block, pattern, size", [
+    ("sentence", 4096, seq(A), 1),
+    ("text", 2, seq(A, tok("word") == "b"), 2),
+    ("text", 4096, seq(A, tok("word") == "b"), 2),
+    ("line", 2, seq(A, tok("word") == "b"), 2),
+    (None, 2, seq(A, tok("word") == "b"), 2),
+    (None, 4096, seq(A, tok("word") == "b"), 2),
+    ("page", 4096, seq(A, tok("word") == "b"), 2),
+])
+def test_sort_by_neighbours_across_texts(spark, sort, within, block, pattern, size):
+    words = short_texts()
+    flat = {c: [w for t in texts for s in t for w in s] for c, texts in words.items()}
+    ends = {c: [sum(len(s) for t in texts[: k + 1] for s in t) for k in range(len(texts))] for c, texts in words.items()}
+    text_of = {c: [next(k for k, e in enumerate(ends[c]) if i < e) for i in range(len(flat[c]))] for c in words}
+    lines = [(c, i, i + 1) for c in words for i in range(0, len(flat[c]) - 1, 3) if text_of[c][i] == text_of[c][i + 1]]
+    pages = [(c, i, min(i + 6, len(flat[c]) - 1)) for c in words for i in range(0, len(flat[c]), 7)]
+    c = tiny(spark, words, inside={"line": lines}, across={"page": pages})
+    unit = {
+        "text": lambda n, i: text_of[n][i],
+        "line": lambda n, i: next((x for x in lines if x[0] == n and x[1] <= i <= x[2]), (n, i)),
+        "page": lambda n, i: i // 7,
+    }.get(within, lambda n, i: 0)
     want = []
-    for name, texts in words.items():
-        flat = [w for t in texts for s in t for w in s]
-        step = -1 if sort == "left" else 1
-        for i, w in enumerate(flat):
-            if w == "a":
-                around = [flat[j] if 0 <= j < len(flat) else "" for j in (i + step, i + 2 * step, i + 3 * step)]
-                want.append((name, around, i))
+    for n, f in flat.items():
+        for i in range(len(f) - size + 1):
+            if f[i : i + size] == ["a", "b"][:size] and unit(n, i) == unit(n, i + size - 1):
+                at = [i - 1, i - 2, i - 3] if sort == "left" else [i + size, i + size + 1, i + size + 2]
+                want.append((n, [f[j] if 0 <= j < len(f) else "" for j in at], i))
     want = [(n, p) for n, _, p in sorted(want)]
-    page = kwic.kwic_page(m.find(c, A, keep=kwic.needed_for_sort(sort)), c, 0, len(want) - 1, sort=sort)
+    page = kwic.kwic_page(m.find(c, pattern, within, keep=kwic.needed_for_sort(sort), block=block), c, 0, len(want) - 1, sort=sort)
     assert [x[1:] for x in places(page)] == want
 
 
+def test_right_sort_of_the_last_words_of_a_text(spark):
+    c = tiny(spark, {"A": [[["x", "g", "h"]], [["d", "e"]], [["x", "q"], ["r", "d"]]]})
+    page = kwic.kwic_page(m.find(c, seq(tok("word") == "g", tok("word") == "h"), "text", keep=kwic.needed_for_sort("right")), c, sort="right")
+    assert places(page) == [(0, "A", 1)]
+    rows = kwic.sorted_matches(m.find(c, seq(tok("word") == "x", tok("word") == "g"), "text", keep=kwic.needed_for_sort("right")), c, "right", "", None)
+    assert rows.first()["_sort"] == ["h", "d", "e"]
+
+
+def test_words_next_to_texts_that_are_kept_with_them(spark, tmp_path):
+    from quillspan.sources import corpora as source
+
+    c = tiny(spark, short_texts())
+    path = str(tmp_path)
+    texts = c.texts.select("corpus", "text_id", "text_name")
+    source.write(spark, c.sentences.drop("text_name"), texts, path)
+    kept = source.read(spark, path, c.attrs, c.structs)
+    one, two = ({(r.corpus, r.text_id): (r.before_words, r.after_words) for r in x.neighbours().collect()} for x in (c, kept))
+    assert one == two and any(len(b) == 3 for b, _ in one.values())
+
+
 def test_collation(spark):
     words = ["ö", "z", "ä", "a", "å", "Z"]
     c = tiny(spark, {"A": [[[w] for w in words]]})
@@ -156,3 +225,80 @@ def test_matches_of_any_region_have_lines_marks_and_cuts(spark):
     over = m.find(c, seq(tok("word") == "f", A), within=None)
     assert [r.position for r in kwic.kwic_page(over, c).collect()] == [5]
     assert m.first_per_corpus(over, 20_000).count() == 1
+
+
+def regional(spark):
+    content = {"A": [[list("ab"), list("cd")], [list("efg"), list("h")], [list("ij")]]}
+    lines = [("A", 0, 2), ("A", 3, 3), ("A", 4, 7)]
+    return tiny(spark, content, inside={"line": lines}, across={"page": [("A", 1, 5), ("A", 6, 9)]})
+
+
+def words_of(rows):
+    return {r.row: ("".join(t.word for t in r.tokens), r.start, r.end) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("word, context, want", [
+    ("b", "1 line", ("abc", 1, 2)), ("b", "2 lines", ("abcd", 1, 2)), ("d", "2 line", ("abcd", 3, 4)), ("f", "3 lines", ("efgh", 1, 2)),
+    ("i", "1 line", ("i", 0, 1)), ("a", "1 page", ("a", 0, 1)), ("c", "1 page", ("bcdef", 1, 2)), ("c", "2 pages", ("bcdefghij", 1, 2)),
+])
+def test_regions_as_context(spark, word, context, want):
+    c = regional(spark)
+    page = kwic.kwic_page(m.find(c, tok("word") == word), c)
+    assert words_of(kwic.context_by_corpus(page, c, {}, context)) == {0: want}
+
+
+def test_context_of_matches_over_regions(spark):
+    c = regional(spark)
+    over = seq(tok("word") == "f", tok("word") == "g")
+    page = kwic.kwic_page(m.find(c, over), c)
+    assert words_of(kwic.context_regions(page, c, "page")) == {0: ("bcdefghij", 4, 6)}
+    crossing = kwic.kwic_page(m.find(c, seq(tok("word") == "h", tok("word") == "i"), within=None), c)
+    assert words_of(kwic.context_regions(crossing, c, "line")) == {0: ("efghi", 3, 5)}
+
+
+def test_marks_of_regions(spark):
+    c = regional(spark)
+    page = kwic.kwic_page(m.find(c, seq(tok("word") == "c", tok("word") == "d")), c)
+    got = [(r.word, r.open, r.close) for r in kwic.open_close(page, c, ("page", "text", "line", "sentence")).orderBy("i").collect()]
+    assert got == [("c", ["sentence"], ["line"]), ("d", ["line"], ["line", "sentence", "text"])]
+    page = kwic.kwic_page(m.find(c, tok("word") == "b"), c)
+    got = [(r.word, r.open, r.close) for r in kwic.open_close(page, c, ("page", "text", "line", "sentence")).orderBy("i").collect()]
+    assert got == [("a", ["text", "line", "sentence"], []), ("b", ["page"], ["sentence"])]
+
+
+def parallel(spark):
+    one = tiny(spark, {"A": [[["a", "b"], ["c"], ["d", "e"]], [["x"]], [["y"]]]})
+    other = tiny(spark, {"B": [[["P"], ["Q", "R"]], [["S"], ["T"], ["U"]], [["V"]]]})
+    given = [(0, "t0"), (1, "t1"), (2, None)]
+    links = spark.createDataFrame(given, "text_id long, link_id string")
+    return [type(c)(c.sentences, c.texts.join(links, "text_id").select(*c.texts.columns, "link_id"), c.info, c.attrs, c.structs) for c in (one, other)]
+
+
+def test_links_between_sentences(spark):
+    from quillspan.operators import alignment
+
+    one, other = parallel(spark)
+    links = alignment.by_sentence_order(one, other)
+    got = sorted((r["first"], r["last"], r.p_first, r.p_last) for r in links.collect())
+    # the second sentence of B belongs to all that is left of A, and three of B to the only one of A
+    assert got == [(0, 1, 0, 0), (2, 4, 1, 2), (5, 5, 3, 5)]
+    back = alignment.by_sentence_order(other, one)
+    assert sorted((r.p_first, r.p_last, r["first"], r["last"]) for r in back.collect()) == got
+
+
+def test_conditions_on_linked_segments(spark):
+    from quillspan.operators import alignment
+
+    one, other = parallel(spark)
+    links = alignment.by_sentence_order(one, other)
+    links = links.unionByName(spark.createDataFrame([("A", 4, 4, "B", 0, 0)], links.schema))  # a second link of one token
+    every = m.find(one, tok("word").matches(".*"))
+
+    def kept(word):
+        rows = alignment.linked_matches(every, one, m.find(other, tok("word") == word), other, links)
+        return sorted(r.position for r in kwic.with_position(rows, one).collect())
+
+    assert kept("P") == [0, 1, 4] and kept("R") == [2, 3, 4] and kept("U") == [5] and kept("V") == []
+    page = kwic.kwic_page(every, one)
+    shown = {r.position: r.aligned_word for r in alignment.with_linked(page, other, links).collect()}
+    assert shown == {0: ["P"], 1: ["P"], 2: ["Q", "R"], 3: ["Q", "R"], 4: ["P", "Q", "R"], 5: ["S", "T", "U"], 6: None}

@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from tiny import tiny
 
-from quillspan import any_token, gap, seq, tok
+from quillspan import alt, any_token, gap, seq, tok
 from quillspan.operators import catalogue, compare, relations, values
 from quillspan.operators import count as stats
 from quillspan.operators import match as m
@@ -229,3 +229,75 @@ def test_tokens_of_a_corpus_without_the_attribute(spark):
     assert sorted(r.corpus for r in found.collect()) == ["A", "E"]
     found = m.find(both, seq((tok("pos") == "Z") | (tok("word") == "a")), within="text", block=2)
     assert sorted(r.corpus for r in found.collect()) == ["A", "E"]
+
+
+def test_every_combination_of_values_is_counted(spark):
+    from itertools import product
+
+    lex = {"a": ["1", "2"], "b": [], "c": ["x y", "z\\"], "d": ["1"]}
+    content = {"A": [[list("abcd")], [list("abcd")], [list("ca")], [list("c")]], "B": [[list("bca")]]}
+    c = tiny(spark, content, lex=lex)
+    pattern = seq(any_token(), gap(0, 1))
+    expected = {}
+    for name, texts in content.items():
+        for words in (s for t in texts for s in t):
+            for i in range(len(words)):
+                for combination in product(*[lex[w] or [""] for w in words[i : i + 1]]):
+                    expected[name, combination[0]] = expected.get((name, combination[0]), 0) + 1
+    one = {(r.corpus, r.lex): r.absolute for r in stats.count(m.find(c, pattern, keep=["lex"]), ["lex"], split=["lex"]).collect()}
+    assert one == expected
+    expected = {}
+    for name, texts in content.items():
+        for words in (s for t in texts for s in t):
+            for size in (2, 3):
+                for i in range(len(words) - size + 1):
+                    if words[i] == "b" and size == 3 or words[i] == "c" and size == 2:
+                        for combination in product(*[lex[w] or [""] for w in words[i : i + size]]):
+                            key = (name, " ".join(v.replace("\\", "\\\\").replace(" ", "\\ ") for v in combination), "|".join(words[i : i + size]).upper())
+                            expected[key] = expected.get(key, 0) + 1
+    found = m.find(c, seq(alt(seq(tok("word") == "b", gap(2)), seq(tok("word") == "c", gap(1)))), keep=["lex", "word"])
+    got = stats.count(found, ["lex", "word"], split=["lex"])
+    assert {(r.corpus, r.lex, r.word.replace(" ", "|").upper()): r.absolute for r in got.collect()} == expected
+    assert got.count() == stats.count(found, ["lex", "word"], split=["lex"], longest=7).count()
+
+
+def test_denied_corpora(spark):
+    from quillspan.operators import catalogue
+
+    frames = [spark.createDataFrame([(n,) for n in names], "corpus string") for names in (["a", "b", "C"], ["B", "c", "d"], ["c"])]
+    assert [r.corpus for r in catalogue.denied(*frames).collect()] == ["B"]
+
+
+def test_postings_give_the_same_sentences_as_all_occurrences(spark, tmp_path):
+    from quillspan.operators import relations
+
+    rows = [("A", 1, 0, "Run", "run", "V", "R1", "dogs", "dog", "N", "", 1, 2), ("A", 1, 0, "run", None, "V", "R1", "dogs", "dog", None, "", 2, 3), ("B", 7, 1, "runs", "run", "V", "R2", "dog", None, "N", "x", 4, 1)]
+    schema = "corpus string, text_id long, sent_no int, headword string, headbase string, headpos string, rel string, depword string, depbase string, deppos string, depextra string, start int, end int"
+    occurrences = spark.createDataFrame(rows * 2, schema)
+    relations.write_tables(occurrences, str(tmp_path))
+    pictures = relations.read_tables(spark, str(tmp_path))
+    table = relations.relation_table(occurrences)
+    assert sorted(map(str, table.collect())) == sorted(map(str, relations.forms(occurrences).groupBy(*relations.TRIPLE).count().withColumnRenamed("count", "freq").collect()))
+    assert sum(r.freq for r in table.collect()) == 2 * (3 + 2 + 2)
+    plain = relations.relation_sentences(occurrences, table)
+    stored = relations.relation_sentences(pictures.postings, table)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, stored.collect())) and plain.count() == 14
+    one = relations.relation_sentences(pictures.postings, table.filter("head = 'Run'")).collect()
+    assert [(r.corpus, r.text_id, r.start, r.end) for r in one] == [("A", 1, 1, 2)] * 2
+    found = relations.lookup(pictures, "run", lemgram=True).collect()
+    assert {(r["head"], r.dep, r.freq, r.head_rel_freq, r.dep_rel_freq, r.rel_freq) for r in found} == {("run", "dog", 2, 4, 2, 4), ("run", "dog", 2, 2, 2, 2)}
+
+
+def test_conversations_of_any_numbers(spark, tmp_path):
+    from quillspan.operators import alignment
+    from quillspan.sources import corpora as source
+
+    rows = [(None, 0, "user", "The one"), (2**40, 0, "user", "The two. And"), (2**40, 1, "assistant", "Said. More"), (2**40, None, "user", "x"), (-3, 7, "system", "Rule"), (-3, 8, None, "who"), (2**40, 0, "user", "__UNDEF__")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = source.prepare(spark, str(tmp_path), "conversation")
+    sizes = {r.corpus: (r.texts, r.size) for r in c.info.collect()}
+    assert sizes == {"CONV-USER": (4, 6), "CONV-ASSISTANT": (1, 2), "CONV-SYSTEM": (1, 1), "CONV-UNKNOWN": (1, 1)}
+    links = alignment.by_sentence_order(c.select("CONV-USER"), c.select("CONV-ASSISTANT")).collect()
+    assert len(links) == 2
+    kinds = sorted((r.kind, r.corpus, r.value) for r in c.regions.filter("kind = 'conversation'").collect())
+    assert kinds == [("conversation", "CONV-ASSISTANT", str(2**40)), ("conversation", "CONV-SYSTEM", "-3"), ("conversation", "CONV-UNKNOWN", "-3"), ("conversation", "CONV-USER", str(2**40))]

@@ -114,3 +114,19 @@ def test_a_day_as_the_end_of_a_range_is_the_whole_day(spark):
     c = tiny(spark, {"A": [[["a"]]]}, dates={("A", 0): ("2020-01-01 10:00:00", "2020-01-01 12:00:00")})
     assert ts.in_range(ts.spans(c, False), "20200101", "20200101", 3).count() == 1
     assert ts.in_range(ts.spans(c, False), "20200102", "20200103", 3).count() == 0
+
+
+@pytest.mark.parametrize("strategy, want", [(1, 1), (2, 1), (3, 0)])
+@pytest.mark.parametrize("end", ["1999-12-31", "1999-12-31 15:00:00"])
+def test_a_span_that_ends_on_the_last_day_holds_the_range(spark, strategy, want, end):
+    c = tiny(spark, {"A": [[["a"]]]}, dates={("A", 0): ("1995-01-01", end)})
+    for by_date in (True, False):
+        assert ts.in_range(ts.spans(c, by_date), "19960101", "19991231", strategy).count() == want
+    found = m.find(c, tok("word") == "a", keep=["datefrom", "dateto"])
+    points = trend.count_time(found, c, "y", strategy, "19960101", "19991231").collect()
+    assert {r.relative for r in points if r.absolute} == ({10.0**6} if want else set())
+
+
+def test_too_many_points_as_rows(dated):
+    got = {(r.corpus, r.granularity): r.refused for r in trend.too_many_points(dated).collect()}
+    assert got["A", "d"] is False and got["A", "h"] is True and got["B", "y"] is None
