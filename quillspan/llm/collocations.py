@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.tables import drop, settle
+from quillspan.llm.tables import drop, settle, small_batches
 from quillspan.llm.words import mix
 
 LONGEST, LEAST, PERCENT, TOP = 3, 10, 50, 2000
@@ -303,6 +303,11 @@ def _count(longest: int, parts: int):
 def frequent_phrases(texts: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """``(phrases, sizes)``: ``lang, size, phrase, n`` of all phrases of 1 to ``longest`` words that occur ``least`` times
     or more, exactly; and ``lang, n_words``.  ``texts`` has ``lang, text``."""
+    with small_batches(texts.sparkSession):
+        return _frequent_phrases(texts, longest, least)
+
+
+def _frequent_phrases(texts: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     given = texts.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
     slices = settle(given.mapInArrow(_slices(longest), _SLICES), "phrase-slices")
     sizes = slices.groupBy("lang").agg(F.sum("n_words").alias("n_words"))
@@ -311,7 +316,9 @@ def frequent_phrases(texts: DataFrame, longest: int = LONGEST, least: int = LEAS
     marks = settle(summaries.groupBy("part").applyInArrow(_marks(least), _MARKS), "phrase-marks")
     counted = slices.groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(_count(longest, parts), _COUNTS)
     phrases = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return settle(phrases, "phrases"), sizes
+    phrases, sizes = settle(phrases, "phrases"), settle(sizes, "phrase-sizes")
+    drop(slices, marks)
+    return phrases, sizes
 
 
 def _scored(phrases: DataFrame) -> DataFrame:

@@ -40,6 +40,18 @@ def one_row_at_a_time(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """Arrow batches of few bytes, for steps that pass whole texts to Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of settled tables that no later step reads."""
     for table in tables:
