@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.tokens import CACHE_CUTS, encoded
-from quillspan.llm.words import rows
+from quillspan.llm.tables import small_batches
+from quillspan.llm.tokens import CACHE_CUTS, encoded_columns
 from quillspan.session import shared_folder
 
 BLOCK, PERCENT, SEGMENT, END_ID = 128, 90, 1 << 18, 2
@@ -131,8 +131,8 @@ def _segments(path: str, end_id: int, cache_cuts: int):
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
-        for group in encoded(rows(batches, "text", "doc_id"), path, cache_cuts):
-            for (doc_id,), _, ids in group:
+        for group, encoded in encoded_columns(batches, path, cache_cuts):
+            for doc_id, ids in zip(group, encoded):
                 held.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(held[-1])
@@ -157,7 +157,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
     ordered = docs.repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row").drop("_row")
     segments = ordered.mapInArrow(_segments(tokenizer, end_id, cache_cuts), SCHEMA)
-    segments.write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(path)
+    with small_batches(docs.sparkSession, "16m"):
+        segments.write.option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(path)
     return path
 
 

@@ -13,11 +13,18 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_CUTS, BATCH_CHARS, JOINED = 300_000, 1_000_000, 400
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: White space in a text of which single blanks between words aren't the only cuts: as Python sees it, so that both agree.
+_SPACE = r"[\t-\r\x1c-\x1f \x{85}\pZ]"
+_AWKWARD = rf"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|[\t\x0b-\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
+
+
 def _single_breaks(text: str) -> bool:
     """Only blanks and line breaks as white space, none beside another and none at an end."""
     found = text.split()
@@ -69,6 +76,34 @@ class Encoder:
         bounds = np.concatenate([[0], np.cumsum(self.length[index])])[np.cumsum(counts)]
         return np.split(self._flat(index), bounds[:-1])
 
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The same for a column of texts, null being empty; equal cuts of a column are looked up once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        awkward = pc.match_substring_regex(texts, rf"(?s){_AWKWARD}").to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy() == 0)
+        out: list = [None] * len(texts)
+        for place, ids in zip(np.flatnonzero(awkward), self.encode(texts.filter(pa.array(awkward)).to_pylist()) if awkward.any() else []):
+            out[place] = ids
+        plain = np.flatnonzero(~awkward)
+        if len(plain) == 0:
+            return out
+        if len(self.at) > self.cache_cuts or len(self.flat) > 10 * self.cache_cuts:
+            self._clear()
+        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        offsets = parts.offsets.to_numpy()
+        flat = parts.values
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        index = np.empty(len(flat), np.int64)
+        index[first] = [self.at[p] for p in flat.filter(pa.array(first)).to_pylist()]
+        rest = flat.filter(pa.array(~first)).dictionary_encode()
+        numbers = np.array([self.at[" " + p] for p in rest.dictionary.to_pylist()], np.int64)
+        index[~first] = numbers[rest.indices.to_numpy()]
+        self._learn()
+        bounds = np.concatenate([[0], np.cumsum(self.length[index])])[offsets[1:]]
+        for place, ids in zip(plain, np.split(self._flat(index), bounds[:-1])):
+            out[place] = ids
+        return out
+
     def _learn(self) -> None:
         """Ids of the fresh cuts.  A letter and then one full stop or comma at the end never share a token."""
         fresh, first = self.at.fresh, len(self.start)
@@ -138,3 +173,20 @@ def encoded(keyed: Iterator[tuple], path: str, cache_cuts: int = CACHE_CUTS) ->
             pending, chars = [], 0
     if pending:
         yield done()
+
+
+COLUMN_BYTES = 16 << 20
+
+
+def encoded_columns(batches: Iterator[pa.RecordBatch], path: str, cache_cuts: int = CACHE_CUTS) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """``(doc_ids, ids)`` of the rows of batches with ``doc_id, text``, some megabytes of text at a time."""
+    own = encoder(path, cache_cuts)
+    for batch in batches:
+        doc_ids, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text"))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + COLUMN_BYTES, "right")))
+            yield doc_ids.slice(at, to - at).to_pylist(), own.encode_column(texts.slice(at, to - at))
+            at = to

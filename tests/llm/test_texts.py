@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import awkward, docs, words
 from tokenizers import Tokenizer
@@ -26,6 +27,16 @@ def test_cuts_give_the_ids_of_whole_texts():
         texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(20)]
         for text, ids in zip(texts, own.encode(texts)):
             assert "".join(tokens.cuts(text)) == text and list(ids) == ids_of(text)
+        for text, ids in zip([*texts, None, "", "end"], own.encode_column(pa.array([*texts, None, "", "end"]))):
+            assert list(ids) == ids_of(text)
+
+
+def test_columns_of_plain_and_awkward_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "COLUMN_BYTES", 300)
+    texts = ["plain words here\nand there.", "two  blanks", " before", "after ", "tab\there", "wide\u3000space", "nbsp\xa0x y", "a\n b", "x \ny", "one", None, "", "ä ö\nü", "line\u2028sep z", "\x85 a", "c\x1cd e"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = [pair for ids, encoded in tokens.encoded_columns(iter([batch]), PATH, 20) for pair in zip(ids, encoded)]
+    assert [i for i, _ in got] == list(range(len(texts))) and all(list(ids) == ids_of(t) for (_, ids), t in zip(got, texts))
 
 
 def test_packing(spark):
