@@ -44,4 +44,22 @@ WINDOW w AS (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id)
 QUALIFY row_number() OVER w <= 10
 """
 
-ORACLE: dict[str, str] = {"op11_collocations": COLLOCATIONS, "op13_hard_negatives": HARD_NEGATIVES}
+NEAR_DEDUP = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS item
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT x AS doc_id, x AS other FROM both_ways UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = other),
+least AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_near_dedup": NEAR_DEDUP, "op11_collocations": COLLOCATIONS, "op13_hard_negatives": HARD_NEGATIVES}

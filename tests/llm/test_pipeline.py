@@ -40,6 +40,19 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_rows_without_an_id_and_rows_of_one_id(spark, tmp_path):
+    text = {i: " ".join(words(i, 70, 4000)) for i in range(12)}
+    item = " ".join(words("item", 30, 4000))
+    rows = [(None, text[0]), (None, text[1]), (None, text[2] + " " + item), (7, text[3]), (7, text[4]), (7, text[5] + " " + item), (None, text[6]), (8, text[6] + " more"), (9, text[7]), (9, text[7]), (None, None), (None, "")]
+    path = f"file://{tmp_path}/ids"
+    write(spark, path, rows, [(1, item)])
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.minhash(spark, frame, path).collect()), key=str)
+    assert kept == sorted([r for r in rows if r != (None, text[6]) and r != (9, text[7])] + [(9, text[7])], key=str)
+    clean = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, frame, path).collect()), key=str)
+    assert clean == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
 def test_every_operator_has_a_query():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(ORACLE) <= set(QUERIES)
