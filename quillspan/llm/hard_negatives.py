@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.tables import drop, settle
 
-TREE_ANCHORS, PASS_ANCHORS, BATCH = 256, 8192, 4096
+TREE_ANCHORS, PASS_BYTES, BATCH = 256, 16 << 20, 4096
+ANCHOR_BYTES = 1024  # an anchor's ids, edges and windows, besides its vector
 EXACT = 2.0**52  # whole numbers below it, and sums of them, are exact as double
 _TREES = "tree long, size int, dim int, ids binary, labels binary, vectors binary, parents binary, edges binary"
 _HITS = "tree long, node int, slot int, anchor_id long, vec_id long, score long"
@@ -218,28 +219,28 @@ def _ranked(hits: DataFrame, keep: int) -> DataFrame:
 
 def mine(
     rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90,
-    scale: int = 256, tree_anchors: int = TREE_ANCHORS, pass_anchors: int = PASS_ANCHORS,
+    scale: int = 256, tree_anchors: int = TREE_ANCHORS, pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for ``vec_id, label, embedding``.
 
     Components become ``floor(scale * x)``; a score is the inner product with the anchor, exact at any size.  The
     ``positives`` best rows of an anchor's label are its positives, ties to the smaller id.  For each of them the
     ``negatives`` best rows of other labels with ``low * p <= 100 * n <= high * p`` are returned, ranked from 1.
-    A pass holds ``pass_anchors`` anchors in expectation: they and their windows are all that is sent to every task.
+    A pass holds trees of ``pass_bytes`` in expectation: they and their windows are all that is sent to every task.
 
     Rows with a null id, label, vector, or a null or non-finite component take no part.  Only vectors of one
     dimension are compared; empty vectors score 0.  Repeated rows are rows of their own, so each is ranked; a row
     whose id is the anchor's is neither its positive nor its negative.  Scores past 64 bits are written as the
     nearest that fits.  An empty table, or one without anchors, gives no rows; other columns are ignored.
     """
-    if min(positives, negatives, tree_anchors, pass_anchors) < 1 or low > high:
+    if min(positives, negatives, tree_anchors, pass_bytes) < 1 or low > high:
         raise ValueError("counts must be positive and the window not empty")
     spark = rows.sparkSession
     given = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_anchor, F.lit(False)).alias("is_anchor"))
     anchors = given.filter("is_anchor and vec_id is not null and label is not null and embedding is not null").drop("is_anchor")
     trees = settle(anchors.repartitionByRange("label", "vec_id").sortWithinPartitions("label", "vec_id").mapInArrow(_trees(scale, tree_anchors), _TREES), "anchor-trees")
     rows = given.drop("is_anchor")
-    passes = -(-(trees.agg(F.sum("size")).first()[0] or 0) // pass_anchors)
+    passes = -(-(trees.agg(F.sum(F.col("size") * (8 * F.col("dim") + ANCHOR_BYTES))).first()[0] or 0) // pass_bytes)
     found = []
     for number in range(passes):
         own = [r.asDict() for r in trees.filter(F.pmod(F.xxhash64("tree"), F.lit(passes)) == number).collect()]

@@ -42,11 +42,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize("trees, each_pass", [(256, 8192), (4, 12)])
+@pytest.mark.parametrize("trees, each_pass", [(256, 16 << 20), (4, 12_000)])
 @pytest.mark.parametrize("positives, negatives, low, high", [(5, 10, 30, 90), (2, 3, 95, 100)])
 def test_mining_against_all_pairs(spark, trees, each_pass, positives, negatives, low, high):
     rows = awkward()
-    got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 10 == 0, positives, negatives, low, high, tree_anchors=trees, pass_anchors=each_pass)
+    got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 10 == 0, positives, negatives, low, high, tree_anchors=trees, pass_bytes=each_pass)
     assert sorted(map(tuple, got.collect())) == brute(rows, positives, negatives, low, high)
 
 
