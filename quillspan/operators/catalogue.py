@@ -20,7 +20,7 @@ def corpora_list(corpora: Corpora, protected: DataFrame | None = None) -> DataFr
 
 
 def corpus_info(corpora: Corpora) -> DataFrame:
-    return corpora.info
+    return corpora.info.drop("longest")
 
 
 def corpus_totals(corpora: Corpora) -> DataFrame:

@@ -136,18 +136,19 @@ def _combined(rows: DataFrame, attrs: Sequence[str], longest: int) -> DataFrame:
     Tokens are taken one after the other, and what is equal so far is added up before the next one multiplies it.
     No row holds more than one combination.
     """
-    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")) if longest > 2 else rows.withColumn("_n", F.lit(1).cast("bigint"))
     for attr in attrs:
         others = [c for c in rows.columns if c not in (attr, "_n")]
         rows = rows.withColumns({"_alone": F.size(attr) == 1, "_key": F.lit(None).cast("string"), "_rest": F.col(attr)}).drop(attr)
-        for _ in range(longest):
+        for slot in range(longest):
             value = F.when(F.col("_alone"), F.col("_v")).otherwise(escaped(F.col("_v")))
             longer = F.when(F.col("_done"), F.col("_key")).when(F.col("_key").isNull(), value).otherwise(F.concat("_key", F.lit(" "), value))
             done = F.size("_rest") == 0
             next_values = F.when(done, F.array(F.lit(None).cast("string"))).otherwise(F.get("_rest", F.lit(0)))
             rows = rows.select(*others, "_n", "_alone", "_key", done.alias("_done"), F.slice("_rest", F.lit(2), F.greatest(F.size("_rest") - 1, F.lit(0))).alias("_rest"), F.explode(next_values).alias("_v"))
             rows = rows.select(*others, "_alone", "_rest", longer.alias("_key"), "_n")
-            rows = rows.groupBy(*others, "_alone", "_rest", "_key").agg(F.sum("_n").alias("_n"))
+            if 0 < slot < longest - 1:
+                rows = rows.groupBy(*others, "_alone", "_rest", "_key").agg(F.sum("_n").alias("_n"))
         rows = rows.withColumnRenamed("_key", attr).drop("_alone", "_rest")
     return rows
 

@@ -60,6 +60,8 @@ def find(
 def _in_sentences(corpora: Corpora, pattern: Pattern, keep: Sequence[str], block: int) -> DataFrame:
     if pattern.longest is not None:
         return in_regions(sentence_regions(corpora), pattern, keep)
+    if "longest" in corpora.info.columns and (corpora.info.agg(F.max("longest")).first()[0] or 0) <= LONG_SENTENCE:
+        return in_regions(sentence_regions(corpora), pattern, keep)
     short, long = (replace(corpora, sentences=corpora.sentences.filter(c)) for c in (F.col("n") <= LONG_SENTENCE, F.col("n") > LONG_SENTENCE))
     found = in_regions(sentence_regions(short), pattern, keep)
     return found.unionByName(in_area(area(long, "sentence"), pattern, keep, block).drop("_base").select(*found.columns))

@@ -438,9 +438,9 @@ def write(spark: SparkSession, sentences: DataFrame, texts: DataFrame, path: str
     ordered.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("corpus").parquet(f"{path}/sentences")
     written = spark.read.parquet(f"{path}/sentences")
     sizes = written.groupBy("corpus", "text_id").agg(
-        F.sum("n").alias("n_tokens"), F.count("*").alias("n_sents")
+        F.sum("n").alias("n_tokens"), F.count("*").alias("n_sents"), F.max("n").alias("longest")
     )
-    sized = texts.join(sizes, ["corpus", "text_id"], "left").fillna(0, ["n_tokens", "n_sents"])
+    sized = texts.join(sizes, ["corpus", "text_id"], "left").fillna(0, ["n_tokens", "n_sents", "longest"])
     running_by_file(sized, ["corpus"], [F.col("text_id")], "n_tokens", "start_pos", f"{path}/staging/texts").write.mode(
         "overwrite"
     ).parquet(f"{path}/staging/placed")
@@ -454,6 +454,7 @@ def write(spark: SparkSession, sentences: DataFrame, texts: DataFrame, path: str
         F.sum("n_tokens").alias("size"),
         F.sum("n_sents").alias("sentences"),
         F.count("*").alias("texts"),
+        F.max("longest").alias("longest"),
         *([F.min("datefrom").alias("first_date"), F.max("dateto").alias("last_date")] if dates else []),
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
     if dates:
