@@ -135,7 +135,10 @@ def parse_corpora(names: Iterable[str] | str) -> list[str]:
 
 
 def union(*parts: Corpora) -> Corpora:
-    """Corpora with different attributes side by side; an attribute a corpus lacks is null."""
+    """Corpora with different attributes side by side; an attribute a corpus lacks is null.
+
+    Regions of a kind that only some corpora have are kept; the others have none of it.
+    """
     first, *rest = parts
     for p in rest:
         first = Corpora(
@@ -144,6 +147,9 @@ def union(*parts: Corpora) -> Corpora:
             first.info.unionByName(p.info, allowMissingColumns=True),
             tuple(dict.fromkeys(first.attrs + p.attrs)),
             tuple(dict.fromkeys(first.structs + p.structs)),
+            regions=p.regions if first.regions is None else first.regions if p.regions is None else first.regions.unionByName(p.regions),
+            inside=tuple(dict.fromkeys(first.inside + p.inside)),
+            across=tuple(dict.fromkeys(first.across + p.across)),
         )
     return first
 

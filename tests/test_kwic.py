@@ -302,3 +302,18 @@ def test_conditions_on_linked_segments(spark):
     page = kwic.kwic_page(every, one)
     shown = {r.position: r.aligned_word for r in alignment.with_linked(page, other, links).collect()}
     assert shown == {0: ["P"], 1: ["P"], 2: ["Q", "R"], 3: ["Q", "R"], 4: ["P", "Q", "R"], 5: ["S", "T", "U"], 6: None}
+
+
+def test_what_is_looked_up_for_few_texts_is_pruned_in_the_scan(spark, tmp_path):
+    from quillspan.sources import corpora as source
+
+    c = tiny(spark, short_texts())
+    source.write(spark, c.sentences.drop("text_name"), c.texts.select("corpus", "text_id", "text_name"), str(tmp_path))
+    kept = source.read(spark, str(tmp_path), c.attrs, c.structs)
+    near = source.near_texts([("A", 3), ("A", 4), ("B", 20)])
+    for within in ("sentence", "text"):
+        found = m.find(kept, seq(A, tok("word") == "b"), within)
+        plan = found.filter(near)._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [" in plan and "GreaterThanOrEqual(text_id,3)" in plan and "PartitionFilters: [corpus" in plan
+        wanted = {("A", 3), ("A", 4), ("B", 20)}
+        assert {tuple(r) for r in found.filter(near).collect()} == {tuple(r) for r in found.collect() if (r.corpus, r.text_id) in wanted}
