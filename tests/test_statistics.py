@@ -301,3 +301,29 @@ def test_conversations_of_any_numbers(spark, tmp_path):
     assert len(links) == 2
     kinds = sorted((r.kind, r.corpus, r.value) for r in c.regions.filter("kind = 'conversation'").collect())
     assert kinds == [("conversation", "CONV-ASSISTANT", str(2**40)), ("conversation", "CONV-SYSTEM", "-3"), ("conversation", "CONV-UNKNOWN", "-3"), ("conversation", "CONV-USER", str(2**40))]
+
+
+def test_sentences_are_written_in_order_without_a_sort_of_their_attributes(spark, tmp_path, monkeypatch):
+    from quillspan.sources import corpora as source
+
+    texts = [("B" if i % 3 else "A", i, f"One tWo{i}. Three\nÉte 4 {'and more. ' * (i % 5)}") for i in range(40, 0, -1)]
+    df = spark.createDataFrame(texts, "corpus string, text_id long, text string").repartition(3)
+    rows = source.annotate_words(source.tokenise(source._by_text(df)))
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(setting), []
+    monkeypatch.setattr(source, "neighbour_words", lambda s, t: seen.append(spark.conf.get(setting)) or t.select("corpus", "text_id"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.index("Sort [") > plan.rindex("Generate")  # below all that makes rows larger
+    source.write(spark, rows, df.drop("text"), str(tmp_path / "c"))
+    assert seen == [before] and spark.conf.get(setting) == before
+    from pyspark.sql import functions as F
+
+    got = spark.read.parquet(str(tmp_path / "c" / "sentences")).withColumn("f", F.input_file_name()).withColumn("i", F.monotonically_increasing_id())
+    files = {}
+    for r in sorted(got.collect(), key=lambda r: r.i):
+        files.setdefault(r.f, []).append((r.corpus, r.text_id, r.sent_no))
+    assert sum(map(len, files.values())) == rows.count() and all(x == sorted(x) for x in files.values())
+    words = {r.text_id: (r.word, r.lemma, r.pos, r.sense, r.lex) for r in got.filter("sent_no = 1").collect()}
+    assert words[3] == (["Three"], ["three"], ["CAP"], ["three:5"], [["three", "thr"]])
+    line = got.filter("sent_no = 2 AND text_id = 5").first()
+    assert (line.word, line.lemma, line.pos, line.sense, line.lex) == (["Éte", "4"], ["éte", "4"], ["CAP", "NUM"], ["éte:3", None], [["éte"], []])
