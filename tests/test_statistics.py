@@ -327,3 +327,14 @@ def test_sentences_are_written_in_order_without_a_sort_of_their_attributes(spark
     assert words[3] == (["Three"], ["three"], ["CAP"], ["three:5"], [["three", "thr"]])
     line = got.filter("sent_no = 2 AND text_id = 5").first()
     assert (line.word, line.lemma, line.pos, line.sense, line.lex) == (["Éte", "4"], ["éte", "4"], ["CAP", "NUM"], ["éte:3", None], [["éte"], []])
+
+
+def test_equal_occurrences_are_counted_before_they_take_forms(spark):
+    columns = "corpus string, headbase string, headword string, headpos string, rel string, depbase string, depword string, deppos string, depextra string"
+    kinds = [("A", "a", "A", "P", "R", "b", "b", None, ""), ("A", None, "a", "P", "R", "b", "B", "Q", ""), ("A", "a", "a", "P", "R", None, "b", None, ""), ("A", "c", "A", "P", "R", "b", "b", None, "")]
+    rows = spark.createDataFrame([k for i, k in enumerate(kinds) for _ in range(i + 1)], columns)
+    table = relations.relation_table(rows)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("Generate")  # one below the forms
+    assert sorted(map(str, table.collect())) == sorted(map(str, relations.relation_table(rows, ordered=True).collect()))
+    assert sum(r.freq for r in table.collect()) == 3 * 1 + 2 * 2 + 2 * 3 + 3 * 4
