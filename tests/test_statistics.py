@@ -338,3 +338,15 @@ def test_equal_occurrences_are_counted_before_they_take_forms(spark):
     assert plan.rindex("Aggregate") > plan.rindex("Generate")  # one below the forms
     assert sorted(map(str, table.collect())) == sorted(map(str, relations.relation_table(rows, ordered=True).collect()))
     assert sum(r.freq for r in table.collect()) == 3 * 1 + 2 * 2 + 2 * 3 + 3 * 4
+
+
+def test_postings_are_shuffled_without_copies_of_their_base_forms(spark, tmp_path, monkeypatch):
+    columns = "corpus string, text_id long, sent_no int, headbase string, headword string, headpos string, start int, rel string, depbase string, depword string, deppos string, end int, depextra string"
+    rows = spark.createDataFrame([("A", 1, 0, "b", "B", "P", 1, "R", None, "d", "P", 2, ""), ("A", 1, 1, None, "a", "P", 1, "R", "c", "C", "P", 2, "")], columns)
+    kind, seen = type(rows), []
+    shuffle = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, *by: seen.append(df.columns) or shuffle(df, *by))
+    relations.write_tables(rows, str(tmp_path / "w"))
+    assert seen[0] == rows.columns
+    got = relations.read_tables(spark, str(tmp_path / "w")).postings.select("headkey", "depkey", "headbase", "depbase").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("b", "d", "b", None), ("a", "c", None, "c")], key=str)
