@@ -350,3 +350,32 @@ def test_postings_are_shuffled_without_copies_of_their_base_forms(spark, tmp_pat
     assert seen[0] == rows.columns
     got = relations.read_tables(spark, str(tmp_path / "w")).postings.select("headkey", "depkey", "headbase", "depbase").collect()
     assert sorted(map(tuple, got), key=str) == sorted([("b", "d", "b", None), ("a", "c", None, "c")], key=str)
+
+
+def test_words_that_are_their_own_base_form_are_shuffled_once(spark, tmp_path, monkeypatch):
+    columns = "corpus string, text_id long, sent_no int, headbase string, headword string, headpos string, start int, rel string, depbase string, depword string, deppos string, end int, depextra string"
+    words = [("a", "a"), ("a", "A"), (None, "a"), ("a", None), ("\0", "a"), ("a", "\0"), ("a", "\0x"), (None, None), ("", "a"), ("a", "")]
+    rows = [("A", i, j, *head, "P", 1, "R", *dep, None, 2, "") for i, head in enumerate(words) for j, dep in enumerate(words)]
+    occurrences = spark.createDataFrame(rows, columns)
+    kind, seen = type(occurrences), []
+    shuffle = kind.repartitionByRange
+
+    def counted(df, *by):
+        seen.append(df)
+        return shuffle(df, *by)
+
+    monkeypatch.setattr(kind, "repartitionByRange", counted)
+    relations.write_tables(occurrences, str(tmp_path / "w"))
+    sent = seen[0].select("headword", "depword").collect()
+    assert sum(w is None for r in sent for w in r) == 2 * 20  # equal to the base form, or both missing
+    pictures = relations.read_tables(spark, str(tmp_path / "w"))
+    assert sorted(map(str, pictures.postings.select(*occurrences.columns).collect())) == sorted(map(str, occurrences.collect()))
+    table = relations.forms(occurrences).groupBy(*relations.TRIPLE).count().withColumnRenamed("count", "freq")
+    for got, kept in ((pictures.by_head, "bfhead AND bfdep OR wfhead"), (pictures.by_dep, "bfhead AND bfdep OR wfdep")):
+        assert sorted(map(str, got.collect())) == sorted(map(str, table.filter(kept).collect()))
+    assert sorted(map(str, pictures.head_rel.collect())) == sorted(map(str, relations.head_rel_freq(table).collect()))
+    assert sorted(map(str, pictures.dep_rel.collect())) == sorted(map(str, relations.dep_rel_freq(table).collect()))
+    plain = spark.createDataFrame([("A", 0, i, "a", "a", "P", 1, "R", "b", "b", None, 2, "") for i in range(9)], columns)
+    seen.clear()
+    relations.write_tables(plain, str(tmp_path / "p"))
+    assert [df.count() for df in seen[1:3]] == [1, 1]  # one row of triples, whatever the number of its forms
