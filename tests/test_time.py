@@ -130,3 +130,53 @@ def test_a_span_that_ends_on_the_last_day_holds_the_range(spark, strategy, want,
 def test_too_many_points_as_rows(dated):
     got = {(r.corpus, r.granularity): r.refused for r in trend.too_many_points(dated).collect()}
     assert got["A", "d"] is False and got["A", "h"] is True and got["B", "y"] is None
+
+
+def test_line_items_are_put_in_order_once(spark, tmp_path):
+    from quillspan.sources import corpora as source
+
+    day = lambda n: f"TIMESTAMP '2020-01-{n:02d} 00:00:00'"
+    spark.sql("SELECT * FROM VALUES (1, 'high', 'O'), (2, 'low', 'F'), (50, 'high', 'O'), (3, 'low', 'O') t(o_orderkey, o_orderpriority, o_orderstatus)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT * FROM VALUES (7, 'a ring', 'B1') t(p_partkey, p_name, p_brand)").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(1, 7, 5, 2, day(9)), (1, 7, 5, 1, day(4)), (1, 8, 5, 2, day(30)), (2, 7, 5, 4, day(1)), (50, 7, 5, 1, day(2)), (99, 7, 5, 1, day(2))]
+    rows = ", ".join(f"({o}, {p}, {s}, {n}, 1.0D, 2.0D, 'R', {d})" for o, p, s, n, d in items)
+    spark.sql(f"SELECT * FROM VALUES {rows} t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_shipdate)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sentences, _ = source._order_corpora(spark, str(tmp_path), str(tmp_path / "staging"))
+    assert not (tmp_path / "staging").exists()
+    plan = sentences._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and plan.index("rangepartitioning") > plan.rindex("Window ")  # windows above it
+    c = source.prepare(spark, str(tmp_path), "order")
+    got = [(r.corpus, r.text_id, r.sent_no, r.sent_off, r.text_n, r.word, str(r.datefrom)[:10], str(r.dateto)[:10]) for r in c.sentences.collect()]
+    high = [("HIGH", 1, 0, 0, 3, ["a ring"], "2020-01-04", "2020-01-30"), ("HIGH", 1, 1, 1, 3, ["a ring"], "2020-01-04", "2020-01-30"), ("HIGH", 1, 2, 2, 3, [None], "2020-01-04", "2020-01-30")]
+    assert sorted(got, key=lambda r: r[:3]) == [*high, ("HIGH", 50, 0, 0, 1, ["a ring"], "None", "None"), ("LOW", 2, 0, 0, 1, ["a ring"], "2020-01-01", "2020-01-01")]
+    texts = {r.text_id: (r.corpus, r.text_status, str(r.datefrom)[:10], r.n_tokens, r.start_pos) for r in c.texts.collect()}
+    assert texts == {1: ("HIGH", "O", "2020-01-04", 3, 0), 50: ("HIGH", "O", "None", 1, 3), 2: ("LOW", "F", "2020-01-01", 1, 0), 3: ("LOW", "O", "None", 0, 1)}
+
+
+def test_texts_meet_their_neighbours_in_blocks(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillspan.sources import corpora as source
+
+    pick, rows, places, words = random.Random(5), [], [], {"A": [], "B": []}
+    for text_id in range(60):
+        corpus, lengths = pick.choice("AB"), [pick.choice([1, 1, 2, 5]) for _ in range(pick.choice([0, 0, 1, 2, 3]))]
+        places.append((corpus, text_id, len(words[corpus]), sum(lengths)))
+        off = 0
+        for n in lengths:
+            mine = [None if pick.random() < 0.1 else f"w{text_id}.{off + i}" for i in range(n)]
+            rows.append((corpus, text_id, off, n, sum(lengths), mine))
+            words[corpus] += mine
+            off += n
+    sentences = spark.createDataFrame(rows, "corpus string, text_id long, sent_off long, n int, text_n long, word array<string>")
+    texts = spark.createDataFrame(places, "corpus string, text_id long, start_pos long, n_tokens long")
+    want = {(c, t): (words[c][max(p - 3, 0) : p], words[c][p + n : p + n + 3]) for c, t, p, n in places}
+    for block in (2, 3, 1 << 16):
+        monkeypatch.setattr(source, "EDGE_BLOCK", block, raising=False)
+        got = source.neighbour_words(sentences, texts)
+        assert {(r.corpus, r.text_id): (r.before_words, r.after_words) for r in got.collect()} == want
+    assert got.columns == ["corpus", "text_id", "before_words", "after_words"]
+    plan = source.neighbour_words(sentences, texts.withColumn("n_tokens", F.col("n_tokens")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") <= 4
