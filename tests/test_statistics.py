@@ -379,3 +379,18 @@ def test_words_that_are_their_own_base_form_are_shuffled_once(spark, tmp_path, m
     seen.clear()
     relations.write_tables(plain, str(tmp_path / "p"))
     assert [df.count() for df in seen[1:3]] == [1, 1]  # one row of triples, whatever the number of its forms
+
+
+def test_equal_tokens_are_added_up_before_they_take_lemgrams(spark):
+    from pyspark.sql import functions as F
+
+    from quillspan.operators import lemgrams
+
+    tokens = [("A", 1, 0, 0, i, "on", ["on", "on"]) for i in range(5)] + [("A", 2, 0, 0, 0, "on", ["in"]), ("A", 2, 0, 0, 1, None, []), ("B", 1, 0, 0, 0, "on", ["on"])]
+    rows = spark.createDataFrame(tokens, "corpus string, text_id long, sent_no int, sent_off long, i int, lemma string, lex array<string>")
+    none = F.array().cast("array<string>")
+    index = lemgrams.lemgram_index(rows, F.col("lex"), F.when(F.col("lemma") == "on", F.array("lemma")).otherwise(none), none)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("Generate")  # one below the entries
+    assert sorted(map(tuple, index.collect())) == [("A", "in", 1, 0, 0), ("A", "on", 10, 6, 0), ("B", "on", 1, 1, 0)]
+    assert index.dtypes[2:] == [("freq", "bigint"), ("freq_prefix", "bigint"), ("freq_suffix", "bigint")]
