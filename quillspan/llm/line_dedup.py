@@ -19,13 +19,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
 from quillspan.llm.tables import settle
-from quillspan.llm.words import HASHES, mix, rows, shingles, words
+from quillspan.llm.words import ROWS, mix, rows, shingles, whole_column, word_codes
 
 LEADING, AGREE, MIN_DOCS = 3, 0.7, 4
 TAKEN, COMMON, LED = 3 / 4, 2 / 3, 1 / 8
@@ -33,13 +34,15 @@ RUN, WHOLE, PART = 3, 128, 4
 ANY = "<*>"
 LINES = "doc_id long, text_key long, line_no int, leaf long, line long, n_words int"
 _DIGIT = re.compile(r"\d")
+#: White space as Python sees it, other than single blanks inside a line and the ends of lines; and digits.
+_NOT_PLAIN = r"(?m)  |^ | $|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\p{Nd}"
 
 
 def masked(line: str) -> list[str]:
     """Tokens, those with digits as variable fields unless they are more than half of the line."""
     tokens = line.split()
     if _DIGIT.search(line):
-        fixed = [ANY if _DIGIT.search(t) else t for t in tokens]
+        fixed = [t if t.isalpha() or not _DIGIT.search(t) else ANY for t in tokens]
         return fixed if 2 * fixed.count(ANY) <= len(fixed) else tokens
     return tokens
 
@@ -48,24 +51,44 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - 2**63
 
 
-def leaf(tokens: list[str], leading: int) -> int:
-    return _hash(str(len(tokens)), *tokens[:leading])
+def _plain(texts: pa.Array) -> list[bool]:
+    """Texts without digits whose lines have single blanks between words and no other white space."""
+    return pc.invert(pc.match_substring_regex(whole_column(texts), _NOT_PLAIN)).to_pylist()
+
+
+def _tokens(line: str, plain: bool, leading: int) -> tuple[str, int, list[str]]:
+    """The masked line, its number of tokens and the leading ones; a plain line need not be taken apart."""
+    if plain:
+        return line, line.count(" ") + 1 if line else 0, line.split(" ", leading)[:leading]
+    tokens = masked(line)
+    return " ".join(tokens), len(tokens), tokens[:leading]
 
 
 def _lines(leading: int, with_text: bool):
+    names = ["leaf", "line", "tokens"] if with_text else [f.split()[0] for f in LINES.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string()] if with_text else [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+
     def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text, key in rows([batch], "doc_id", "text", "text_key"):
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            doc_ids, texts, keys = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text", "text_key"))
+            leaves, lines, wholes, places = [], [], [], []
+            for doc_id, text, key, plain in zip(doc_ids.to_pylist(), texts.to_pylist(), keys.to_pylist(), _plain(texts)):
                 for no, line in enumerate((text or "").split("\n")):
-                    if tokens := masked(line):
-                        whole = " ".join(tokens)
-                        found = (leaf(tokens, leading), _hash(whole))
-                        out.append((*found, whole) if with_text else (doc_id, key, no, *found, len(tokens)))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.string()] if with_text else [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-                names = ["leaf", "line", "tokens"] if with_text else [f.split()[0] for f in LINES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    whole, n, first = _tokens(line, plain, leading)
+                    if n:
+                        leaves.append(_hash(str(n), *first))
+                        lines.append(_hash(whole))
+                        if with_text:
+                            wholes.append(whole)
+                        else:
+                            places.append((doc_id, key, no, n))
+            if lines:
+                if with_text:
+                    columns = [leaves, lines, wholes]
+                else:
+                    doc_id, key, no, n = zip(*places)
+                    columns = [doc_id, key, no, leaves, lines, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
@@ -113,13 +136,23 @@ def _parse(agree: float):
     return run
 
 
+def _word_runs(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct runs of every text, in order."""
+    codes, bounds = word_codes(texts)
+    runs, out = shingles(codes, RUN), []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        own = np.sort(runs[a : b - RUN + 1] if b - a >= RUN else shingles(codes[a:b], RUN))
+        out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+    return out
+
+
 def _runs(batches):
     """Runs of every text; with ``n_words`` 0 those that only texts on the other side of ``WHOLE`` are compared with."""
     kind = pa.list_(pa.struct([("template", pa.int64()), ("n_words", pa.int32())]))
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         keys, ends, names, sizes = [], [0], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for text, key in rows([batch], "text", "text_key"):
-            found = np.unique(shingles(HASHES.of(words(text)), RUN))
+        texts, all_keys = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "text_key"))
+        for found, key in zip(_word_runs(texts), all_keys.to_pylist()):
             if n := len(found):
                 parts = [(found, n <= WHOLE)] if n <= 2 * WHOLE else []
                 if 2 * n > WHOLE:
@@ -146,9 +179,11 @@ def near_copies(held: DataFrame, held_by: DataFrame | None = None) -> DataFrame:
     a few leaders only, those of at least ``LED`` of its words.
     """
     held_by = leaders(held) if held_by is None else held_by
-    led = held.join(held_by.select("template", "leader"), "template", "left").groupBy("text_key", "leader").agg(F.sum("n_words").alias("led"))
-    whole = led.groupBy("text_key").agg(F.sum("led").alias("words"), F.sum(F.when(F.col("leader").isNotNull(), F.col("led"))).alias("taken"))
-    near = led.filter("leader <> text_key").join(whole.filter((F.col("taken") > 0) & (F.col("taken") >= TAKEN * F.col("words"))), "text_key")
+    led = held.join(held_by.select("template", "leader"), "template").groupBy("text_key", "leader").agg(F.sum("n_words").alias("led"))
+    words = held.groupBy("text_key").agg(F.sum("n_words").alias("words"))
+    taken = led.groupBy("text_key").agg(F.sum("led").alias("taken")).filter("taken > 0")
+    whole = taken.join(words, "text_key").filter(F.col("taken") >= TAKEN * F.col("words"))
+    near = led.filter("leader <> text_key").join(whole, "text_key")
     near = settle(near.filter(F.col("led") >= LED * F.col("words")).select("text_key", "leader", "taken"), "near")
     of_leader = held.select(F.col("text_key").alias("leader"), "template").join(near.select("leader").distinct(), "leader", "left_semi")
     both = near.join(held, "text_key").join(of_leader, ["leader", "template"]).groupBy("text_key", "leader", "taken").agg(F.sum("n_words").alias("common"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 CACHE_WORDS, ROWS = 150_000, 500
@@ -40,6 +42,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_WORD, _LOWER = np.ones(256, bool), np.arange(256, dtype=np.uint8)
+_WORD[list(b" \t\n\r\x0b\x0c")] = False
+_LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+def whole_column(texts: pa.Array) -> pa.Array:
+    """A copy that begins at 0, null being empty: some functions on strings take the wrong bytes of a slice."""
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of a column of texts, and where the words of each text begin, then their end.
+
+    The words are those of ``words``; the hash is another one than that of ``HASHES``, made for all words at once, eight bytes at a time.
+    """
+    texts = whole_column(texts)
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(texts) + 1) if len(texts) else np.zeros(1, np.int64)
+    n = int(bounds[-1])
+    padded = np.zeros(n + 8, np.uint8)
+    if n:
+        padded[:n] = _LOWER[np.frombuffer(data, np.uint8, n)]
+    word = _WORD[padded[:n]]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    inner = bounds[(bounds > 0) & (bounds < n)]
+    begins[inner], ends[inner - 1] = word[inner], word[inner - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    size = end - start
+    eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    codes = mix(size.astype(np.uint64))
+    live = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        live = live[size[live] > at]
+        if len(live) == 0:
+            break
+        codes[live] = mix(codes[live] + (eights[start[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        codes[i] = xxhash.xxh3_64_intdigest(padded[start[i] : end[i]])
+    return codes, np.searchsorted(start, bounds)
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words; of the whole sequence when it is shorter; empty for no words."""
     n = len(hashes)

@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import awkward, docs, words
 
 from quillspan.llm import anchors, line_dedup, near_dedup, substring_dedup, suffixes
+from quillspan.llm import words as word_helpers
 from quillspan.llm.components import components
 
 
@@ -222,3 +224,42 @@ def test_template_tree_generalises():
     assert tree.place(2, "user c logged in from host d today now".split()) == 1
     assert tree.place(3, "something else entirely here and there on that day".split()) == 3
     assert line_dedup.masked("id 17 ok") == ["id", "<*>", "ok"]
+
+
+ODD = ["a", "B", "é", "\x1c", "\x1f", " ", "\t", "\n", "\x0b", "\r", "\x85", "İ", "9", "٣", "中", "  ", "word ", "\0", "\xa0", "abcdefgh" * 3, "x" * 70]
+
+
+def odd_texts(n=1500):
+    r = random.Random(5)
+    plain = ["ab", " C", " ", "\n", "x y z", " é"]
+    made = ["".join(r.choice(p) for _ in range(r.randrange(40))) for _ in range(n) for p in (ODD, plain)]
+    return [None, "", " ", "\n\n", "x" * 64, "x" * 65, *made]
+
+
+@pytest.mark.parametrize("skip", [0, 7])
+def test_codes_of_whole_columns_are_those_of_words(skip):
+    texts = odd_texts()
+    codes, bounds = word_helpers.word_codes(pa.array(["z Z"] * skip + texts).slice(skip))
+    seen = {}
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        found = word_helpers.words(text)
+        assert len(found) == b - a
+        assert all(seen.setdefault(w, c) == c for w, c in zip(found, codes[a:b].tolist()))
+    assert len(set(seen.values())) == len(seen) and bounds[-1] == len(codes)
+
+
+def test_distinct_runs_of_slices():
+    texts = odd_texts(400)
+    sets = sets_of(enumerate(texts), line_dedup.RUN)
+    for runs, i in zip(line_dedup._word_runs(pa.array(["z"] * 3 + texts).slice(3)), sets):
+        assert len(runs) == len(sets[i]) and (np.diff(runs.astype(object)) > 0).all()
+
+
+def test_plain_lines_are_masked_like_others():
+    texts = odd_texts()
+    assert any(line_dedup._plain(pa.array(texts)))
+    for text, plain in zip(texts, line_dedup._plain(pa.array(["1"] + texts).slice(1))):
+        for line in (text or "").split("\n"):
+            tokens = line_dedup.masked(line)
+            found, n, first = line_dedup._tokens(line, plain, 3)
+            assert (n, found) == (len(tokens), " ".join(tokens)) and (not n or first == tokens[:3])
