@@ -156,7 +156,13 @@ def encoder(path: str, cache_cuts: int = CACHE_CUTS) -> Encoder:
     return _ENCODERS[path, cache_cuts]
 
 
-def encoded(keyed: Iterator[tuple], path: str, cache_cuts: int = CACHE_CUTS) -> Iterator[list[tuple]]:
+def forget(path: str, cache_cuts: int) -> None:
+    """What the worker holds of an encoder goes."""
+    _ENCODERS.pop((path, cache_cuts), None)
+    pa.default_memory_pool().release_unused()
+
+
+def encoded(keyed: Iterator[tuple], path: str, cache_cuts: int = CACHE_CUTS, batch_chars: int = BATCH_CHARS) -> Iterator[list[tuple]]:
     """Lists of ``(row, text, ids)`` for ``(text, *row)``, a bounded number of characters at a time; null is empty."""
     pending: list[tuple] = []
     chars = 0
@@ -168,7 +174,7 @@ def encoded(keyed: Iterator[tuple], path: str, cache_cuts: int = CACHE_CUTS) ->
     for text, *row in keyed:
         pending.append((text or "", row))
         chars += len(text or "")
-        if chars >= BATCH_CHARS or len(pending) >= 5000:
+        if chars >= batch_chars or len(pending) >= 5000:
             yield done()
             pending, chars = [], 0
     if pending:

@@ -39,6 +39,20 @@ def test_columns_of_plain_and_awkward_texts(monkeypatch):
     assert [i for i, _ in got] == list(range(len(texts))) and all(list(ids) == ids_of(t) for (_, ids), t in zip(got, texts))
 
 
+def test_lean_packing_gives_the_same_pieces_and_keeps_no_encoder():
+    pairs = [*awkward(), *((100 + i, " ".join(words(i, 400, 10**6))) for i in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([t for _, t in pairs])], names=["doc_id", "text"])
+
+    def pieces(lean):
+        return [row for out in packing._pieces(PATH, 64, True, 50_000, lean)(iter([batch])) for row in out.to_pylist()]
+
+    tokens.forget(PATH, 50_000)
+    lean = pieces(True)
+    assert (PATH, 50_000) not in tokens._ENCODERS
+    assert lean == pieces(False)
+    assert (PATH, 50_000) in tokens._ENCODERS
+
+
 def test_packing(spark):
     pairs = awkward()
     got = packing.pack(docs(spark, pairs), PATH, window=64).collect()
