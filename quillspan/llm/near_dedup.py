@@ -8,10 +8,12 @@ similarity s shares a table with probability (1 - (1 - s**k)**side)**2: 0.9988 a
 Documents with equal sets are one node from the start.  In every bucket all nodes are compared with the
 least one (the centre), so a bucket of any size costs one comparison a member.  What that leaves open, a
 link between two members of which one is not linked with the centre, is found exactly from the members'
-differences to the centre: for sets of n, r shingles of the centre removed and a added, with
-g = 100 r + 85 a, members x and y are linked if and only if 185 * shared differences >= g(x) + g(y) - 15 n(centre).
-So x shares more than g(x) / 185 of its differences with such a y, and one of the first few in a fixed
-order is common to both.  The bounds are those of a similarity of 0.85 and follow the parameter.
+differences to any one set of n shingles: with r of it removed and a added, and g = 100 r + 85 a, members x
+and y are linked if and only if 185 * shared differences >= g(x) + g(y) - 15 n.  The set is the consensus of
+the open members of a centre, the shingles that most of them have, so that copies of one text keep their own
+edits only, however far the centre is.  All are compared with the member nearest to it (the hub).  For other pairs
+the right side is above 0, and one of the first few differences in a fixed order, rare ones first, is common
+to both.  The bounds are those of a similarity of 0.85 and follow the parameter.
 """
 
 from __future__ import annotations
@@ -178,43 +180,81 @@ def _open_members(near: DataFrame, bucketed: DataFrame, percent: int) -> DataFra
     return tagged.filter("first or second")
 
 
+def _about_consensus(members: DataFrame, percent: int) -> DataFrame:
+    """The members with their differences to the consensus of their centre: the items that most of its members have.
+
+    What more than half of the members have among their differences to the centre is turned: it goes from their
+    differences and becomes one of the other members.  ``n``, ``gap`` and ``room`` follow.
+    """
+    each = members.select("centre", F.explode("added").alias("item"), F.lit(True).alias("new")).unionByName(members.select("centre", F.explode("removed").alias("item"), F.lit(False).alias("new")))
+    count = members.groupBy("centre").agg(F.count("*").alias("members"))
+    often = each.groupBy("centre", "item", "new").agg(F.count("*").alias("n")).join(count, "centre").filter("2 * n > members")
+    turned = often.groupBy("centre").agg(F.collect_list(F.expr("if(new, item, null)")).alias("put_in"), F.collect_list(F.expr("if(new, null, item)")).alias("left_out"))
+    none = F.array().cast("array<long>")
+    put_in, left_out = F.coalesce("put_in", none), F.coalesce("left_out", none)
+    out = members.join(turned, "centre", "left").select(
+        "centre", "node", "component", (F.col("n") + F.size(put_in) - F.size(left_out)).alias("n"),
+        F.concat(F.array_except("added", put_in), F.array_except(left_out, "removed")).alias("added"),
+        F.concat(F.array_except("removed", left_out), F.array_except(put_in, "added")).alias("removed"),
+    )
+    return out.withColumn("gap", 100 * F.size("removed") + percent * F.size("added")).withColumn("room", (100 - percent) * F.col("n"))
+
+
+def _candidates(light: DataFrame, total: int) -> DataFrame:
+    """``(centre, x, y)``: members of different components that may share enough differences, one of the rarest of each among them."""
+
+    def firsts(of: DataFrame, name: str, least: str) -> DataFrame:
+        """The first differences: of ``n`` of which ``least`` are shared, one of the first n - least + 1 is."""
+        of = of.withColumn("_first", F.expr(f"slice(items, 1, greatest(size(items) - cast(greatest(ceil(({least}) / {total}), 1) as int) + 1, 0))"))
+        return of.select("centre", "room", F.col("node").alias(name), F.col("component").alias(f"{name}_part"), F.col("gap").alias(f"{name}_gap"), F.size("items").alias(f"{name}_size"), F.posexplode("_first").alias(f"{name}_at", "item"))
+
+    # shared * total >= gap(x) + gap(y) - room, which is above 0 unless both are linked with the hub
+    far = light.filter("not linked")
+    beyond, farther = firsts(far, "y", "gap + hub_gap - room"), firsts(far, "y", "gap + least_far - room")
+    first = firsts(light.filter("linked"), "x", "gap + least_far - room").join(beyond.drop("room"), ["centre", "item"])
+    second = firsts(far, "x", "2 * gap - room").join(farther.drop("room"), ["centre", "item"]).filter("x_gap < y_gap or x_gap = y_gap and x < y")
+    # after the first one that both have, no more are shared than either has left
+    enough = f"{total} * least(x_size - x_at, y_size - y_at) >= x_gap + y_gap - room"
+    return first.unionByName(second).filter(f"x_part <> y_part and {enough}").select("centre", "x", "y").distinct()
+
+
 def _links_beside(compared: DataFrame, bucketed: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links between two members of a centre of which at least one is not linked with the centre.
 
     ``parts(node, component)`` says what the links with centres connect already; only links between different
-    components are looked for, and only between members of one bucket.  Two joins on differences: of members that
-    are linked with the centre and ones that are not, and of two that are not, the nearer one first.
+    components are looked for, among members that share a bucket with another component.  First all are compared
+    with the member nearest to the consensus (the hub), then two joins on differences follow: of members that are
+    linked with the hub and ones that are not, and of two that are not, the nearer one first.
     """
     total = 100 + percent
     near = compared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     near = near.join(parts.select(F.col("node").alias("centre"), F.col("component").alias("of_centre")), "centre", "left")
     near = near.withColumn("of_centre", F.coalesce("of_centre", "centre"))
-    members = settle(near.join(_open_members(near, bucketed, percent), ["centre", "node"]), "members")
-    least = members.groupBy("centre").agg(F.min("gap").alias("least_gap"), F.min(F.expr("if(gap > room, gap, null)")).alias("least_far"))
-    # differences in one fixed order, the ones that the fewest members of the centre have first
+    open_members = settle(near.join(_open_members(near, bucketed, percent).select("centre", "node"), ["centre", "node"]), "members")
+    members = settle(_about_consensus(open_members, percent), "about-consensus")
+
+    hubs = members.groupBy("centre").agg(F.min(F.struct("gap", "node")).alias("hub")).select("centre", F.col("hub.node").alias("node"))
+    hubs = members.join(hubs, ["centre", "node"]).select("centre", *(F.col(c).alias(f"hub_{c}") for c in ("node", "component", "gap", "added", "removed")))
+    shared = F.size(F.array_intersect("added", "hub_added")) + F.size(F.array_intersect("removed", "hub_removed"))
+    linked = (total * shared >= F.col("gap") + F.col("hub_gap") - F.col("room")).alias("linked")
+    starred = settle(members.join(hubs, "centre").select("centre", "node", "component", "gap", "room", "hub_node", "hub_component", "hub_gap", linked), "starred")
+    joined = starred.filter("linked and component <> hub_component")
+    merged = components(joined.select(F.col("component").alias("src"), F.col("hub_component").alias("dst")))
+    starred = starred.join(merged.select(F.col("node").alias("component"), F.col("component").alias("merged")), "component", "left").withColumn("component", F.coalesce("merged", "component"))
+    least_far = starred.groupBy("centre").agg(F.min(F.expr("if(linked, null, gap)")).alias("least_far")).filter("least_far is not null")
+
+    # differences in one fixed order, the ones that the fewest members of the centre have first; those of one member are shared with none
     items = members.select("centre", "node", F.explode(F.concat("added", "removed")).alias("item"))
-    counted = items.withColumn("n", F.count("*").over(Window.partitionBy("centre", "item")))
+    counted = items.withColumn("n", F.count("*").over(Window.partitionBy("centre", "item"))).filter("n > 1")
     ranked = counted.groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))
     ranked = ranked.select("centre", "node", F.col("ranked.item").alias("items"))
-    light = settle(members.drop("added", "removed").join(least, "centre").join(ranked, ["centre", "node"]), "ranked")
-
-    def firsts(of: DataFrame, name: str, least: str) -> DataFrame:
-        """The first differences: of ``n`` of which ``least`` are shared, one of the first n - least + 1 is."""
-        of = of.withColumn("_first", F.expr(f"slice(items, 1, greatest(size(items) - cast(greatest(ceil(({least}) / {total}), 1) as int) + 1, 0))"))
-        return of.select("centre", F.col("node").alias(name), F.col("component").alias(f"{name}_part"), F.col("gap").alias(f"{name}_gap"), F.explode("_first").alias("item"))
-
-    # shared * total >= gap(x) + gap(y) - room
-    linked = firsts(light.filter("first and gap <= room"), "x", "gap + least_far - room")
-    beyond = firsts(light.filter("first and gap > room"), "y", "gap + least_gap - room")
-    far = light.filter("second")
-    nearer, farther = firsts(far, "x", "2 * gap - room"), firsts(far, "y", "gap + least_far - room")
-    first = linked.join(beyond, ["centre", "item"]).filter("x_part <> y_part")
-    second = nearer.join(farther, ["centre", "item"]).filter("x_part <> y_part and (x_gap < y_gap or x_gap = y_gap and x < y)")
-    found = first.select("centre", "x", "y").unionByName(second.select("centre", "x", "y")).distinct()
+    light = settle(starred.join(least_far, "centre").join(ranked, ["centre", "node"]), "ranked")
+    found = _candidates(light, total)
     side = lambda name: members.select("centre", "room", *(F.col(c).alias(f"{name}{c}" if c != "node" else name) for c in ("node", "added", "removed", "gap")))
     found = found.join(side("x"), ["centre", "x"]).join(side("y").drop("room"), ["centre", "y"])
     shared = F.size(F.array_intersect("xadded", "yadded")) + F.size(F.array_intersect("xremoved", "yremoved"))
-    return found.filter(total * shared >= F.col("xgap") + F.col("ygap") - F.col("room")).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    found = found.filter(total * shared >= F.col("xgap") + F.col("ygap") - F.col("room")).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    return found.unionByName(joined.select(F.col("node").alias("src"), F.col("hub_node").alias("dst")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, side: int = SIDE, k: int = K) -> DataFrame:

@@ -75,6 +75,41 @@ def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(docs(spark, []).limit(0)).collect() == []
 
 
+def edited_copies(n, length=150):
+    """Copies of one text with one to six edits of three words each; the first ones, which lead the buckets, have ten."""
+    r, text, out = random.Random(n), words(3, length, 3000), []
+    for i in range(n):
+        t = list(text)
+        for _ in range(10 if i < 5 else r.choice([1, 2, 3, 4, 5, 6])):
+            at = r.randrange(len(t) - 3)
+            t[at : at + 3] = [f"e{r.randrange(10**6)}" for _ in range(3)]
+        out.append(" ".join(t))
+    return list(enumerate(out))
+
+
+def test_few_pairs_of_a_large_family_are_compared(spark, monkeypatch):
+    compared, candidates = [], near_dedup._candidates
+
+    def counted(*args):
+        compared.append(candidates(*args).count())
+        return candidates(*args)
+
+    monkeypatch.setattr(near_dedup, "_candidates", counted)
+    for n in (100, 200):
+        pairs = edited_copies(n)
+        got = near_dedup.near_duplicates(docs(spark, pairs), 5, 80, 8, 2).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(pairs, 5, 80)
+        assert 40 * compared[-1] <= n * n
+
+
+def test_differences_to_the_consensus(spark):
+    rows = [(0, k, k, 4, [10, 11, 20 + k], [1, 30] if k else [1]) for k in range(3)] + [(0, 3, 3, 4, [11], [])]
+    members = spark.createDataFrame(rows, "centre long, node long, component long, n int, added array<long>, removed array<long>")
+    got = {r.node: (r.n, sorted(r.added), sorted(r.removed), r.gap, r.room) for r in near_dedup._about_consensus(members, 80).collect()}
+    # most have 10 and 11, and lack 1; 30 is missing in two of four only
+    assert got == {0: (5, [20], [], 80, 100), 1: (5, [21], [30], 180, 100), 2: (5, [22], [30], 180, 100), 3: (5, [1], [10], 180, 100)}
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 140), r.randrange(100, 140)) for _ in range(25)] + [(200, 200), (None, 3), (5, 4)]
