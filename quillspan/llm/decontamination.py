@@ -13,23 +13,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.words import HASHES, rows, shingles, words
+from quillspan.llm.words import ROWS, shingles, word_codes
 
 GRAM, RARE_SHARE, BLOCK_WORDS = 3, 0.001, 2_000_000
 MATCH, OTHER, GAP = 2, -1, -1
+EDGES = b".,;:!?\"'()[]{}<>*_-|"
 FOUND = "doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long"
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Words without punctuation at their edges; words of punctuation only are left out."""
-    return HASHES.of([w for w in (x.strip(b".,;:!?\"'()[]{}<>*_-|") for x in words(text)) if w])
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a column without punctuation at their edges, and where those of each text begin; words of punctuation only are left out."""
+    return word_codes(texts, EDGES)
 
 
 class Block:
     """Test items with their n-grams: sorted hashes, and for each the items and places that have it."""
 
     def __init__(self, items: list[tuple[int, str | None]], size: int):
-        self.items = [(i, w) for i, w in ((i, word_hashes(t)) for i, t in items) if len(w)]
+        hashes, bounds = word_hashes(pa.array([t for _, t in items], pa.string()))
+        self.items = [(i, hashes[a:b]) for (i, _), a, b in zip(items, bounds[:-1], bounds[1:]) if a < b]
         grams = [shingles(w, size) for _, w in self.items]
         self.sizes = sorted({min(size, len(w)) for _, w in self.items})
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -37,7 +39,7 @@ class Block:
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.gram, self.owner, self.place = flat[order], owner[order], place[order]
-        self.known = np.unique(self.gram)
+        self.known, self.marks = np.unique(self.gram), None
 
     def keep_rare(self, counts: np.ndarray, documents: int, share: float) -> None:
         """Seeds: n-grams in at most ``share`` of the documents, or not far above the item's usual n-gram.
@@ -49,27 +51,37 @@ class Block:
         usual = count[np.lexsort((count, self.owner))][np.cumsum(sizes) - sizes + sizes // 2] if len(count) else count
         kept = count <= np.maximum(share * documents, 4 * usual[self.owner])
         self.gram, self.owner, self.place = self.gram[kept], self.owner[kept], self.place[kept]
-        self.known = np.unique(self.gram)
-
-    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document and the n-grams of the block that stand there."""
-        at, gram = [], []
-        for size in self.sizes:
+        self.known, self.marks = np.unique(self.gram), None
+
+    def _shift(self) -> np.uint64:
+        return np.uint64(64 - min(24, max(8, int(16 * len(self.known)).bit_length())))
+
+    def found(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of texts, places among their words, and the n-grams of the block that stand there, by their place in ``known``."""
+        if self.marks is None:  # made by each worker; the leading bits of an n-gram keep most words out of the search
+            self.marks = np.zeros(1 << (64 - int(self._shift())), bool)
+            self.marks[self.known >> self._shift()] = True
+        out = [(np.empty(0, np.int64),) * 3]
+        for size in self.sizes if len(self.known) else ():
             if len(hashes) >= size:
                 own = shingles(hashes, size)
-                near = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-                hit = np.flatnonzero(self.known[near] == own) if len(self.known) else np.empty(0, np.int64)
-                at.append(hit)
-                gram.append(own[hit])
-        return (np.concatenate(at), np.concatenate(gram)) if at else (np.empty(0, np.int64), np.empty(0, np.uint64))
-
-    def seeds(self, hashes: np.ndarray) -> np.ndarray:
-        """Rows of item, place in the item, place in the document; one for each pair of equal n-grams."""
-        at, gram = self.found(hashes)
-        low, high = np.searchsorted(self.gram, gram, "left"), np.searchsorted(self.gram, gram, "right")
+                at = np.flatnonzero(self.marks[own >> self._shift()])
+                near = np.minimum(np.searchsorted(self.known, own[at]), len(self.known) - 1)
+                hit = self.known[near] == own[at]
+                at, near = at[hit], near[hit]
+                text = np.searchsorted(bounds, at, "right") - 1
+                inside = at + size <= bounds[text + 1]
+                out.append((text[inside], at[inside] - bounds[text[inside]], near[inside]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def seeds(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows of text, item, place in the item, place in the text; one for each pair of equal n-grams, by text and item."""
+        text, at, known = self.found(hashes, bounds)
+        low, high = np.searchsorted(self.gram, self.known[known], "left"), np.searchsorted(self.gram, self.known[known], "right")
         n = high - low
         entry = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
-        return np.stack([self.owner[entry], self.place[entry], np.repeat(at, n)], axis=1)
+        out = np.stack([np.repeat(text, n), self.owner[entry], self.place[entry], np.repeat(at, n)], axis=1)
+        return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +104,7 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _windows(length: int, seeds: np.ndarray) -> list[tuple[int, int, int]]:
     """Stretches around seeds whose diagonals lie together: start of the diagonals, their end, number of seeds."""
     slack = max(8, length // 2)
-    diagonals = np.sort(seeds[:, 2] - seeds[:, 1])
+    diagonals = np.sort(seeds[:, 3] - seeds[:, 2])
     groups, first = [], 0
     for i in range(1, len(diagonals) + 1):
         if i == len(diagonals) or diagonals[i] - diagonals[first] > slack:
@@ -105,10 +117,11 @@ def _count(block, size):
     def run(batches):
         b = block.value
         counts, documents = np.zeros(len(b.known), np.int64), 0
-        for (text,) in rows(batches, "text"):
-            _, gram = b.found(word_hashes(text))
-            counts[np.searchsorted(b.known, np.unique(gram))] += 1
-            documents += 1
+        for texts in (batch.column(0).slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            text, _, gram = b.found(*word_hashes(texts))
+            pairs = np.unique(text * max(len(b.known), 1) + gram)
+            counts += np.bincount(pairs % max(len(b.known), 1), minlength=len(b.known))
+            documents += len(texts)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], documents))], names=["gram", "n"])
 
@@ -120,13 +133,18 @@ def _search(block, threshold: float):
         b = block.value
         for batch in batches:
             waiting: dict[int, list[tuple]] = {}
-            for doc_id, text in rows([batch], "doc_id", "text"):
-                hashes = word_hashes(text)
-                seeds = b.seeds(hashes)
-                for item in np.unique(seeds[:, 0]):
-                    for start, end, n in _windows(len(b.items[item][1]), seeds[seeds[:, 0] == item]):
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                doc_ids, texts = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text"))
+                hashes, bounds = word_hashes(texts)
+                seeds = b.seeds(hashes, bounds)
+                new = np.flatnonzero((np.diff(seeds[:, :2], axis=0, prepend=-1) != 0).any(axis=1))
+                for own in np.split(seeds, new[1:]) if len(seeds) else ():
+                    text, item = int(own[0, 0]), int(own[0, 1])
+                    begin, stop = bounds[text], bounds[text + 1]
+                    for start, end, n in _windows(len(b.items[item][1]), own):
                         start = max(start, 0)
-                        waiting.setdefault(int(item), []).append((doc_id, start, hashes[start:end], n))
+                        waiting.setdefault(item, []).append((doc_ids[text].as_py(), start, hashes[begin + start : min(begin + end, stop)].copy(), n))
             out: dict[tuple, tuple] = {}
             for item, found in waiting.items():
                 item_id, query = b.items[item]

@@ -54,10 +54,11 @@ def whole_column(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_codes(texts: pa.Array, edges: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of a column of texts, and where the words of each text begin, then their end.
 
-    The words are those of ``words``; the hash is another one than that of ``HASHES``, made for all words at once, eight bytes at a time.
+    The words are those of ``words``, without bytes of ``edges`` at their ends, and left out when nothing else is in them; the
+    hash is another one than that of ``HASHES``, made for all words at once, eight bytes at a time.
     """
     texts = whole_column(texts)
     _, offsets, data = texts.buffers()
@@ -73,6 +74,14 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inner = bounds[(bounds > 0) & (bounds < n)]
     begins[inner], ends[inner - 1] = word[inner], word[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    if edges and len(start):
+        inner_byte = _WORD.copy()
+        inner_byte[list(edges)] = False
+        core = inner_byte[padded[:n]]
+        upto, places = np.cumsum(core), np.flatnonzero(core)
+        first, last = upto[start] - core[start], upto[end - 1]
+        some = first < last
+        start, end = places[first[some]], places[last[some] - 1] + 1
     size = end - start
     eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
     codes = mix(size.astype(np.uint64))

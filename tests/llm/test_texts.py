@@ -10,6 +10,7 @@ from fixtures import awkward, docs, words
 from tokenizers import Tokenizer
 
 from quillspan.llm import decontamination, fingerprints, packing, token_counts, tokens
+from quillspan.llm import words as word_helpers
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -147,6 +148,23 @@ def test_alignment_against_plain_dynamic_programming():
         assert np.allclose(scores, [brute_alignment(list(item), list(w)) for w in windows])
 
 
+def test_columns_of_test_words_are_those_of_single_texts():
+    """Words of many texts at once, and the n-grams found there: none goes over the end of a text."""
+    edges = decontamination.EDGES
+    texts = ["a (B) -- c. d\x0b\"e\"", None, "", "...", "x", "a b", "c d e", "_a b_ c\u00a0d, " + "w" * 70 + "!", " . a.b "]
+    plain = [[w for w in (x.strip(edges) for x in word_helpers.words(t)) if w] for t in texts]
+    for skip in (0, 3):
+        hashes, bounds = decontamination.word_hashes(pa.array(texts, pa.string()).slice(skip))
+        assert list(np.diff(bounds)) == [len(w) for w in plain[skip:]]
+        named = {}
+        for word, code in zip((w for ws in plain[skip:] for w in ws), hashes.tolist()):
+            assert named.setdefault(word, code) == code
+        assert len(set(named.values())) == len(named)
+    block = decontamination.Block([(1, "a b c"), (2, "X!"), (3, "...")], 3)
+    text, at, _ = block.found(*decontamination.word_hashes(pa.array(texts, pa.string())))
+    assert sorted(zip(text.tolist(), at.tolist())) == [(0, 0), (4, 0)]
+
+
 def test_decontamination(spark):
     items = [(i, " ".join(words(1000 + i, 25, 5000))) for i in range(20)] + [(50, None), (51, ""), (52, "tiny-one tiny-two"), (None, " ".join(words(77, 30, 5000)))]
     pairs = awkward() + [(100 + i, " ".join(words(i, 80, 5000))) for i in range(40)]
