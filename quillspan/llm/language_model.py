@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.tables import one_row_at_a_time, settle
-from quillspan.llm.words import HASHES, mix, rows, words
+from quillspan.llm.tables import one_row_at_a_time, settle, small_batches
+from quillspan.llm.words import HASHES, free, mix, rows, words
 
 CONTEXTS = 1 << 16
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end of text"))
@@ -55,6 +55,18 @@ def token_hashes(text: str | None) -> np.ndarray:
     return np.append(HASHES.of(words(text)), END)
 
 
+def _freeing(run):
+    """The same work on batches, or on one group; memory is freed at its end."""
+
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return freed
+
+
 def _row(shard: int, kind: int, flush: int, *values) -> tuple:
     packed = [v.tobytes() if v is not None else None for v in values]
     return (shard, kind, flush, *packed, *[None] * (9 - len(packed)))
@@ -99,7 +111,7 @@ def frequent_words(docs: DataFrame, shards: int) -> np.ndarray:
     on any score but by the order of random numbers.
     """
     share = max(4, min(4 * shards, 75_000))
-    counted = docs.select("text").mapInArrow(_frequent(share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_freeing(_frequent(share)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = settle(counted, "frequent")
     total = counted.filter("word is null").agg(F.sum("n")).first()[0] or 0
     found = counted.filter(F.col("word").isNotNull() & (F.col("n") * 4 * share >= 3 * total)).collect()
@@ -182,7 +194,11 @@ def _merge(table: pa.Table) -> pa.Table:
             table.column("shard")[0].as_py(), 0, 0, names, (pairs >> 16).astype(np.int32), (pairs & 0xFFFF).astype(np.uint16), counts, flushes, sizes,
             pair.astype(np.int32), np.concatenate([p[4] for p in parts]), np.concatenate([np.concatenate([p[5], p[6]]) for p in parts]),
         ))
-    return pa.Table.from_batches([_batch(PACKED, out)])
+        del parts, word, context, trained, names, name, pairs, pair, counts
+    merged = pa.Table.from_batches([_batch(PACKED, out)])
+    del out
+    free()
+    return merged
 
 
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -204,9 +220,9 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
 class Shard:
     """The pairs of a shard and the state of its part of the restaurants."""
 
-    def __init__(self, number: int, a: bytes, b: bytes, c: bytes, d: bytes, hot: np.ndarray):
+    def __init__(self, number: int, a: pa.Buffer, b: pa.Buffer, c: pa.Buffer, d: pa.Buffer, hot: np.ndarray):
         self.number, self.names = number, np.frombuffer(a, np.uint64)
-        self.name, self.context, self.count = np.frombuffer(b, np.int32), np.frombuffer(c, np.uint16).astype(np.int64), np.frombuffer(d, np.int64)
+        self.name, self.context, self.count = np.frombuffer(b, np.int32), np.frombuffer(c, np.uint16), np.frombuffer(d, np.int64)
         at = np.minimum(np.searchsorted(hot, self.names), max(len(hot) - 1, 0))
         self.is_hot = hot[at] == self.names if len(hot) else np.zeros(len(self.names), bool)
         self.hot_at = at
@@ -226,10 +242,17 @@ class Shard:
             own[self.is_hot] = totals["hot"][self.hot_at[self.is_hot]]
         return own
 
+    def opening(self, totals: dict, how: HpyConfig) -> np.ndarray:
+        """Strength and tables of the context of each pair, times the parent's probability; in place, as a shard is large."""
+        out = totals["by_context"][self.context]
+        out *= how.discount
+        out += how.strength
+        out *= self.probability(totals, how)[self.name]
+        return out
+
     def sweep(self, totals: dict, how: HpyConfig) -> None:
         rng = np.random.default_rng([how.seed, totals["number"], self.number])
-        opening = (how.strength + how.discount * totals["by_context"][self.context]) * self.probability(totals, how)[self.name]
-        self.tables = seat(self.count, opening, how.discount, rng)
+        self.tables = seat(self.count, self.opening(totals, how), how.discount, rng)
         self._roots(totals, how, rng)
 
     def sums(self, hot: np.ndarray) -> tuple:
@@ -245,11 +268,11 @@ class Shard:
 
 
 def _shards(batches, columns: str):
-    """Shard rows one at a time: number and packed columns."""
+    """Shard rows one at a time: number and packed columns, which are not copied."""
     for batch in batches:
+        places = [batch.schema.get_field_index(c) for c in columns]
         for at in range(batch.num_rows):
-            for number, *values in rows([batch.slice(at, 1)], "shard", *columns):
-                yield number, values
+            yield batch.column(batch.schema.get_field_index("shard"))[at].as_py(), [batch.column(c)[at].as_buffer() for c in places]
 
 
 def _totals_of(states, hot, how: HpyConfig):
@@ -279,7 +302,7 @@ def _added(table: pa.Table) -> pa.Table:
 def _state(shards: DataFrame, states: list[dict], hot: np.ndarray, how: HpyConfig) -> dict:
     sc = shards.sparkSession.sparkContext
     run = _totals_of(sc.broadcast(states), sc.broadcast(hot), how)
-    sums = shards.select("shard", *"abcd").mapInArrow(run, SUMS).groupBy("part").applyInArrow(_added, SUMS).collect()
+    sums = shards.select("shard", *"abcd").mapInArrow(_freeing(run), SUMS).groupBy("part").applyInArrow(_added, SUMS).collect()
     add = lambda name, size: sum((np.frombuffer(r[name], np.float64) for r in sums), np.zeros(size))
     by_context, customers, hot_tables, hot_customers = (add(c, n) for c, n in (("tables", CONTEXTS), ("customers", CONTEXTS), ("hot_tables", len(hot)), ("hot_customers", len(hot))))
     tokens, known = sum(r["tokens"] for r in sums), sum(r["known"] for r in sums) + int(np.count_nonzero(hot_customers))
@@ -313,11 +336,14 @@ def _score(states, hot, how: HpyConfig):
                 if i:
                     shard.sweep(states.value[i - 1], how)
                 if i > how.burn_in or len(states.value) == 1:
-                    seats, guests = totals["by_context"][shard.context], totals["customers"][shard.context]
-                    opening = (how.strength + how.discount * seats) * shard.probability(totals, how)[shard.name]
-                    probability += (np.maximum(shard.count - how.discount * shard.tables, 0) + opening) / (how.strength + guests)
+                    own = shard.count - how.discount * shard.tables
+                    np.maximum(own, 0, out=own)
+                    own += shard.opening(totals, how)
+                    own /= (how.strength + totals["customers"])[shard.context]
+                    probability += own
                     n += 1
-            logs = np.log10(probability / n)
+            probability /= n
+            logs = np.log10(probability, out=probability)
             customers = shard.customers.copy()
             customers[shard.is_hot] = states.value[-1]["hot_customers"][shard.hot_at[shard.is_hot]]
             base, known = np.log10(customers + 1)[shard.name], (customers > 0)[shard.name]
@@ -385,16 +411,17 @@ def score_documents(docs: DataFrame, how: HpyConfig = HpyConfig()) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     held = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == FOLD, F.lit(True))
     docs = docs.select(doc_id.alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
-    hot = frequent_words(docs, shards)
-    packed = docs.mapInArrow(_count(spark.sparkContext.broadcast(hot), shards), PACKED)
-    table = settle(packed.groupBy("shard").applyInArrow(_merge, PACKED), "counts")
+    with small_batches(spark):
+        hot = frequent_words(docs, shards)
+        packed = docs.mapInArrow(_freeing(_count(spark.sparkContext.broadcast(hot), shards)), PACKED)
+        table = settle(packed.groupBy("shard").applyInArrow(_merge, PACKED), "counts")
     main = table.filter("kind = 0")
     states: list[dict] = []
     sc = spark.sparkContext
     with one_row_at_a_time(spark):
         for _ in range(1 + how.burn_in + how.samples):
             states.append(_state(main, states, hot, how))
-        scored = main.select("shard", *"abcdefghi").mapInArrow(_score(sc.broadcast(states), sc.broadcast(hot), how), PACKED)
+        scored = main.select("shard", *"abcdefghi").mapInArrow(_freeing(_score(sc.broadcast(states), sc.broadcast(hot), how)), PACKED)
         scored = settle(scored, "sums")
     both = scored.unionByName(table.filter("kind = 1")).select("flush", "kind", "a", "b", "c")
     out = both.groupBy("flush").applyInArrow(_documents, RESULT)

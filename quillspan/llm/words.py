@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,15 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def free() -> None:
+    """What a task no longer needs goes back to the system; a worker that waits for its next task holds little."""
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none in other C libraries
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values in which every input bit moves every output bit."""
     x = x ^ (x >> np.uint64(32))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import awkward, docs, words
 
@@ -41,6 +42,25 @@ def test_language_model_adds_up_to_one(spark):
     assert 0 < sum(10**s for s in scores) <= 1
 
 
+def test_language_model_passes_few_texts_at_a_time(spark, monkeypatch):
+    sizes, write = [], language_model.settle
+
+    def seen(table, name):
+        def sized(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+        if name == "counts":
+            sizes.extend(r.n for r in rows.mapInArrow(sized, "n long").collect())
+        return write(table, name)
+
+    monkeypatch.setattr(language_model, "settle", seen)
+    rows = docs(spark, [(i, f"w{i} " * 30_000) for i in range(200)]).coalesce(1)
+    got = language_model.score_documents(rows)
+    assert len(sizes) > 1 and max(sizes) < 8 << 20
+    assert [(r.n_tokens, r["count"]) for r in got.groupBy("n_tokens").count().collect()] == [(30_001, 200)]
+
+
 def test_seats_follow_the_restaurant():
     rng = np.random.default_rng(0)
     customers = np.full(20000, 5)
