@@ -163,6 +163,15 @@ def test_right_sort_of_the_last_words_of_a_text(spark):
     assert rows.first()["_sort"] == ["h", "d", "e"]
 
 
+def test_matches_keep_the_side_of_the_words_around_that_is_asked_for(spark):
+    c = tiny(spark, {"A": [[["x", "a"], ["b", "y"]]], "B": [[["c"]]]})
+    for within in ("text", {"": "sentence", "A": "text"}, None):
+        for side, want in (("words_before", ["x"]), ("words_after", ["y"])):
+            found = m.find(c, seq(A, tok("word") == "b"), within, keep=[side])
+            assert [r[side] for r in found.collect()] == [want]
+            assert {"words_before", "words_after", "word"} & set(found.columns) == {side}
+
+
 def test_words_next_to_texts_that_are_kept_with_them(spark, tmp_path):
     from quillspan.sources import corpora as source
 
