@@ -394,3 +394,19 @@ def test_equal_tokens_are_added_up_before_they_take_lemgrams(spark):
     assert plan.rindex("Aggregate") > plan.rindex("Generate")  # one below the entries
     assert sorted(map(tuple, index.collect())) == [("A", "in", 1, 0, 0), ("A", "on", 10, 6, 0), ("B", "on", 1, 1, 0)]
     assert index.dtypes[2:] == [("freq", "bigint"), ("freq_prefix", "bigint"), ("freq_suffix", "bigint")]
+
+
+def test_triples_are_stored_with_the_number_of_each_form(spark, tmp_path, monkeypatch):
+    rows = [r for i in range(20) for r in pair(f"h{i}", f"d{i % 3}", i + 1) + pair("See", f"d{i}", 2)]
+    occurrences = spark.createDataFrame(rows, OCCURRENCES)
+    kind, seen = type(occurrences), []
+    shuffle = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, *by: seen.append(df.columns) or shuffle(df, *by))
+    relations.write_tables(occurrences, str(tmp_path))
+    assert len(seen) == 3 and not any({"head", "dep"} <= set(columns) for columns in seen)  # triples go through no shuffle but that of their count
+    assert spark.read.parquet(f"{tmp_path}/by_head").count() == 20 + 2 * 20
+    tables = relations.read_tables(spark, str(tmp_path))
+    want = relations.forms(occurrences).groupBy(*relations.TRIPLE).count().withColumnRenamed("count", "freq")
+    assert sorted(map(str, tables.by_head.collect())) == sorted(map(str, want.filter("bfhead AND bfdep OR wfhead").collect()))
+    plan = tables.by_head.filter("head = 'See'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(head,See)" in plan  # only its pages are read
